@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slowlens.config import DEFAULTS, Settings
 from slowlens.functions.labels import band, bind_type_name, severity_weight
 from slowlens.functions.ordered import running_sum
-from slowlens.functions.text import BLANKS, base_name, preview, rstrip, strip
+from slowlens.functions.shape import computed
+from slowlens.functions.text import base_name, preview, rstrip, strip
 from slowlens.sources.documents import PHASES
 from slowlens.sources.texts import TextSet
 
@@ -35,6 +36,9 @@ BIND_VALUE = r"(?im)^\s*value=(.*)$"
 BIND_TYPE = r"(?im)^\s*dty=(.*)$"
 
 
+ALL_PHASES = PHASES + ("total",)
+
+
 def exec_blocks(reports: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
     """``(file, block_no, block)``: trimmed blocks of at least 50 characters."""
     pieces = reports.texts.select("file", F.posexplode(F.split("text", STAR_RULE, -1)).alias("block_no", "block"))
@@ -136,71 +140,52 @@ def exec_statements(blocks: DataFrame) -> DataFrame:
     Blocks without a call table, without text, or with no elapsed time in the
     total row are not statements.
     """
-    headed = (
-        blocks.filter(F.col("block").rlike("(?im)^call\\s+count"))
-        .withColumn("lines", F.split("block", "\n", -1))
-        .withColumn("head", _position(F.col("lines"), lambda l: l.rlike(CALL_HEADER)).cast("int"))
-        .filter("head > 0")
-    )
-    before = F.slice("lines", F.lit(1), F.col("head") - 1)
-    body = _from(F.col("lines"), F.col("head"))
-    shaped = headed.select(
-        "file",
-        "block_no",
-        "block",
-        strip(F.array_join(F.filter(before, lambda l: ~l.rlike(STATEMENT_ID)), "\n")).alias("sql_text"),
-        F.coalesce(
+    candidates = blocks.filter(F.col("block").rlike("(?im)^call\\s+count"))
+    split = computed(candidates, lines=F.split("block", "\n", -1))
+    lines = F.col("lines")
+    headed = computed(split, head=_position(lines, lambda l: l.rlike(CALL_HEADER)).cast("int")).filter("head > 0")
+    parts = computed(headed, before=F.slice("lines", F.lit(1), F.col("head") - 1), body=_from(lines, F.col("head")))
+    before, body = F.col("before"), F.col("body")
+    shaped = computed(
+        parts.select("file", "block_no", "block", "before", "body"),
+        sql_text=strip(F.array_join(F.filter(before, lambda l: ~l.rlike(STATEMENT_ID)), "\n")),
+        sql_id=F.coalesce(
             F.regexp_extract(
                 F.try_element_at(F.filter(before, lambda l: l.rlike(STATEMENT_ID)), F.lit(-1)), STATEMENT_ID, 1
             ),
             F.lit(""),
-        ).alias("sql_id"),
-        body.alias("body"),
-        F.transform(F.slice(body, 1, PHASE_ROWS), strip).alias("rows"),
+        ),
+        _rows=F.transform(F.slice(body, 1, PHASE_ROWS), strip),
     ).filter("sql_text <> ''")
-    phases = shaped
-    for phase in PHASES + ("total",):
-        phases = phases.withColumn(f"_{phase}", _phase_row(F.col("rows"), phase))
-    counters = []
-    for phase in PHASES + ("total",):
-        part = lambda i: F.get(F.col(f"_{phase}"), F.lit(i))  # noqa: B023, E731
+    phases = computed(shaped, **{f"_{p}": _phase_row(F.col("_rows"), p) for p in ALL_PHASES})
+    counters = {}
+    for phase in ALL_PHASES:
+        part = [F.get(F.col(f"_{phase}"), F.lit(i)) for i in range(8)]
         if phase != "total":
-            counters.append(_whole(part(1)).alias(f"{phase}_count"))
-        counters += [
-            _seconds(part(2)).alias(f"{phase}_cpu"),
-            _seconds(part(3)).alias(f"{phase}_elapsed"),
-            _whole(part(4)).alias(f"{phase}_disk"),
-            _whole(part(5)).alias(f"{phase}_query"),
-            _whole(part(6)).alias(f"{phase}_current"),
-            _whole(part(7)).alias(f"{phase}_rows"),
-        ]
+            counters[f"{phase}_count"] = _whole(part[1])
+        counters[f"{phase}_cpu"] = _seconds(part[2])
+        counters[f"{phase}_elapsed"] = _seconds(part[3])
+        for i, name in enumerate(("disk", "query", "current", "rows")):
+            counters[f"{phase}_{name}"] = _whole(part[4 + i])
+    timed = computed(phases.select("file", "block_no", "block", "sql_id", "sql_text", "body", *[f"_{p}" for p in ALL_PHASES]), **counters)
+    timed = timed.filter("total_elapsed > 0")
+    plan_at = _position(body, lambda l: l.rlike(PLAN_HEADER) | l.contains(PLAN_HEADER_PHRASE)).cast("int")
+    wait_at = _position(body, lambda l: l.rlike(WAIT_HEADER)).cast("int")
     empty = F.array().cast("array<string>")
-    plan_at = _position(F.col("body"), lambda l: l.rlike(PLAN_HEADER) | l.contains(PLAN_HEADER_PHRASE)).cast("int")
-    wait_at = _position(F.col("body"), lambda l: l.rlike(WAIT_HEADER)).cast("int")
-    timed = phases.select("file", "block_no", "block", "sql_id", "sql_text", "body", *counters).filter(
-        "total_elapsed > 0"
-    )
-    sections = timed.withColumn(
-        "_plan", F.when(plan_at > 0, _from(F.col("body"), plan_at + 1)).otherwise(empty)
-    ).withColumn(
-        "_wait",
-        F.transform(F.when(wait_at > 0, _from(F.col("body"), wait_at + 2)).otherwise(empty), strip),
+    plan = _until(
+        F.when(plan_at > 0, _from(body, plan_at + 1)).otherwise(empty),
+        lambda l: (strip(l) == "") | strip(l).startswith("Elapsed") | strip(l).startswith("****"),
     )
-    plan = F.transform(
-        _until(
-            F.col("_plan"),
-            lambda l: (strip(l) == "") | strip(l).startswith("Elapsed") | strip(l).startswith("****"),
-        ),
-        rstrip,
-    )
-    return sections.select(
+    waits = F.transform(F.when(wait_at > 0, _from(body, wait_at + 2)).otherwise(empty), strip)
+    # plain columns again: a reader that does not use one does not compute it
+    return timed.select(
         "file",
         "block_no",
         "sql_id",
         "sql_text",
-        *[c for c in timed.columns if c.split("_")[0] in PHASES + ("total",)],
-        plan.alias("execution_plan"),
-        _waits(F.col("_wait")).alias("wait_events"),
+        *counters,
+        F.transform(plan, rstrip).alias("execution_plan"),
+        _waits(waits).alias("wait_events"),
         _binds(F.col("block")).alias("bind_variables"),
     )
 
@@ -220,7 +205,7 @@ def exec_phases(statements: DataFrame) -> DataFrame:
                     for c in ("cpu", "elapsed", "disk", "query", "current", "rows")
                 ],
             )
-            for phase in PHASES + ("total",)
+            for phase in ALL_PHASES
         ]
     )
     return statements.select(*KEY, "sql_text", F.explode(rows).alias("r")).select(*KEY, "sql_text", "r.*")
@@ -231,13 +216,15 @@ def exec_phase_report(statements: DataFrame) -> DataFrame:
 
 
 def exec_plan_lines(statements: DataFrame) -> DataFrame:
-    return statements.select(*KEY, F.posexplode("execution_plan").alias("line_no", "line")).withColumn(
+    plans = computed(statements, _plan=F.col("execution_plan"))
+    return plans.select(*KEY, F.posexplode("_plan").alias("line_no", "line")).withColumn(
         "line_no", (F.col("line_no") + 1).cast("bigint")
     )
 
 
 def exec_waits(statements: DataFrame) -> DataFrame:
-    return statements.select(*KEY, F.explode("wait_events").alias("w")).select(*KEY, "w.*")
+    found = computed(statements, _waits=F.col("wait_events"))
+    return found.select(*KEY, F.explode("_waits").alias("w")).select(*KEY, "w.*")
 
 
 def exec_wait_report(waits: DataFrame) -> DataFrame:
@@ -245,9 +232,8 @@ def exec_wait_report(waits: DataFrame) -> DataFrame:
 
 
 def exec_binds(statements: DataFrame) -> DataFrame:
-    return statements.select(*KEY, "sql_text", F.explode("bind_variables").alias("b")).select(
-        *KEY, "sql_text", "b.*"
-    )
+    found = computed(statements, _binds=F.col("bind_variables"))
+    return found.select(*KEY, "sql_text", F.explode("_binds").alias("b")).select(*KEY, "sql_text", "b.*")
 
 
 def exec_bind_report(binds: DataFrame) -> DataFrame:

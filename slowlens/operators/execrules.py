@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.config import DEFAULTS, Settings
+from slowlens.functions.shape import computed
 from slowlens.operators.execreport import KEY
 
 # Rule names and the patterns they look for.
@@ -40,7 +41,8 @@ def _single(condition: Column, issue: Column) -> Column:
 
 def with_issues(statements: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Statements with an ``issues`` array in rule order."""
-    plan, waits = F.col("execution_plan"), F.col("wait_events")
+    statements = computed(statements, _plan=F.col("execution_plan"), _waits=F.col("wait_events"))
+    plan, waits = F.col("_plan"), F.col("_waits")
     none = F.lit(None).cast("string")
 
     full_scans = F.transform(
@@ -137,9 +139,8 @@ def with_issues(statements: DataFrame, settings: Settings = DEFAULTS) -> DataFra
             )
         ),
     )
-    return statements.withColumn(
-        "issues", F.concat(full_scans, nested_loops, gets_per_row, parsing, disk_reads, reads)
-    )
+    found = computed(statements, issues=F.concat(full_scans, nested_loops, gets_per_row, parsing, disk_reads, reads))
+    return found.drop("_plan", "_waits")
 
 
 def exec_issues(statements: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -10,6 +10,8 @@ Positions are line numbers; a block is known by the line it starts on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slowlens.config import DEFAULTS, Settings
@@ -90,41 +92,35 @@ TRANSFORMATIONS = (
 # abbreviation lists at the head of a trace: "CBQT - cost-based ..."
 LEGEND_LINE = r"^\s*[A-Za-z/]+ - "
 
-# One test per line decides which lines are kept; most begin with their word.
-LINE_STARTS = (
-    r"^\s*(?:Access Path:|Index:|resc_io:|ix_sel:|Cost:|Cost_io:|NL Join|Scan |Total Scan |Best::|Card:|Table:"
-    r"|Column\s|Join order|Best so far|\*{5}|\S+\s+=\s|SYSTEM STATISTICS|(?:CBQT|TE|SU|JE|CVM|ST|ORE)[:\s])"
-)
-LINE_PHRASES = (
-    "Oracle Database ",
-    "Instance name:",
-    "Database name:",
-    "Database role:",
-    "Node name:",
-    "SYSTEM STATISTICS INFORMATION",
-    "WORKLOAD Stats",
-    "(default is ",
-    "PARAMETERS WITH ",
-    "Bug Fix Control Environment",
-    "Access path analysis for ",
-    "OPTIMIZER STATISTICS",
-    "Best:: ",
-    "Card: Original:",
-    "Col#:",
-    "Alias:",
-    "Column (#",
-    "Best so far:",
-    "Number of join permutations tried:",
-    "Predicate Move-Around (PM)",
-)
-LINE_WORDS = r"(?i)join order\[|dynamic sampling|\b(?:CBQT|TE|SU|JE|CVM|ST|ORE)[:\s]|#\d+\s*transformed"
+# Phrases without which a line cannot match the patterns of its
+# kind.  Looking for a phrase is much cheaper than a pattern.
+PHRASES = {
+    "db": ("Oracle Database ", "Instance name:", "Database name:", "Database role:", "Node name:"),
+    "system": ("WORKLOAD Stats", "(default is "),
+    "table": ("Alias:",),
+    "index": ("Col#:",),
+    "column": ("Column",),
+    "access": ("Access", "Index:", "Cost", "resc_io:", "ix_sel:", "Card: Original:"),
+    "join": ("Best so far:", "join permutations tried:"),
+    "transformation": ("E:", "U:", "M:", "T:", "CBQT", "Predicate Move-Around (PM)"),
+    "marker": ("*****", "PARAMETERS WITH ", "SYSTEM STATISTICS", "Bug Fix Control Environment", "OPTIMIZER STATISTICS", "Table:"),
+}
+# the same for patterns that ignore case, in lower case
+LOWER_PHRASES = {"join": ("join order[",), "sampling": ("dynamic sampling",), "transformation": ("transformed",)}
+PARAMETER_SHAPE = r"^\s*\S+\s+=\s"
+
+
+def _may_be(line: Column, kind: str) -> Column:
+    """Whether a line can be of a kind at all, by its phrases."""
+    tests = [line.contains(p) for p in PHRASES.get(kind, ())]
+    tests += [F.lower(line).contains(p) for p in LOWER_PHRASES.get(kind, ())]
+    return reduce(Column.__or__, tests)
 
 
 def is_relevant(line: Column) -> Column:
-    hit = line.rlike(LINE_STARTS)
-    for phrase in LINE_PHRASES:
-        hit = hit | line.contains(phrase)
-    return hit | line.rlike(LINE_WORDS)
+    """Whether any extractor or section boundary can need a line."""
+    kinds = dict.fromkeys([*PHRASES, *LOWER_PHRASES])
+    return reduce(Column.__or__, [_may_be(line, k) for k in kinds]) | line.rlike(PARAMETER_SHAPE)
 
 
 def _states() -> tuple[dict[str, Column], dict[str, Column]]:
@@ -187,32 +183,31 @@ def facts_of_lines(whole: DataFrame, long: DataFrame | None = None, settings: Se
         F.col("default.at") == F.col("first_default"), "default"
     )
     in_block = F.col("block.at").isNotNull()
-    labels = line.rlike("|".join(f"(?:{p})" for p in DB_LABELS.values()))
-    tags = line.rlike("|".join(f"(?:{p})" for _, _, p in TRANSFORMATIONS if "(?i)" not in p))
+    def any_of(patterns) -> Column:
+        return line.rlike("|".join(f"(?:{p})" for p in patterns))
+
+    tag_patterns = [p for _, _, p in TRANSFORMATIONS if not p.startswith("(?i)")]
+    access_patterns = (
+        BLOCK_START, CARDINALITY, ACCESS_PATH, INDEX_LINE, RESOURCE_COST, SELECTIVITY, COST_LINE, NL_COST, COST_DETAIL,
+        BEST_PATH, *SCAN_COSTS.values(),
+    )
+    tests = {
+        "db": any_of(DB_LABELS.values()),
+        "system": in_system & any_of((STATS_MODE, STATS_ITEM)),
+        "table": line.rlike(TABLE_NAME) & next1.rlike(TABLE_STATS),
+        "index": line.rlike(INDEX_NAME) & next1.rlike(INDEX_STATS),
+        "column": line.rlike(COLUMN_NAME) & next1.rlike(COLUMN_STATS),
+        "access": in_block & any_of(access_patterns),
+        "join": line.rlike(JOIN_ORDER) | any_of((BEST_JOIN, PERMUTATIONS)),
+        "sampling": line.rlike(SAMPLING),
+        "transformation": line.contains(PREDICATE_MOVE)
+        | (any_of(tag_patterns) & ~line.rlike(LEGEND_LINE))
+        | line.rlike(TRANSFORMATIONS[-1][2]),
+    }
     kinds = F.array_compact(
         F.array(
-            F.when(labels, "db"),
-            F.when(in_system & line.rlike(f"{STATS_MODE}|{STATS_ITEM}"), "system"),
             F.when(section.isNotNull() & line.rlike(PARAMETER), "parameter"),
-            F.when(line.rlike(TABLE_NAME) & next1.rlike(TABLE_STATS), "table"),
-            F.when(line.rlike(INDEX_NAME) & next1.rlike(INDEX_STATS), "index"),
-            F.when(line.rlike(COLUMN_NAME) & next1.rlike(COLUMN_STATS), "column"),
-            F.when(
-                in_block
-                & line.rlike(
-                    "|".join(
-                        (BLOCK_START, CARDINALITY, ACCESS_PATH, INDEX_LINE, RESOURCE_COST, SELECTIVITY, COST_LINE,
-                         NL_COST, COST_DETAIL, BEST_PATH, *SCAN_COSTS.values())
-                    )
-                ),
-                "access",
-            ),
-            F.when(line.rlike(f"(?:{JOIN_ORDER})|(?:{BEST_JOIN})|(?:{PERMUTATIONS})"), "join"),
-            F.when(line.rlike(SAMPLING), "sampling"),
-            F.when(
-                line.contains(PREDICATE_MOVE) | (tags & ~line.rlike(LEGEND_LINE)) | line.rlike(TRANSFORMATIONS[-1][2]),
-                "transformation",
-            ),
+            *[F.when(_may_be(line, kind) & test, kind) for kind, test in tests.items()],
         )
     )
     return lines.select(

@@ -101,7 +101,9 @@ def exec_reports(spark: SparkSession, sf_dir: str) -> TextSet:
 
 def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, text)``: one optimizer trace per part."""
-    src = view(spark, sf_dir, "trace_src")
+    # rows are small, texts are not: spread the rows before texts are made
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = view(spark, sf_dir, "trace_src").repartition(tasks, "trace_no")
     c = F.col
     na = lambda flag: F.when(flag, "  (NOT ANALYZED)").otherwise("")
     stars = line("***************************************")

@@ -39,7 +39,7 @@ from lineitem""",
         ("sqlstat",),
         """
 select distinct dbid, instance_number, snap_id, sample_time as begin_interval_time,
-  sample_time + interval '1' day as end_interval_time
+  sample_time + interval '1' hour as end_interval_time
 from sqlstat""",
     ),
     "sqltext": (

@@ -97,7 +97,7 @@ def write_sqlstat(sqlstat: DataFrame, path: str) -> None:
 
 def write_texts(texts: DataFrame, path: str) -> None:
     """One text file per row of ``(file, text)``, each in a folder of that name."""
-    texts.select("file", "text").write.mode("errorifexists").partitionBy("file").text(path)
+    texts.select("file", "text").repartition("file").write.mode("errorifexists").partitionBy("file").text(path)
 
 
 def materialize(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:

@@ -47,7 +47,7 @@ def expired_files(files: DataFrame, now: datetime, policy=RETENTION_POLICY) -> D
     ``policy`` is a literal list ``(dir, name pattern, max_days)``, so the match
     is a column expression and needs no join.
     """
-    age = F.floor((F.unix_micros(F.lit(now)) - F.unix_micros("mtime")) / F.lit(86_400_000_000))
+    age = F.floor((F.unix_micros(F.lit(now)) - F.unix_micros(F.col("mtime").cast("timestamp"))) / F.lit(86_400_000_000))
     rules = F.array(
         *[
             F.when((F.col("dir") == d) & F.col("file_name").rlike(p) & (age > days), F.lit(days))

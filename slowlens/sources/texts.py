@@ -104,9 +104,12 @@ def read_exec_reports(spark: SparkSession, path: str, glob: str = REPORT_GLOB, s
     return read_texts(spark, path, glob, settings)
 
 
-def _lines_with_followers(text):
-    """All lines of a text with their number and the two lines after each."""
-    lines = F.split(text, "\n", -1)
+def _lines_with_followers(lines: Column) -> Column:
+    """Lines with their number and the two lines after each.
+
+    ``lines`` must be a stored column: an expression would be evaluated again
+    for every line.
+    """
     return F.transform(
         lines,
         lambda line, i: F.struct(
@@ -139,13 +142,13 @@ def lines_where(
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(file, line_no, line, next1, next2)`` of the lines that pass ``keep``.
 
-    Two frames: lines of whole files and lines of long files.  For whole files
-    the filter runs inside the array, before rows are made.
+    Two frames: lines of whole files and lines of long files.
     """
-    entries = _lines_with_followers(F.col("text"))
+    split = texts.texts.select("file", F.split("text", "\n", -1).alias("lines"))
+    entries = _lines_with_followers(F.col("lines"))
+    whole = split.select("file", F.explode(entries).alias("e")).select("file", "e.*")
     if keep is not None:
-        entries = F.filter(entries, lambda e: keep(e["line"]))
-    whole = texts.texts.select("file", F.explode(entries).alias("e")).select("file", "e.*")
+        whole = whole.filter(keep(F.col("line")))
     if texts.long_lines is None:
         return whole, None
     long = _long_lines_with_followers(texts.long_lines, settings.slice_lines)
