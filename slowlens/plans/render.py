@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from slowlens.functions.shape import computed
 from slowlens.plans.views import view
 from slowlens.sources.texts import TextSet, texts_of
 
@@ -74,8 +75,8 @@ def exec_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(""),
         when_lines(c("bind_count") > 0, line("BINDS #1:"), binds, line("EXEC #1:c=0,e=1"), line("  value=\"not a bind\"")),
     )
-    return src.select(
-        _text("run", c("file_no"), "_trace.prf").alias("file"), "block_no", F.array_join(block, "\n").alias("block")
+    return computed(src, file=_text("run", c("file_no"), "_trace.prf"), block=F.array_join(block, "\n")).select(
+        "file", "block_no", "block"
     )
 
 
@@ -83,8 +84,12 @@ def exec_report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, text)``; a report holds the blocks of a hundred orders.  Every
     other report has the line ends of the other convention."""
     rule = "\n" + "*" * 80 + "\n"
+    # a fixed number of tasks: the texts compress so well that their shuffled
+    # size says little about the work that parsing them takes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = (
         exec_block_rows(spark, sf_dir)
+        .repartition(tasks, "file")
         .groupBy("file")
         .agg(F.array_sort(F.collect_list(F.struct("block_no", "block"))).alias("b"))
     )
@@ -252,7 +257,7 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("query block SEL$1 #1 transformed"),
         line(""),
     )
-    return src.select("file", F.array_join(lines, "\n").alias("text"))
+    return computed(src, text=F.array_join(lines, "\n")).select("file", "text")
 
 
 def traces(spark: SparkSession, sf_dir: str) -> TextSet:
@@ -304,12 +309,12 @@ def awr_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         line("-----"),
     )
-    plans = plan.select(
-        "sql_id",
-        _text("select /* ", c("name"), " */ 1\nfrom dual").alias("sql_text"),
-        F.lit("1").alias("plan_hash_value"),
-        F.lit(None).cast("string").alias("source"),
-        lines.alias("plan"),
+    plans = computed(
+        plan,
+        sql_text=_text("select /* ", c("name"), " */ 1\nfrom dual"),
+        plan_hash_value=F.lit("1"),
+        source=F.lit(None).cast("string"),
+        plan=lines,
     )
     return plans.join(stats, "sql_id", "left").select(
         "sql_id", "sql_text", "plan_hash_value", "source", "plan", "stats"
