@@ -101,13 +101,13 @@ def write_and_read_detections(spark, sf):
     "read_trace_lines",
     "trace_src",
     """
-select file, sql_id, concat('select /* ', comment, ' */ * from ', table_name, chr(10), ' where c1 = ''a = b''') as sql_text
+select sql_id, concat('select /* ', comment, ' */ * from ', table_name, chr(10), ' where c1 = ''a = b''') as sql_text
 from trace_src""",
 )
 def read_trace_lines(spark, sf):
     path = scratch_path(spark, "traces")
-    k.write_texts(render.trace_texts(spark, sf), path)
-    return trace_sql(texts.read_traces(spark, path, glob="*.txt"))
+    k.write_texts(render.trace_texts(spark, sf), path, named=False)
+    return trace_sql(texts.read_traces(spark, path, glob="*.txt")).select("sql_id", "sql_text")
 
 
 @query(

@@ -8,6 +8,7 @@ from slowlens.operators import opttrace as o
 from slowlens.plans import render
 from slowlens.plans.catalog import query
 from slowlens.plans.q_detect import PATTERNS_SQL
+from slowlens.plans.q_traces import METHODS
 from slowlens.plans.views import view
 from slowlens.session import scratch_path
 from slowlens.sinks.documents import write_texts
@@ -99,13 +100,13 @@ def stream_weekly_top(spark, sf):
 @query(
     "stream_new_traces",
     "trace_src",
-    "select file, table_name, cast(least(scan_cost, index_cost) as double) as cost from trace_src",
+    METHODS + "select table_name, entry_no, method, index_name, cost from methods",
 )
 def stream_new_traces(spark, sf):
     path = scratch_path(spark, "traces")
-    write_texts(render.trace_texts(spark, sf), path)
-    lines = _drain(spark, jobs.stream_new_traces(spark, f"{path}/*", "*.txt"), "lines")
-    return o.best_access(o.facts_of_lines(lines)).select("file", "table_name", "cost")
+    write_texts(render.trace_texts(spark, sf), path, named=False)
+    lines = _drain(spark, jobs.stream_new_traces(spark, path, "*.txt"), "lines")
+    return o.access_methods(o.facts_of_lines(lines)).select("table_name", "entry_no", "method", "index_name", "cost")
 
 
 @query(
