@@ -82,7 +82,7 @@ TKPROF_DOC = _struct(
 
 @dataclass(frozen=True)
 class Documents:
-    """Readable documents and ``rejects(file, content)`` of those that are not."""
+    """Readable documents and ``rejects(file, content, partial)`` of the others."""
 
     docs: DataFrame
     rejects: DataFrame
@@ -105,7 +105,11 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType, glob: s
         .withColumn("file", F.col("_metadata.file_name"))
     )
     good = rows.filter("_corrupt_record is null").drop("_corrupt_record")
-    rejects = rows.filter("_corrupt_record is not null").select("file", F.col("_corrupt_record").alias("content"))
+    # the first field, as far as it was read: JSON cannot be asked for the bad text alone
+    partial = F.col(schema.fields[0].name).cast("string").alias("partial")
+    rejects = rows.filter("_corrupt_record is not null").select(
+        "file", F.col("_corrupt_record").alias("content"), partial
+    )
     return Documents(good, rejects)
 
 

@@ -69,7 +69,8 @@ def read_texts(
     size = F.col("_metadata.file_size")
 
     def clean(col):
-        return F.replace(col, F.lit("�"), F.lit("")) if drop_undecodable else col
+        valid = F.make_valid_utf8(col)
+        return F.replace(valid, F.lit("\ufffd"), F.lit("")) if drop_undecodable else valid
 
     whole = (
         spark.read.option("pathGlobFilter", glob)
