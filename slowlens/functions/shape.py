@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -14,3 +16,8 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     return df.select("*", F.inline(F.array(row)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slowlens.config import DEFAULTS, Settings
 from slowlens.functions.labels import band, bind_type_name, severity_weight
 from slowlens.functions.ordered import running_sum
-from slowlens.functions.shape import computed
+from slowlens.functions.shape import computed, let
 from slowlens.functions.text import base_name, preview, rstrip, strip
 from slowlens.sources.documents import PHASES
 from slowlens.sources.texts import TextSet
@@ -26,6 +26,7 @@ PHASE_ROWS = 10
 PHASE_NUMBERS = r"\s+\d+\s+[\d.]+\s+[\d.]+\s+\d+\s+\d+\s+\d+\s+\d+"
 PLAN_HEADER = r"(?i)^Rows\s+(?:Row Source|Execution Plan)"
 PLAN_HEADER_PHRASE = "Row Source Operation"
+PLAN_END = r"^\s*(?:$|Elapsed|\*{4})"
 WAIT_HEADER = r"(?i)^(?:Elapsed times include waiting|Event waited on)"
 WAIT_ROW = r"^(.+?)\s+(\d+)\s+([\d.]+)"
 BINDS_OPEN = r"BINDS\s*#"
@@ -77,8 +78,15 @@ def _from(lines: Column, start: Column) -> Column:
 
 def _until(lines: Column, stop) -> Column:
     """Lines before the first that passes ``stop``."""
-    end = _position(lines, stop)
-    return F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines)
+
+
+    def cut(all_lines):
+        return let(
+            _position(all_lines, stop),
+            lambda end: F.when(end > 0, F.slice(all_lines, F.lit(1), (end - 1).cast("int"))).otherwise(all_lines),
+        )
+
+    return let(lines, cut)
 
 
 def _phase_row(rows: Column, phase: str) -> Column:
@@ -169,14 +177,18 @@ def exec_statements(blocks: DataFrame) -> DataFrame:
             counters[f"{phase}_{name}"] = _whole(part[4 + i])
     timed = computed(phases.select("file", "block_no", "block", "sql_id", "sql_text", "body", *[f"_{p}" for p in ALL_PHASES]), **counters)
     timed = timed.filter("total_elapsed > 0")
-    plan_at = _position(body, lambda l: l.rlike(PLAN_HEADER) | l.contains(PLAN_HEADER_PHRASE)).cast("int")
-    wait_at = _position(body, lambda l: l.rlike(WAIT_HEADER)).cast("int")
-    empty = F.array().cast("array<string>")
+
+
+    def after(test, skip):
+        """Lines that begin ``skip`` lines after the first that passes."""
+        empty = F.array().cast("array<string>")
+        at = _position(body, test).cast("int")
+        return let(at, lambda i: F.when(i > 0, _from(body, i + skip)).otherwise(empty))
+
     plan = _until(
-        F.when(plan_at > 0, _from(body, plan_at + 1)).otherwise(empty),
-        lambda l: (strip(l) == "") | strip(l).startswith("Elapsed") | strip(l).startswith("****"),
+        after(lambda l: l.contains(PLAN_HEADER_PHRASE) | l.rlike(PLAN_HEADER), 1), lambda l: l.rlike(PLAN_END)
     )
-    waits = F.transform(F.when(wait_at > 0, _from(body, wait_at + 2)).otherwise(empty), strip)
+    waits = F.transform(after(lambda l: l.rlike(WAIT_HEADER), 2), strip)
     # plain columns again: a reader that does not use one does not compute it
     return timed.select(
         "file",

@@ -58,6 +58,30 @@ def _exact_seconds(total: Column, digits: int) -> Column:
     return F.round(total.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"), digits).cast("double")
 
 
+def _with_texts(ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The few ranked rows with their texts, as a left join that broadcasts the
+    left side.
+
+    ``ranked`` is read once and has at most ``top_n`` rows, which bounds the
+    broadcast; texts are only scanned, never shuffled.  Each row looks for its
+    own key and for an empty one, which a single extra row without text has, so
+    a row whose text is missing survives.
+    """
+
+    def key(dbid: str) -> Column:
+        return F.concat_ws(":", F.col(dbid).cast("string"), F.col("sql_id"))
+
+    wanted = ranked.withColumn(
+        "_key", F.explode(F.array_compact(F.array(F.when(F.col("_digest").isNotNull(), key("_dbid")), F.lit(""))))
+    )
+    extra = texts.sparkSession.range(1).select(F.lit("").alias("_key"), F.lit(None).cast("string").alias("sql_text"))
+    keyed = texts.select(key("dbid").alias("_key"), "sql_text").unionByName(extra)
+    hits = keyed.join(F.broadcast(wanted), "_key").filter(
+        F.col("sql_text").isNull() | (F.sha2("sql_text", 256) == F.col("_digest"))
+    )
+    return hits.groupBy(*ranked.columns).agg(F.max("sql_text").alias("sql_text"))
+
+
 def top_sql(
     sqlstat: DataFrame,
     snapshot: DataFrame,
@@ -107,17 +131,9 @@ def top_sql(
         .orderBy(F.desc("elapsed_sec"), *group, "_digest")
         .limit(top_n)
     )
-    # at most top_n rows, so this side has a fixed bound
-    wanted = ranked.filter("_digest is not null").select(F.col("_dbid").alias("dbid"), "sql_id", "_digest").distinct()
-    texts = (
-        sqltext.select("dbid", "sql_id", cut.alias("sql_text"))
-        .join(F.broadcast(wanted), ["dbid", "sql_id"])
-        .filter(F.sha2("sql_text", 256) == F.col("_digest"))
-        .groupBy(F.col("dbid").alias("_dbid"), "sql_id", "_digest")
-        .agg(F.min("sql_text").alias("sql_text"))
-    )
     exact = "decimal(20,0)"
-    return ranked.join(texts, ["_dbid", "sql_id", "_digest"], "left").select(
+    found = _with_texts(ranked, sqltext.select("dbid", "sql_id", cut.alias("sql_text")))
+    return found.select(
         "sql_id",
         "plan_hash_value",
         "sql_text",

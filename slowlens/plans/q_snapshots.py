@@ -13,6 +13,7 @@ from slowlens.operators.opttrace import trace_facts, trace_sql
 from slowlens.plans import render
 from slowlens.plans.catalog import query
 from slowlens.plans.views import view
+from slowlens.sinks.documents import materialize
 
 START, END = datetime(1996, 1, 1), datetime(2000, 12, 31, 23, 59, 59)
 WINDOW_SQL = (
@@ -358,5 +359,5 @@ def cover_kpis(spark, sf):
         view(spark, sf, "detection"),
         render.exec_reports(spark, sf).texts,
         traces.texts,
-        trace_issues(trace_facts(traces)),
+        trace_issues(materialize(trace_facts(traces), spark, "facts")),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -29,14 +30,16 @@ def build_session(app_name: str = "slowlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="slowlens-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
     (tests and single-machine runs) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="slowlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

