@@ -103,24 +103,76 @@ PHRASES = {
     "access": ("Access", "Index:", "Cost", "resc_io:", "ix_sel:", "Card: Original:"),
     "join": ("Best so far:", "join permutations tried:"),
     "transformation": ("E:", "U:", "M:", "T:", "CBQT", "Predicate Move-Around (PM)"),
-    "marker": ("*****", "PARAMETERS WITH ", "SYSTEM STATISTICS", "Bug Fix Control Environment", "OPTIMIZER STATISTICS", "Table:"),
 }
-# the same for patterns that ignore case, in lower case
-LOWER_PHRASES = {"join": ("join order[",), "sampling": ("dynamic sampling",), "transformation": ("transformed",)}
-PARAMETER_SHAPE = r"^\s*\S+\s+=\s"
+# the same for patterns that ignore case: a character they need, and a phrase in lower case
+LOWER_PHRASES = {"join": ("[", "join order["), "sampling": (" ", "dynamic sampling"), "transformation": ("#", "transformed")}
+TAG_PATTERNS = tuple(p for _, _, p in TRANSFORMATIONS if not p.startswith("(?i)"))
+ACCESS_PATTERNS = (
+    BLOCK_START,
+    CARDINALITY,
+    ACCESS_PATH,
+    INDEX_LINE,
+    RESOURCE_COST,
+    SELECTIVITY,
+    COST_LINE,
+    NL_COST,
+    COST_DETAIL,
+    BEST_PATH,
+    *SCAN_COSTS.values(),
+)
 
 
 def _may_be(line: Column, kind: str) -> Column:
     """Whether a line can be of a kind at all, by its phrases."""
     tests = [line.contains(p) for p in PHRASES.get(kind, ())]
-    tests += [F.lower(line).contains(p) for p in LOWER_PHRASES.get(kind, ())]
+    if kind in LOWER_PHRASES:
+        character, phrase = LOWER_PHRASES[kind]
+        tests.append(line.contains(character) & F.lower(line).contains(phrase))
     return reduce(Column.__or__, tests)
 
 
-def is_relevant(line: Column) -> Column:
-    """Whether any extractor or section boundary can need a line."""
-    kinds = dict.fromkeys([*PHRASES, *LOWER_PHRASES])
-    return reduce(Column.__or__, [_may_be(line, k) for k in kinds]) | line.rlike(PARAMETER_SHAPE)
+def candidate_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` that may be facts, one row per possible ``kind``, and the lines
+    that open or close a section or block, as kind ``marker``.
+
+    Looks at a line and its followers only, so it needs no shuffle.
+    """
+    line, next1 = F.col("line"), F.col("next1")
+
+    def any_of(patterns) -> Column:
+        return line.rlike("|".join(f"(?:{p})" for p in patterns))
+
+    tests = {
+        "db": any_of(DB_LABELS.values()),
+        "system": any_of((STATS_MODE, STATS_ITEM)),
+        "table": line.rlike(TABLE_NAME) & next1.rlike(TABLE_STATS),
+        "index": line.rlike(INDEX_NAME) & next1.rlike(INDEX_STATS),
+        "column": line.rlike(COLUMN_NAME) & next1.rlike(COLUMN_STATS),
+        "access": any_of(ACCESS_PATTERNS),
+        "join": line.rlike(JOIN_ORDER) | any_of((BEST_JOIN, PERMUTATIONS)),
+        "sampling": line.rlike(SAMPLING),
+        "transformation": line.contains(PREDICATE_MOVE)
+        | (any_of(TAG_PATTERNS) & ~line.rlike(LEGEND_LINE))
+        | line.rlike(TRANSFORMATIONS[-1][2]),
+    }
+    marker = (
+        (line.contains("*****") & (line.rlike(STARS) | next1.contains("PARAMETERS WITH DEFAULT")))
+        | line.contains("PARAMETERS WITH ")
+        | line.contains("SYSTEM STATISTICS")
+        | line.contains(ALTERED_END)
+        | line.contains(BLOCK_END)
+        | line.contains("Access path analysis for ")
+        | (line.contains("Table:") & line.rlike(DEFAULT_END))
+    )
+    # a plain array with nulls stays in generated code, removing them inside the array would not
+    kinds = F.array(
+        F.when(marker, "marker"),
+        F.when(line.contains("=") & line.rlike(PARAMETER), "parameter"),
+        *[F.when(_may_be(line, kind) & test, kind) for kind, test in tests.items()],
+    )
+    return lines.select("file", "line_no", "line", "next1", "next2", F.explode(kinds).alias("kind")).filter(
+        "kind is not null"
+    )
 
 
 def _states() -> tuple[dict[str, Column], dict[str, Column]]:
@@ -149,7 +201,9 @@ def _states() -> tuple[dict[str, Column], dict[str, Column]]:
         "first_default": F.when(default, no),
         "first_system": F.when(system, no),
     }
-    return lasts, firsts
+    # most rows are no markers: look at their text no further
+    only = lambda e: F.when(F.col("kind") == "marker", e)
+    return {n: only(e) for n, e in lasts.items()}, {n: only(e) for n, e in firsts.items()}
 
 
 def _with_states(whole: DataFrame, long: DataFrame | None, settings: Settings) -> DataFrame:
@@ -168,55 +222,36 @@ def _with_states(whole: DataFrame, long: DataFrame | None, settings: Settings) -
 
 def trace_facts(traces: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
     """The fact table of a trace set, see ``facts_of_lines``."""
-    return facts_of_lines(*lines_where(traces, is_relevant, settings), settings)
+    whole, long = lines_where(traces, settings=settings)
+    return facts_of_lines(candidate_lines(whole), None if long is None else candidate_lines(long), settings)
 
 
 def facts_of_lines(whole: DataFrame, long: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """``(file, line_no, line, next1, next2, kind, block_at, block_table, section)``.
+    """``(file, line_no, line, next1, next2, kind, block_at, block_table, section)``
+    of candidate lines.
 
-    Only the first system-statistics and the first parameter sections count.
+    Access facts lie in a block, parameters and system statistics in the first
+    section of their sort.
     """
     lines = _with_states(whole, long, settings)
-    line, next1 = F.col("line"), F.col("next1")
-    in_system = F.col("system.at") == F.col("first_system")
     section = F.when(F.col("altered.at") == F.col("first_altered"), "altered").when(
         F.col("default.at") == F.col("first_default"), "default"
     )
-    in_block = F.col("block.at").isNotNull()
-    def any_of(patterns) -> Column:
-        return line.rlike("|".join(f"(?:{p})" for p in patterns))
-
-    tag_patterns = [p for _, _, p in TRANSFORMATIONS if not p.startswith("(?i)")]
-    access_patterns = (
-        BLOCK_START, CARDINALITY, ACCESS_PATH, INDEX_LINE, RESOURCE_COST, SELECTIVITY, COST_LINE, NL_COST, COST_DETAIL,
-        BEST_PATH, *SCAN_COSTS.values(),
-    )
-    tests = {
-        "db": any_of(DB_LABELS.values()),
-        "system": in_system & any_of((STATS_MODE, STATS_ITEM)),
-        "table": line.rlike(TABLE_NAME) & next1.rlike(TABLE_STATS),
-        "index": line.rlike(INDEX_NAME) & next1.rlike(INDEX_STATS),
-        "column": line.rlike(COLUMN_NAME) & next1.rlike(COLUMN_STATS),
-        "access": in_block & any_of(access_patterns),
-        "join": line.rlike(JOIN_ORDER) | any_of((BEST_JOIN, PERMUTATIONS)),
-        "sampling": line.rlike(SAMPLING),
-        "transformation": line.contains(PREDICATE_MOVE)
-        | (any_of(tag_patterns) & ~line.rlike(LEGEND_LINE))
-        | line.rlike(TRANSFORMATIONS[-1][2]),
-    }
-    kinds = F.array_compact(
-        F.array(
-            F.when(section.isNotNull() & line.rlike(PARAMETER), "parameter"),
-            *[F.when(_may_be(line, kind) & test, kind) for kind, test in tests.items()],
-        )
+    kind = F.col("kind")
+    placed = (
+        F.when(kind == "marker", False)
+        .when(kind == "access", F.col("block.at").isNotNull())
+        .when(kind == "parameter", section.isNotNull())
+        .when(kind == "system", F.coalesce(F.col("system.at") == F.col("first_system"), F.lit(False)))
+        .otherwise(True)
     )
-    return lines.select(
+    return lines.filter(placed).select(
         "file",
         "line_no",
         "line",
         "next1",
         "next2",
-        F.explode(kinds).alias("kind"),
+        "kind",
         F.col("block.at").alias("block_at"),
         F.col("block.table").alias("block_table"),
         section.alias("section"),

@@ -129,7 +129,8 @@ union all
 select sql_id, coalesce(cast(plan_hash_value as varchar), '0'), {NOW_SQL}, elapsed_sec_per_exec from detection""",
 )
 def append_ledger(spark, sf):
-    return d.append_ledger(view(spark, sf, "detection"), view(spark, sf, "ledger"), NOW)
+    ledger = d.append_ledger(view(spark, sf, "detection"), view(spark, sf, "ledger"), NOW)
+    return ledger.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
 
 
 @query(

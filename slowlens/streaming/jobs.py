@@ -15,7 +15,7 @@ from slowlens.config import DEFAULTS, Settings
 from slowlens.operators.detect import detect_over_thresholds, exclude_statements, plan_key
 from slowlens.operators.execreport import exec_blocks, exec_statements
 from slowlens.operators.execrules import with_issues
-from slowlens.operators.opttrace import is_relevant
+from slowlens.operators.opttrace import candidate_lines
 from slowlens.sources.texts import TRACE_GLOB, TextSet, _file_name, lines_where
 from slowlens.functions.text import unix_newlines
 
@@ -114,8 +114,8 @@ def stream_large_files(spark: SparkSession, path: str, glob: str, settings: Sett
 
 
 def stream_new_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS) -> DataFrame:
-    """Relevant lines of new traces; ``facts_of_lines`` reads their table."""
-    return lines_where(stream_texts(spark, path, glob, settings), is_relevant, settings)[0]
+    """Candidate lines of new traces; ``facts_of_lines`` reads their table."""
+    return candidate_lines(lines_where(stream_texts(spark, path, glob, settings), settings=settings)[0])
 
 
 def stream_new_reports(spark: SparkSession, path: str, glob: str = "*.prf", settings: Settings = DEFAULTS) -> DataFrame:
