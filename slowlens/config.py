@@ -135,8 +135,6 @@ class Settings:
     whole_file_bytes: int = 32 * 1024 * 1024
     # lines per slice when one large file is spread over tasks
     slice_lines: int = 50_000
-    # a plan-side table is broadcast only when it has at most this many rows
-    broadcast_rows: int = 100_000
 
 
 DEFAULTS = Settings()

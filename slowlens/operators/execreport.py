@@ -278,10 +278,21 @@ def exec_worst_severity(statements: DataFrame) -> DataFrame:
 
 
 def exec_text_report(reports: TextSet) -> DataFrame:
-    """Whole texts per file with their line counts; empty texts are left out."""
-    return reports.texts.filter(F.col("text") != "").select(
+    """Whole texts per file with their line counts; empty texts are left out.
+
+    A file too large to be one value has its line count here and no text; its
+    lines are in ``long_lines``.
+    """
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    found = reports.texts.filter(F.col("text") != "").select(
+        "file", F.col("text").alias("full_text"), (newlines + 1).cast("bigint").alias("line_count")
+    )
+    if reports.long_lines is not None:
+        counted = reports.long_lines.groupBy("file").agg(F.count("*").alias("line_count"))
+        found = found.unionByName(counted.withColumn("full_text", F.lit(None).cast("string")))
+    return found.select(
         F.regexp_extract("file", r"([^_/]*?)(?:_|\.[^.]*$|$)", 1).alias("doc_id"),
         base_name(F.col("file")).alias("file_name"),
-        F.col("text").alias("full_text"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"),
+        "full_text",
+        "line_count",
     )

@@ -320,17 +320,24 @@ def ineligible_accounts(accounts: DataFrame, users: Sequence[str] = INELIGIBLE_U
     )
 
 
-def eligible_statements(stmt_stats: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Rows of known schemas that are not ineligible."""
-    return stmt_stats.filter("parsing_schema_name is not null").join(
-        ineligible_accounts(accounts), "parsing_schema_name", "left_anti"
-    )
+def _eligible(per_schema: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rows of schemas that are not ineligible.
+
+    Takes rows that are already reduced to one per id and schema: a schema may
+    own a large part of all statements, and only its distinct ids reach the join.
+    """
+    return per_schema.join(ineligible_accounts(accounts).distinct(), "parsing_schema_name", "left_anti")
 
 
 def top_statement_ids(stmt_stats: DataFrame, accounts: DataFrame, n: int = DEFAULTS.top_n) -> DataFrame:
     """Ids of eligible schemas by their largest elapsed time."""
+    per_schema = (
+        stmt_stats.filter("elapsed_time > 0 and parsing_schema_name is not null")
+        .groupBy("sql_id", "parsing_schema_name")
+        .agg(F.max("elapsed_time").alias("elapsed_time"))
+    )
     return (
-        eligible_statements(stmt_stats.filter("elapsed_time > 0"), accounts)
+        _eligible(per_schema, accounts)
         .groupBy("sql_id")
         .agg(F.max("elapsed_time").alias("elapsed_time"))
         .orderBy(F.desc("elapsed_time"), "sql_id")
@@ -341,10 +348,10 @@ def top_statement_ids(stmt_stats: DataFrame, accounts: DataFrame, n: int = DEFAU
 def eligible_ids(ids: DataFrame, stmt_stats: DataFrame, accounts: DataFrame) -> DataFrame:
     """Those ids that occur for an eligible schema, each once.
 
-    The statement side is reduced to distinct ids before it meets ``ids``.
+    The statement side is reduced to distinct pairs of id and schema first.
     """
-    known = eligible_statements(stmt_stats, accounts).select("sql_id").distinct()
-    return ids.select("sql_id").distinct().join(known, "sql_id", "left_semi")
+    pairs = stmt_stats.filter("parsing_schema_name is not null").select("sql_id", "parsing_schema_name").distinct()
+    return ids.select("sql_id").distinct().join(_eligible(pairs, accounts).select("sql_id"), "sql_id", "left_semi")
 
 
 def sql_text_for(ids: DataFrame, stmt_stats: DataFrame) -> DataFrame:

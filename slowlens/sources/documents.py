@@ -88,9 +88,13 @@ class Documents:
     rejects: DataFrame
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType, glob: str, multi_line: bool = True) -> Documents:
+def read_documents(
+    spark: SparkSession, path: str, schema: T.StructType, glob: str | None, multi_line: bool = True
+) -> Documents:
     """Documents that parse, apart from those that do not.
 
+    ``path`` is a folder, whose files are chosen by ``glob``; for one file, or a
+    path that is itself a pattern, give ``glob=None``.
     ``multi_line=True`` is one document per file; ``False`` one per line, which
     is what the sinks write and what splits over tasks.
     """
@@ -100,7 +104,7 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType, glob: s
         .option("mode", "PERMISSIVE")
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", glob)
+        .options(**({"pathGlobFilter": glob} if glob else {}))
         .json(path)
         .withColumn("file", F.col("_metadata.file_name"))
     )
@@ -113,15 +117,15 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType, glob: s
     return Documents(good, rejects)
 
 
-def read_awr_docs(spark: SparkSession, path: str, glob: str = "*_awr_*.json", multi_line: bool = True) -> Documents:
+def read_awr_docs(spark: SparkSession, path: str, glob: str | None = "*_awr_*.json", multi_line: bool = True) -> Documents:
     return read_documents(spark, path, AWR_DOC, glob, multi_line)
 
 
-def read_tkprof_docs(spark: SparkSession, path: str, glob: str = "*_tkprof_*.json", multi_line: bool = True) -> Documents:
+def read_tkprof_docs(spark: SparkSession, path: str, glob: str | None = "*_tkprof_*.json", multi_line: bool = True) -> Documents:
     return read_documents(spark, path, TKPROF_DOC, glob, multi_line)
 
 
-def read_detections(spark: SparkSession, path: str, glob: str = "detected_*.json", multi_line: bool = True) -> Documents:
+def read_detections(spark: SparkSession, path: str, glob: str | None = "detected_*.json", multi_line: bool = True) -> Documents:
     """One row per detected statement, stamped with its document's time."""
     found = read_documents(spark, path, DETECTION_DOC, glob, multi_line)
     rows = found.docs.select("file", "detected_at", F.explode("sql_list").alias("s")).select("file", "detected_at", "s.*")

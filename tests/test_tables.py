@@ -141,6 +141,9 @@ def test_bad_documents_are_set_apart(spark, tmp_path):
     assert [r.sql_id for r in found.docs.collect()] == ["a"]
     assert [r.file for r in found.rejects.collect()] == ["b_awr_1.json"]
     assert s.awr_stats_report(found.docs).first().band == "warn"
+    single = docs.read_awr_docs(spark, str(tmp_path / "c.json"), glob=None)
+    assert single.docs.count() == 1
+    assert docs.read_awr_docs(spark, str(tmp_path / "a_*.json"), glob=None).docs.first().sql_id == "a"
 
 
 def test_detections_carry_their_time(spark, tmp_path):

@@ -71,6 +71,8 @@ def test_large_reports_equal_whole_reports(spark, report_dir, tiny_splits):
     split = e.exec_blocks(t.read_exec_reports(spark, report_dir, "*.txt", SMALL), SMALL)
     assert whole.count() == 400
     assert rows(split) == rows(whole)
+    counts = e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt", SMALL))
+    assert counts.filter("full_text is null and line_count > 100").count() == 4
 
 
 def test_line_ends_and_bad_bytes(spark, tmp_path):
