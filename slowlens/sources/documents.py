@@ -82,7 +82,7 @@ TKPROF_DOC = _struct(
 
 @dataclass(frozen=True)
 class Documents:
-    """Readable documents and ``rejects(file, content, partial)`` of the others."""
+    """Readable documents and ``rejects(file, content)`` of the others."""
 
     docs: DataFrame
     rejects: DataFrame
@@ -98,22 +98,18 @@ def read_documents(
     ``multi_line=True`` is one document per file; ``False`` one per line, which
     is what the sinks write and what splits over tasks.
     """
-    bad = T.StructType(schema.fields + [T.StructField("_corrupt_record", _S)])
+    # Parsed by an expression on the text, not by the JSON source: that one
+    # refuses queries, a count for example, which need no field of the document.
+    tolerant = T.StructType(schema.fields + [T.StructField("_corrupt_record", _S)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     rows = (
-        spark.read.schema(bad)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .options(**({"pathGlobFilter": glob} if glob else {}))
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_name"))
-    )
-    good = rows.filter("_corrupt_record is null").drop("_corrupt_record")
-    # the first field, as far as it was read: JSON cannot be asked for the bad text alone
-    partial = F.col(schema.fields[0].name).cast("string").alias("partial")
-    rejects = rows.filter("_corrupt_record is not null").select(
-        "file", F.col("_corrupt_record").alias("content"), partial
+        spark.read.options(**({"pathGlobFilter": glob} if glob else {}))
+        .text(path, wholetext=multi_line)
+        .filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+        .select(F.col("_metadata.file_name").alias("file"), F.from_json("value", tolerant, options).alias("d"))
     )
+    good = rows.filter("d._corrupt_record is null").select("d.*", "file").drop("_corrupt_record")
+    rejects = rows.filter("d._corrupt_record is not null").select("file", F.col("d._corrupt_record").alias("content"))
     return Documents(good, rejects)
 
 
