@@ -127,10 +127,9 @@ def recent_detections(
 ) -> DataFrame:
     """The newest ``n`` entries of the last ``hours``, each with the full count."""
     recent = ledger.filter(F.col("collected_at") >= F.lit(now - timedelta(hours=hours)))
-    total = recent.agg(F.count("*").alias("recent_count"))
+    total = recent.agg(F.count("*"))
     newest = recent.orderBy(F.desc("collected_at"), "sql_id", "plan_hash_value").limit(n)
-    # one row on the other side: an aggregate without keys
-    return newest.crossJoin(total)
+    return newest.withColumn("recent_count", total.scalar())
 
 
 def canonical_detection(df: DataFrame) -> DataFrame:

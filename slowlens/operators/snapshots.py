@@ -228,7 +228,8 @@ def sql_elapsed(sqlstat: DataFrame, snapshot: DataFrame, start: datetime, end: d
 
 def db_summary(sysstat, sqlstat, snapshot, start, end) -> DataFrame:
     """Both totals in one row."""
-    return db_time(sysstat, snapshot, start, end).crossJoin(sql_elapsed(sqlstat, snapshot, start, end))
+    elapsed = sql_elapsed(sqlstat, snapshot, start, end)
+    return db_time(sysstat, snapshot, start, end).withColumn("sql_elapsed_sec", elapsed.scalar())
 
 
 def top_sql_report(top: DataFrame) -> DataFrame:
@@ -256,12 +257,13 @@ def top_sql_report(top: DataFrame) -> DataFrame:
 
 def workload_kpis(top: DataFrame, detected: DataFrame, reports: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: three counts and the two totals."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return (
-        count(top, "top_sql_count")
-        .crossJoin(count(detected, "detected_count"))
-        .crossJoin(count(reports, "report_count"))
-        .crossJoin(summary.select("db_time_sec", "sql_elapsed_sec"))
+    count = lambda df: df.agg(F.count("*")).scalar()
+    return summary.select(
+        count(top).alias("top_sql_count"),
+        count(detected).alias("detected_count"),
+        count(reports).alias("report_count"),
+        "db_time_sec",
+        "sql_elapsed_sec",
     )
 
 
