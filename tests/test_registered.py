@@ -6,11 +6,13 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import compare, connect
+from slowlens.plans import catalog
 
 # limits that no row of the smallest tables reaches
 EMPTY_WHEN_SMALL = {"exec_rule_high_cost_nl_join", "report_window_daily"}
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+entry_module.queries()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,8 @@ def con(sf_dir):
 
 def test_each_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
