@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation: equal texts move together while counts stay even.
 
 Documents start in shards by rank of a hash, so counts differ by one at most.  In every
-round each group of linked documents (equal texts) has home shards, those that hold most
-of it (as many as its size needs), and members elsewhere ask for a home.  Requests
+round each group of linked documents (equal texts) has a home, the shard that holds most
+of it, and members elsewhere ask for a place there; a group larger than half a shard
+claims as many shards as its size needs, and small groups settle elsewhere.  Requests
 between two shards in opposite directions are swapped; of the rest a shard admits as
 many as it holds documents without links, and those make room by moving to the shards
 that lost members.  Both keep every count as it was, so the law ``rows`` holds exactly
@@ -11,7 +12,7 @@ after each round.  Rounds end when no request is admitted.
 A group may be far larger than a shard: it is counted per shard with map-side sums, its
 rows are never collected, and adaptive execution splits their join with the homes.  Ranks
 are taken inside slices of a hash.  What reaches the driver are counts per pair of shards
-(1,600 at most).  Every round is a written table.  Texts are read once; rows then hold
+and per large group and shard (fewer than 3,200 rows each).  Every round is a written table.  Texts are read once; rows then hold
 numbers only.  A null text has no bytes and equals other null texts; identical rows and
 null ids are separate documents.  An empty table gives no shards.
 """
@@ -48,6 +49,30 @@ def plan_round(wanted: dict[tuple[int, int], int], free: dict[int, int], shards:
     return admitted, grows
 
 
+def claim_homes(held: list[tuple], shards: int, capacity: int) -> tuple[list[tuple], set[int]]:
+    """Rows ``(k1, k2, homes, doors)`` for large groups ``(k1, k2, size, shard, n)``, and the shards that these mostly fill.
+
+    Largest group first; a home is a shard with room for it, if there is one, and then
+    the one that holds most of the group.  ``doors`` repeats homes as they lack members.
+    """
+    groups: dict[tuple, dict[int, int]] = {}
+    for k1, k2, size, shard, n in held:
+        groups.setdefault((size, k1, k2), {})[shard] = n
+    load, claims = [0] * shards, []
+    for (size, k1, k2), on in sorted(groups.items(), reverse=True):
+        homes, needs, left = [], [], size
+        while left > 0 and len(homes) < shards:
+            part = min(left, capacity)
+            s = min((s for s in range(shards) if s not in homes), key=lambda s: (max(0, load[s] + part - capacity), -on.get(s, 0), s))
+            homes.append(s)
+            needs.append(max(0, part - on.get(s, 0)))
+            load[s] += part
+            left -= part
+        doors = [h for h, need in zip(homes, needs) for _ in range(-(-need * 256 // max(1, sum(needs))))]
+        claims.append((k1, k2, homes, doors or homes))
+    return claims, {s for s in range(shards) if load[s] * 2 > capacity}
+
+
 def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``(rid, mark, k1, k2, linked, shard)`` of ``rows`` (``rid, mark, k1, k2``), counts at most one apart."""
     linked = rows.groupBy(*GROUP).count().where("count > 1").select(*GROUP, F.lit(True).alias("linked"))
@@ -55,15 +80,21 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     ranked = rank_in(known.withColumn("all", F.lit(0)), "all", _slice(), [F.col("mark"), F.col("rid")], "rank")
     state = saved(ranked.select("rid", "mark", *GROUP, "linked", (F.col("rank") % shards).cast("int").alias("shard")), "shards")
     capacity = max(1, -(-state.count() // shards))
-    for _ in range(rounds):
-        held = state.where("linked").groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n"))
-        tie = F.xxhash64(*GROUP, "shard")
-        homes = (
-            held.groupBy(*GROUP)
-            .agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("n", tie.alias("t"), "shard")), asc=False).alias("s"))
-            .select(*GROUP, F.slice(F.col("s")["shard"], F.lit(1), F.ceil(F.col("c") / capacity).cast("int")).alias("homes"))
+    for turn in range(rounds):
+        held = saved(state.where("linked").groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), "shard-held")
+        sizes = held.groupBy(*GROUP).agg(F.sum("n").alias("c"))
+        large = sizes.where(F.col("c") * 2 > capacity)  # fewer than two per shard
+        claims, busy = claim_homes([tuple(r) for r in held.join(large, GROUP).select(*GROUP, "c", "shard", "n").collect()], shards, capacity)
+        quiet = [s for s in range(shards) if s not in busy] or list(range(shards))
+        calm = F.array_contains(F.lit(quiet), F.col("shard"))
+        best = F.max(F.struct(calm.alias("calm"), "n", F.xxhash64(*GROUP, "shard").alias("t"), "shard"))
+        other = F.element_at(F.lit(quiet), F.pmod(F.xxhash64(*GROUP), F.lit(len(quiet))).cast("int") + 1)
+        small = held.join(sizes.where(F.col("c") * 2 <= capacity), GROUP, "left_semi").groupBy(*GROUP).agg(best.alias("best"))
+        one = F.array(F.when(F.col("best.calm"), F.col("best.shard")).otherwise(other))
+        homes = small.select(*GROUP, one.alias("homes"), one.alias("doors")).union(
+            state.sparkSession.createDataFrame(claims, "k1 long, k2 long, homes array<int>, doors array<int>")
         )
-        home = F.col("homes")[F.pmod("mark", F.size("homes")).cast("int")]
+        home = F.col("doors")[F.pmod(F.xxhash64("mark", "rid", F.lit(turn)), F.size("doors")).cast("int")]
         asks = saved(
             state.where("linked")
             .join(homes, GROUP)
