@@ -277,22 +277,32 @@ def exec_worst_severity(statements: DataFrame) -> DataFrame:
     )
 
 
-def exec_text_report(reports: TextSet) -> DataFrame:
-    """Whole texts per file with their line counts; empty texts are left out.
+def exec_text_report(reports: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
+    """Whole texts per file in numbered parts, with the line count of the file; empty texts are left out.
 
-    A file too large to be one value has its line count here and no text; its
-    lines are in ``long_lines``.
+    A file too large to be one value comes in parts of ``slice_lines`` lines, every other
+    one is a single part; parts in order, joined by line ends, are the text.
     """
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    one = F.lit(1).cast("bigint")
     found = reports.texts.filter(F.col("text") != "").select(
-        "file", F.col("text").alias("full_text"), (newlines + 1).cast("bigint").alias("line_count")
+        "file", F.col("text").alias("full_text"), (newlines + 1).cast("bigint").alias("line_count"), one.alias("part"), one.alias("parts")
     )
     if reports.long_lines is not None:
-        counted = reports.long_lines.groupBy("file").agg(F.count("*").alias("line_count"))
-        found = found.unionByName(counted.withColumn("full_text", F.lit(None).cast("string")))
+        part = (F.floor((F.col("line_no") - 1) / settings.slice_lines) + 1).alias("part")
+        pieces = (
+            reports.long_lines.groupBy("file", part)
+            .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+            .select("file", "part", F.array_join(F.col("lines.line"), "\n").alias("full_text"))
+        )
+        sizes = reports.long_lines.groupBy("file").agg(F.count("*").alias("line_count"), F.max(part).alias("parts"))
+        found = found.unionByName(pieces.join(sizes, "file"))
     return found.select(
         F.regexp_extract("file", r"([^_/]*?)(?:_|\.[^.]*$|$)", 1).alias("doc_id"),
         base_name(F.col("file")).alias("file_name"),
         "full_text",
         "line_count",
+        "part",
+        "parts",
     )
+

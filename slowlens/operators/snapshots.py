@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -209,7 +210,7 @@ def db_time(
     )
     total = F.sum((F.col("e") - F.col("b")).cast("decimal(20,0)"))
     return pairs.agg(
-        F.coalesce(F.round(total / F.lit(int(unit)).cast("decimal(10,0)"), 2).cast("double"), F.lit(0.0)).alias(
+        F.coalesce(F.round(total / F.lit(Decimal(str(unit))).cast("decimal(18,6)"), 2).cast("double"), F.lit(0.0)).alias(
             "db_time_sec"
         )
     )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +21,8 @@ def build_session(app_name: str = "slowlens", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.filterPushdown": "true",
+        # keys of a day do not fit on the heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }
     for key, value in settings.items():
@@ -30,16 +30,17 @@ def build_session(app_name: str = "slowlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="slowlens-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests and single-machine runs) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset the warehouse
+    folder of the session takes its place, as long as executors can see it: a session
+    on several machines with a folder that is only local is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") and (base.startswith("file:") or ":" not in base):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ WORKLOAD_TABLES = (
 def read_workload_tables(spark: SparkSession, path: str, names=WORKLOAD_TABLES, fmt: str = "parquet") -> dict[str, DataFrame]:
     """One lazy DataFrame per table below ``path``.
 
-    ``sqlstat`` written by ``write_workload_table`` is partitioned by snapshot
+    ``sqlstat`` written by ``write_sqlstat`` is partitioned by snapshot
     id range, so a window on snapshots prunes files.
     """
     return {name: spark.read.format(fmt).load(f"{path.rstrip('/')}/{name}") for name in names}

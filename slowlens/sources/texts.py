@@ -62,21 +62,23 @@ def number_lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def clean_bytes(value: Column, drop_undecodable: bool) -> Column:
+    """Text of a file whose bytes may not be UTF-8: those are dropped or replaced."""
+    valid = F.make_valid_utf8(value)
+    return F.replace(valid, F.lit("\ufffd"), F.lit("")) if drop_undecodable else valid
+
+
 def read_texts(
     spark: SparkSession, path: str, glob: str, settings: Settings = DEFAULTS, drop_undecodable: bool = False
 ) -> TextSet:
     limit = settings.whole_file_bytes
     size = F.col("_metadata.file_size")
 
-    def clean(col):
-        valid = F.make_valid_utf8(col)
-        return F.replace(valid, F.lit("\ufffd"), F.lit("")) if drop_undecodable else valid
-
     whole = (
         spark.read.option("pathGlobFilter", glob)
         .text(path, wholetext=True)
         .filter(size <= limit)
-        .select(_file_name().alias("file"), unix_newlines(clean(F.col("value"))).alias("text"))
+        .select(_file_name().alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text"))
     )
     listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("length")
     if listing.filter(F.col("length") > limit).isEmpty():
@@ -89,7 +91,7 @@ def read_texts(
         .select(
             _file_name().alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
-            clean(F.col("value")).alias("value"),
+            clean_bytes(F.col("value"), drop_undecodable).alias("value"),
         )
     )
     return TextSet(whole, number_lines(lines))

@@ -16,7 +16,7 @@ from slowlens.operators.detect import detect_over_thresholds, exclude_statements
 from slowlens.operators.execreport import exec_blocks, exec_statements
 from slowlens.operators.execrules import with_issues
 from slowlens.operators.opttrace import candidate_lines
-from slowlens.sources.texts import TRACE_GLOB, TextSet, _file_name, lines_where
+from slowlens.sources.texts import TRACE_GLOB, TextSet, _file_name, clean_bytes, lines_where
 from slowlens.functions.text import unix_newlines
 
 # Period of detection, of a snapshot, and the report periods.
@@ -89,38 +89,24 @@ def period_top(rollup: DataFrame, n: int = DEFAULTS.top_n) -> DataFrame:
     return rollup.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
 
 
-def stream_texts(spark: SparkSession, path: str, glob: str, settings: Settings = DEFAULTS) -> TextSet:
-    """Newly arrived texts; the checkpoint of the query is the list of those done."""
-    raw = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return TextSet(
-        raw.filter(F.col("_metadata.file_size") <= settings.whole_file_bytes).select(
-            _file_name().alias("file"), unix_newlines(F.col("value")).alias("text")
-        )
-    )
-
+def stream_texts(spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False) -> TextSet:
+    """Newly arrived texts of any size; the checkpoint of the query is the list of those done.
 
-def stream_large_files(spark: SparkSession, path: str, glob: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Paths of new files that are too large to read whole; the batch reader
-    takes these split by split."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select("path", "length")
-        .filter(F.col("length") > settings.whole_file_bytes)
-    )
+    A file is one row, so one that exceeds Spark's limit for a value (2 GB) stops the
+    query with an error instead of being skipped.
+    """
+    raw = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True)
+    return TextSet(raw.select(_file_name().alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text")))
 
 
 def stream_new_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS) -> DataFrame:
     """Candidate lines of new traces; ``facts_of_lines`` reads their table."""
-    return candidate_lines(lines_where(stream_texts(spark, path, glob, settings), settings=settings)[0])
+    return candidate_lines(lines_where(stream_texts(spark, path, glob, drop_undecodable=True), settings=settings)[0])
 
 
 def stream_new_reports(spark: SparkSession, path: str, glob: str = "*.prf", settings: Settings = DEFAULTS) -> DataFrame:
     """Statements of new execution reports with their issues."""
-    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob, settings))), settings)
+    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob))), settings)
 
 
 def start(df: DataFrame, path: str, checkpoint: str, every: str = DETECT_EVERY) -> StreamingQuery:

@@ -14,6 +14,7 @@ from slowlens.functions import text as t
 from slowlens.operators import detect as d, planrules, snapshots as s
 from slowlens.sinks import documents as k
 from slowlens.sources import documents as docs, files
+from slowlens.session import scratch_path
 from slowlens.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -253,11 +254,29 @@ def test_new_texts_are_read_once(spark, tmp_path):
     assert lines.filter("kind = 'marker'").count() == 2
 
 
-def test_large_texts_go_to_the_batch_reader(spark, tmp_path):
+def test_large_texts_are_not_skipped(spark, tmp_path):
     source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
     source.mkdir()
-    (source / "10053_big_1.trc").write_text("x" * 100)
-    (source / "10053_small_1.trc").write_text("x")
-    settings = replace(DEFAULTS, whole_file_bytes=10)
-    jobs.run_available(jobs.stream_large_files(spark, str(source), "10053_*.trc", settings), out, checkpoint)
-    assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(out).collect()] == ["10053_big_1.trc"]
+    (source / "10053_big_1.trc").write_bytes(b"Access path analysis for T1\r\n  Access\xff Path: A\r\n" * 50)
+    (source / "10053_small_1.trc").write_bytes(b"Access path analysis for T1\n")
+    settings = replace(DEFAULTS, whole_file_bytes=100)
+    jobs.run_available(jobs.stream_new_traces(spark, str(source), settings=settings), out, checkpoint)
+    counts = spark.read.parquet(out).groupBy("file").count().collect()
+    assert {r["file"] for r in counts} == {"10053_big_1.trc", "10053_small_1.trc"}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:1", "spark.sql.warehouse.dir": "file:/tmp/w"})
+
+    with pytest.raises(ValueError):
+        scratch_path(Session, "x")
+    Session.conf["spark.master"] = "local[2]"
+    assert scratch_path(Session, "x").startswith("file:/tmp/w/x-")
+    Session.conf["spark.checkpoint.dir"] = "s3a://shared/c/"
+    assert scratch_path(Session, "x").startswith("s3a://shared/c/x-")
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from slowlens.config import DEFAULTS
 from slowlens.operators import execreport as e, opttrace as o
@@ -71,8 +72,16 @@ def test_large_reports_equal_whole_reports(spark, report_dir, tiny_splits):
     split = e.exec_blocks(t.read_exec_reports(spark, report_dir, "*.txt", SMALL), SMALL)
     assert whole.count() == 400
     assert rows(split) == rows(whole)
-    counts = e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt", SMALL))
-    assert counts.filter("full_text is null and line_count > 100").count() == 4
+    parts = e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt", SMALL), SMALL)
+    assert parts.filter("full_text is null").count() == 0
+    assert parts.filter("parts > 1").select("file_name").distinct().count() == 4
+
+    def texts(df):
+        ordered = F.array_sort(F.collect_list(F.struct("part", "full_text")))
+        joined = df.groupBy("file_name").agg(F.array_join(ordered["full_text"], "\n").alias("text"))
+        return rows(joined.select("file_name", F.rtrim(F.col("text"), F.lit("\n")).alias("text")))
+
+    assert texts(parts) == texts(e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt")))
 
 
 def test_line_ends_and_bad_bytes(spark, tmp_path):
