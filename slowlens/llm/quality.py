@@ -7,8 +7,9 @@ without any given label.  The posterior of a pattern is the soft label of its do
 linear scorer on byte trigrams and repetition is trained on a bounded sample of
 documents (``sample``, drawn by a hash) and scores all of them.
 
-Votes are built-in expressions; features are numpy on whole texts.  The driver sees vote
-counts and the sample's features, both of fixed size.  Nothing is shuffled but counts.
+Votes are built-in expressions, taken once and written with the texts to the shared folder;
+features are numpy on whole texts.  The driver sees vote counts and the sample's features, both
+of fixed size.  Nothing is shuffled but counts and the sample.
 Texts without a word get no vote and score 0; null ids and repeated rows are scored like any
 other.  Without documents the scorer is neutral (0.5) and the result empty.
 """
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import SPACES, let, table, tokens_of
+from slowlens.llm.common import SPACES, let, saved, table, tokens_of
 from slowlens.llm.hashing import word_hashes
 from slowlens.llm.lines import repeated_tokens
 
@@ -36,7 +37,10 @@ FALSE_ALARM = 0.01
 DETECTED = 0.2
 CHUNK = 1 << 18
 MARKS = r"[.!?…。！？][\"'”’)\]]*\s*$"
-PLAIN = r"^[\"'“„«¿¡(\[]*[\p{L}\p{N}]+([-'’.@/][\p{L}\p{N}]+)*[\"'”’»)\].,;:?…]*$|^\S*[。！？]\S*$"
+#: A token of letters and digits with usual marks around it, or one with a mark of languages without spaces.
+PLAIN = r"(?<!\S)(?:[\"'“„«¿¡(\[]*+[\p{L}\p{N}]++(?:[-'’.@/][\p{L}\p{N}]++)*+[\"'”’»)\].,;:?…]*+|\S*[。！？]\S*+)(?!\S)"
+#: A token whose next token is the same.
+RUN = r"(?<!\S)(\S++)(?=\s++\1(?!\S))"
 LABELLERS = ("symbols", "separators", "capitals", "shouts", "runs", "repeats", "plain", "endings", "sentences")
 
 
@@ -46,7 +50,7 @@ def votes(text: Column) -> Column:
         return part / F.greatest(whole, F.lit(1))
 
     def count_of(t, chars):
-        return F.length(t) - F.length(F.translate(t, chars, ""))
+        return F.regexp_count(t, F.lit(f"[{chars}]"))
 
     def bad_from(value, limit):
         return F.when(value >= limit, 0)
@@ -54,11 +58,12 @@ def votes(text: Column) -> Column:
     def judge(t):
         def of_tokens(w):
             n = F.size(w)
-            capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-            letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-            same = F.size(F.filter(w, lambda x, i: (i > 0) & (x == w[F.greatest(i - 1, F.lit(0))])))
-            plain = share(F.size(F.filter(w, lambda x: F.rlike(x, F.lit(PLAIN)))), n)
-            lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+            # one search of the whole text each: a call per token or character costs several times as much
+            capitals = F.regexp_count(t, F.lit(r"\p{Lu}"))
+            letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}++", ""))
+            same = F.regexp_count(t, F.lit(RUN))
+            plain = share(F.regexp_count(t, F.lit(PLAIN)), n)
+            lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
             unmarked = let(lines, lambda ls: share(F.size(F.filter(ls, lambda x: ~F.rlike(x, F.lit(MARKS)))), F.size(ls)))
             marks = share(count_of(t, ".!?…。！？"), n)
             found = {
@@ -70,7 +75,7 @@ def votes(text: Column) -> Column:
                 "repeats": let(share(repeated_tokens(w), n), lambda r: F.when(n < ENOUGH, 2).when(r >= 0.3, 0).when(r <= 0.1, 1)),
                 "plain": let(plain, lambda p: F.when(n < ENOUGH, 2).when(p >= 0.85, 1).when(p <= 0.65, 0)),
                 "endings": let(unmarked, lambda u: F.when(u <= 0.34, 1).when(u >= 0.67, 0)),
-                "sentences": F.when(n < ENOUGH, 2).when((marks >= 0.02) & (marks <= 0.5), 1).when((marks < 0.01) | (marks >= 0.9), 0),
+                "sentences": let(marks, lambda m: F.when(n < ENOUGH, 2).when((m >= 0.02) & (m <= 0.5), 1).when((m < 0.01) | (m >= 0.9), 0)),
             }
             return F.struct(*[F.when(n > 0, found[name]).cast("int").alias(name) for name in LABELLERS])
 
@@ -179,6 +184,7 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, keep_from: float = 0.3)
     """``doc_id, n_votes, posterior, score, kept`` of every document."""
     text = F.coalesce("text", F.lit(""))
     judged = docs.select("doc_id", text.cast("binary").alias("raw"), (F.translate(text, SPACES, "") != "").alias("has_words"), votes(F.col("text")).alias("vote"))
+    judged = saved(judged, "votes")  # votes cost more than all the rest, so they are taken once
     rows = judged.groupBy(*[F.coalesce(F.col("vote")[n], F.lit(-1)).alias(n) for n in LABELLERS]).count().collect()  # 4^9 at most
     patterns = np.array([[r[n] for n in LABELLERS] for r in rows], int).reshape(-1, len(LABELLERS))
     counts = np.array([r["count"] for r in rows], float)
