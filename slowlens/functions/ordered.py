@@ -38,7 +38,10 @@ def running_state(
     firsts: Mapping[str, Column],
     slice_lines: int,
 ) -> DataFrame:
-    """For each line the last (first) non-null state at or before it, per key."""
+    """For each line the last (first) non-null state at or before it, per key.
+
+    Rows of one line share a state; at most one of them may set it.
+    """
     names = [*lasts, *firsts]
     sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_lines))
     for name, expr in {**lasts, **firsts}.items():
@@ -58,7 +61,7 @@ def running_state(
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
         *[F.first(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in firsts],
     )
-    inside = Window.partitionBy(key, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(key, "_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = sliced.join(carry, [key, "_slice"])
     for n in lasts:
         out = out.withColumn(n, F.coalesce(F.last(f"_s_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")))

@@ -209,7 +209,8 @@ def _states() -> tuple[dict[str, Column], dict[str, Column]]:
 def _with_states(whole: DataFrame, long: DataFrame | None, settings: Settings) -> DataFrame:
     lasts, firsts = _states()
     # A whole file is bounded by whole_file_bytes, so it may be one window group.
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # A range frame: rows of one line see its marker, in whatever order they come.
+    w = Window.partitionBy("file").orderBy("line_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = whole.select(
         "*",
         *[F.last(e, ignorenulls=True).over(w).alias(n) for n, e in lasts.items()],
