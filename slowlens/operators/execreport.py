@@ -298,7 +298,8 @@ def exec_text_report(reports: TextSet, settings: Settings = DEFAULTS) -> DataFra
         sizes = reports.long_lines.groupBy("file").agg(F.count("*").alias("line_count"), F.max(part).alias("parts"))
         found = found.unionByName(pieces.join(sizes, "file"))
     return found.select(
-        F.regexp_extract("file", r"([^_/]*?)(?:_|\.[^.]*$|$)", 1).alias("doc_id"),
+        "file",
+        F.regexp_extract(base_name(F.col("file")), r"([^_]*?)(?:_|\.[^.]*$|$)", 1).alias("doc_id"),
         base_name(F.col("file")).alias("file_name"),
         "full_text",
         "line_count",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slowlens.config import INSTANCE_PARAMETERS, OS_ITEMS, PGA_ITEMS
+from slowlens.functions.text import base_name
 
 # Bytes of the display units.
 MIB = 1024.0 * 1024.0
@@ -88,7 +89,7 @@ def environment_from_trace(db_info: DataFrame) -> DataFrame:
     labels = [c for c in db_info.columns if c != "file"]
     return (
         db_info.filter(F.coalesce(*labels).isNotNull())
-        .agg(F.min_by(F.struct("file", *labels), "file").alias("e"))
+        .agg(F.min_by(F.struct("file", *labels), F.struct(base_name(F.col("file")), "file")).alias("e"))
         .filter("e is not null")
         .select("e.*")
     )

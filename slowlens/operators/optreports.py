@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slowlens.config import KEY_PARAMETERS_SHEET
-from slowlens.functions.text import preview
+from slowlens.functions.text import base_name, preview
 
 # Bytes of a block; display limits.
 BLOCK_BYTES = 8192
@@ -179,7 +179,7 @@ def system_stats_report(system: DataFrame) -> DataFrame:
 
 def system_stats_environment(system: DataFrame) -> DataFrame:
     """All items of the first trace by name, with the mode."""
-    first = system.agg(F.min("file").alias("file"))
+    first = system.agg(F.min(F.struct(base_name(F.col("file")), "file"))["file"].alias("file"))
     return system.join(F.broadcast(first), "file", "left_semi").select(  # one row: an aggregate without keys
         "item",
         "value",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from slowlens.config import DEFAULTS, Settings
 from slowlens.functions.ordered import running_state
 from slowlens.functions.text import extract, strip
-from slowlens.sources.texts import TextSet, lines_where
+from slowlens.sources.texts import TextSet, lines_with_followers
 
 # ---------------------------------------------------------------------------
 # Line patterns of the trace format.
@@ -223,7 +223,7 @@ def _with_states(whole: DataFrame, long: DataFrame | None, settings: Settings) -
 
 def trace_facts(traces: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
     """The fact table of a trace set, see ``facts_of_lines``."""
-    whole, long = lines_where(traces, settings=settings)
+    whole, long = lines_with_followers(traces, settings)
     return facts_of_lines(candidate_lines(whole), None if long is None else candidate_lines(long), settings)
 
 
@@ -306,7 +306,7 @@ def _sql_of_long_files(lines: DataFrame) -> DataFrame:
     """
     line, no = F.col("line"), F.col("line_no")
     heads = (
-        lines.filter(line.rlike(SQL_HEADER))
+        lines.filter(line.rlike(SQL_HEADER + r"\z"))
         .groupBy("file")
         .agg(
             F.min("line_no").alias("_head"),
@@ -686,20 +686,30 @@ def best_join(facts: DataFrame) -> DataFrame:
     )
 
 
-def join_search(facts: DataFrame) -> DataFrame:
-    """Permutations tried and the single-table flag, in one aggregate per file."""
+def join_search(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Permutations tried and the single-table flag of every file.
+
+    ``files(file)`` are those with any fact unless given.
+    """
+    files = facts.select("file").distinct() if files is None else files
     line, no = F.col("line"), F.col("line_no")
     tried = line.rlike(PERMUTATIONS) & (F.col("kind") == "join")
     # distinct names first: a trace may repeat a table many times
     tables = F.when(F.col("kind") == "table", F.regexp_extract(line, TABLE_NAME, 1))
     per_name = (
-        facts.withColumn("_table", tables)
+        facts.filter(F.col("kind").isin("join", "table"))
+        .withColumn("_table", tables)
         .groupBy("file", "_table")
         .agg(F.min(F.when(tried, F.struct(no.alias("at"), _group("line", PERMUTATIONS, 1, "bigint").alias("n")))).alias("_p"))
     )
+    found = per_name.groupBy("file").agg(F.min("_p")["n"].alias("n"), F.count("_table").alias("t"))
     return (
-        per_name.groupBy("file")
-        .agg(F.coalesce(F.min("_p")["n"], F.lit(0)).cast("bigint").alias("permutations"), F.count("_table").alias("tables"))
+        files.join(found, "file", "left")
+        .select(
+            "file",
+            F.coalesce("n", F.lit(0)).cast("bigint").alias("permutations"),
+            F.coalesce("t", F.lit(0)).cast("bigint").alias("tables"),
+        )
         .withColumn("is_single_table", (F.col("permutations") == 1) & (F.col("tables") <= 1))
     )
 

@@ -266,4 +266,4 @@ select concat('run', cast(file_no as varchar)) as doc_id, concat('run', cast(fil
 from exec_src group by file_no""",
 )
 def exec_text_report(spark, sf):
-    return e.exec_text_report(render.exec_reports(spark, sf)).drop("full_text", "part", "parts")
+    return e.exec_text_report(render.exec_reports(spark, sf)).drop("file", "full_text", "part", "parts")

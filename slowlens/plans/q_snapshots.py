@@ -359,5 +359,5 @@ def cover_kpis(spark, sf):
         view(spark, sf, "detection"),
         render.exec_reports(spark, sf).texts,
         traces.texts,
-        trace_issues(materialize(trace_facts(traces), spark, "facts")),
+        trace_issues(materialize(trace_facts(traces), spark, "facts", "kind")),
     )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from slowlens.operators import execreport as e, execrules as r
 from slowlens.operators.detect import detected_report
-from slowlens.operators.opttrace import trace_facts, trace_index_stats, trace_sql
+from slowlens.operators.opttrace import access_methods, trace_facts, trace_index_stats, trace_sql
 from slowlens.plans import q_execreport, render
 from slowlens.plans.catalog import query
+from slowlens.plans.q_traces import METHODS
 from slowlens.plans.views import view
 from slowlens.session import scratch_path
 from slowlens.sinks import documents as k
@@ -110,6 +111,20 @@ def read_trace_lines(spark, sf):
     return trace_sql(texts.read_traces(spark, path, glob="*.txt")).select("sql_id", "sql_text")
 
 
+@query(
+    "access_methods_of_equal_names",
+    "trace_src",
+    METHODS + "select file, table_name, entry_no, method, index_name, cost, cost_io from methods",
+)
+def access_methods_of_equal_names(spark, sf):
+    """Every text lies in a folder of its own, under a name that texts in other folders have too."""
+    path = scratch_path(spark, "folders")
+    k.write_texts(render.trace_texts(spark, sf), path)
+    found = access_methods(trace_facts(texts.read_traces(spark, path, glob="*.txt")))
+    folder = F.regexp_extract("file", r"/file=([^/]+)/[^/]*$", 1).alias("file")
+    return found.select(folder, "table_name", "entry_no", "method", "index_name", "cost", "cost_io")
+
+
 @query(
     "read_exec_reports",
     "exec_src",
@@ -120,7 +135,7 @@ from exec_src group by 1""",
 def read_exec_reports(spark, sf):
     path = scratch_path(spark, "reports")
     k.write_texts(render.exec_report_texts(spark, sf), path)
-    blocks = e.exec_blocks(texts.read_exec_reports(spark, path, glob="*.txt"))
+    blocks = e.exec_blocks(texts.read_exec_reports(spark, path, glob="*.txt", file=texts.folder_value()))
     found = e.exec_statements(blocks).select("file", "block_no", F.lit(1).alias("n"))
     return (
         blocks.select("file", "block_no")

@@ -12,6 +12,7 @@ from slowlens.plans.q_traces import METHODS
 from slowlens.plans.views import view
 from slowlens.session import scratch_path
 from slowlens.sinks.documents import write_texts
+from slowlens.sources.texts import folder_value
 from slowlens.streaming import jobs
 
 
@@ -119,5 +120,5 @@ select concat('run', cast(file_no as varchar), '_trace.prf') as file, block_no,
 def stream_new_reports(spark, sf):
     path = scratch_path(spark, "reports")
     write_texts(render.exec_report_texts(spark, sf), path)
-    found = _drain(spark, jobs.stream_new_reports(spark, f"{path}/*", "*.txt"), "statements")
+    found = _drain(spark, jobs.stream_new_reports(spark, f"{path}/*", "*.txt", file=folder_value()), "statements")
     return found.select("file", "block_no", "sql_id", F.col("total_elapsed").cast("double").alias("total_elapsed"))

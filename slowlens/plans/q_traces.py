@@ -20,10 +20,10 @@ def facts(spark, sf):
 
 def shared_facts(spark, sf):
     """Facts for queries with several readers: written once, read by each."""
-    return materialize(facts(spark, sf), spark, "facts")
+    return materialize(facts(spark, sf), spark, "facts", "kind")
 
 
-@query("trace_content_check", "trace_src", "select file, cast(2 as bigint) as marker_lines from trace_src")
+@query("trace_content_check", "trace_src", "select file, cast(case when two_tables then 3 else 2 end as bigint) as marker_lines from trace_src")
 def content_check(spark, sf):
     return trace_content_check(render.traces(spark, sf))
 
@@ -65,7 +65,8 @@ select file, 'altered' as section, 'statistics_level' as name, statistics_level
 union all select file, 'default', 'optimizer_mode', 'all_rows' from trace_src
 union all select file, 'default', 'cpu_count', cast(cpu_count as varchar) from trace_src
 union all select file, 'default', '_optimizer_skip_scan_enabled', 'true' from trace_src
-union all select file, 'default', '_other_parameter', cast(trace_no as varchar) from trace_src"""
+union all select file, 'default', '_other_parameter', cast(trace_no as varchar) from trace_src
+union all select file, 'default', '_second_parameter', cast(cpu_count as varchar) from trace_src where two_tables"""
 
 
 @query("trace_params", "trace_src", PARAMS)
@@ -141,7 +142,9 @@ def numbered(df):
     "trace_src",
     """
 select file, cast(1 as bigint) as block_no, table_name, cardinality from trace_src
-union all select file, 2, table2_name, null from trace_src where two_tables""",
+union all select file, 2, table2_name, null from trace_src where two_tables
+union all select file, case when two_tables then 3 else 2 end, concat('W', cast(trace_no as varchar)), null from trace_src
+  where nl_line""",
 )
 def access_blocks(spark, sf):
     return numbered(o.access_blocks(facts(spark, sf)))
@@ -175,7 +178,9 @@ def access_methods(spark, sf):
 select file, cast(1 as bigint) as block_no, table_name, scan_cost + 0.5::double as scan_io_cost,
   cast(7121.44 as double) as scan_cpu_cost, scan_cost + 0.75::double as total_scan_io_cost,
   cast(7121.44 as double) as total_scan_cpu_cost from trace_src
-union all select file, 2, table2_name, null, null, null, null from trace_src where two_tables""",
+union all select file, 2, table2_name, null, null, null, null from trace_src where two_tables
+union all select file, case when two_tables then 3 else 2 end, concat('W', cast(trace_no as varchar)), null, null, null, null
+  from trace_src where nl_line""",
 )
 def scan_costs(spark, sf):
     return numbered(o.scan_costs(facts(spark, sf)))
@@ -279,6 +284,10 @@ union all select file, 3, 'TE', 'Table Expansion', 'considered', 'TE: Checking v
 union all select file, 4, 'SU', 'Subquery Unnesting', case when unnested then 'applied' else 'considered' end,
   concat('SU: ', case when unnested then 'Unnested subquery' else 'Considering subquery unnesting' end) from trace_src
 union all select file, 5, 'JE', 'Join Elimination', 'considered', 'JE:   Considering join elimination' from trace_src
+union all select file, 6, 'CVM', 'Complex View Merging', 'considered', 'CVM: Considering view merge in query block SEL$2'
+  from trace_src where unnested
+union all select file, 7, 'ST', 'Star Transformation', 'considered', 'ST: not valid since star transformation is off'
+  from trace_src where two_tables
 union all select file, 8, 'ORE', 'Or Expansion', 'considered', 'ORE: bypassed - No valid predicate' from trace_src
 union all select file, 9, 'GENERIC', 'Query Block Transformation', 'applied', 'query block SEL$1 #1 transformed' from trace_src)
 """
@@ -535,6 +544,6 @@ def key_params_report(spark, sf):
     return v.key_params_report(o.trace_params(facts(spark, sf)))
 
 
-@query("other_params_count", "trace_src", "select file, cast(1 as bigint) as other_params from trace_src")
+@query("other_params_count", "trace_src", "select file, cast(case when two_tables then 2 else 1 end as bigint) as other_params from trace_src")
 def other_params_count(spark, sf):
     return v.other_params_count(o.trace_params(facts(spark, sf)), KEY_PARAMETERS_PAGE)

@@ -112,6 +112,7 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     na = lambda flag: F.when(flag, "  (NOT ANALYZED)").otherwise("")
     stars = line("***************************************")
+    gap = when_lines(c("two_tables"), line(""), line(" \t"))
     samples = F.flatten(
         F.transform(
             F.filter(F.sequence(F.lit(0), F.lit(1)), lambda i: i < c("sampling_lines")),
@@ -158,6 +159,7 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("cpu_count                           = ", c("cpu_count")),
         line("_optimizer_skip_scan_enabled        = true"),
         line("_other_parameter                    = ", c("trace_no")),
+        when_lines(c("two_tables"), line("_second_parameter                   = ", c("cpu_count"))),
         line("fix  3834770 = 1"),
         line(""),
         line("-----------------------------"),
@@ -174,6 +176,7 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("***********************"),
         line("Table Stats::"),
         line("  Table: ", c("table_name"), "  Alias:  A", na(c("not_analyzed"))),
+        gap,
         line("  #Rows: ", c("table_rows"), "  SSZ: 0  #Blks:  ", c("table_blocks"), "  AvgRowLen:  100.00  NEB: 0"),
         when_lines(
             c("two_tables"),
@@ -184,6 +187,7 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         line("Index Stats::"),
         line("  Index: ", c("index_name"), "  Col#: 1 2", na(c("index_not_analyzed"))),
+        gap,
         line("  LVLS: 1  #LB: 25  #DK: 100  LB/K: 1.00  DB/K: 2.50  CLUF: ", c("clustering_factor"), ".00  NRW: ",
              c("index_rows"), ".00 SSZ: 0.00"),
         line("Access path analysis for ", c("table_name")),
@@ -192,7 +196,9 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("  Column (#2): C1(NUMBER)"),
         line("    AvgLen: 3 NDV: 1 Nulls: 0 Density: 1"),
         line("  Column (#2): C1(NUMBER)", F.when(c("column_no_stats"), "  NO STATISTICS (using defaults)").otherwise("")),
+        gap,
         line("    AvgLen: 5 NDV: ", c("ndv"), " Nulls: 2 Density: 0.25"),
+        gap,
         when_lines(c("histogram").isNotNull(), line("    Histogram: ", c("histogram"), "  #Bkts: 10  UncompBkts: 20  EndPtVals: 5")),
         samples,
         line("  Table: ", c("table_name"), "  Alias: A"),
@@ -217,13 +223,16 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             c("scan_cost") <= c("index_cost"),
             F.concat(
                 line("  Best:: AccessPath: TableScan"),
+                gap,
                 line("         Cost: ", c("scan_cost"), ".000000  Degree: 1  Resp: ", c("scan_cost"),
                      ".000000  Card: 10.000000  Bytes: 0.000000"),
             ),
         ).otherwise(
             F.concat(
                 line("  Best:: AccessPath: ", F.when(c("two_tables"), "IndexFFS").otherwise("IndexRange")),
+                gap,
                 line("  Index: ", c("index_name")),
+                gap,
                 line("         Cost: ", c("index_cost"), ".000000  Degree: 1  Resp: ", c("index_cost"),
                      ".000000  Card: 10.000000  Bytes: 0.000000"),
             )
@@ -231,9 +240,11 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         when_lines(
             c("two_tables"),
             line("Access path analysis for ", c("table2_name")),
+            line("SINGLE TABLE ACCESS PATH "),
             line("  Access Path: TableScan"),
             line("    Cost:  3.500000  Resp: 3.500000  Degree: 0"),
         ),
+        when_lines(c("nl_line"), line("Access path analysis for W", c("trace_no"))),
         line(""),
         line("OPTIMIZER STATISTICS AND COMPUTATIONS"),
         line("  Access Path: TableScan"),
@@ -250,6 +261,8 @@ def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("CBQT: Considering view merge"),
         line("TE: Checking validity of table expansion"),
         line("SU: ", F.when(c("unnested"), "Unnested subquery").otherwise("Considering subquery unnesting")),
+        when_lines(c("unnested"), line("CVM: Considering view merge in query block SEL$2")),
+        when_lines(c("two_tables"), line("ST: not valid since star transformation is off")),
         line("OJE: Begin: find best directive"),
         line("  JE:   Considering join elimination"),
         line("LORE: Trying or-Expansion"),

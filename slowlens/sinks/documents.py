@@ -98,8 +98,8 @@ def write_sqlstat(sqlstat: DataFrame, path: str) -> None:
 def write_texts(texts: DataFrame, path: str, named: bool = True) -> None:
     """One text file per row of ``(file, text)``.
 
-    ``named`` puts each into a folder of that name, which the readers take as
-    its name; without it the files lie side by side under generated names,
+    ``named`` puts each into a folder ``file=name``, which readers with the key
+    ``folder_value()`` take as its name; without it the files lie side by side under generated names,
     which lists much faster.
     """
     if named:
@@ -108,12 +108,12 @@ def write_texts(texts: DataFrame, path: str, named: bool = True) -> None:
         texts.select("text").write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
 
 
-def materialize(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Write a relation to the shared folder and read it back.
+def materialize(df: DataFrame, spark: SparkSession, label: str, *by: str) -> DataFrame:
+    """Write a relation to the shared folder, in folders of ``by``, and read it back.
 
     Cuts the lineage, survives lost executors and lets several readers share
     one pass over the text.
     """
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,12 +8,12 @@ by counting lines per split.  Nothing is cut or rejected for size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from slowlens.config import DEFAULTS, Settings
+from slowlens.functions.ordered import running_sum
 from slowlens.functions.text import unix_newlines
 
 # File name patterns of the two kinds of text.
@@ -27,6 +27,7 @@ TRACE_MARKERS = ("SINGLE TABLE ACCESS PATH", "PARAMETERS USED BY THE OPTIMIZER")
 class TextSet:
     """``texts(file, text)`` plus the lines of files too large to read whole.
 
+    ``file`` is the key of a text everywhere: the full path where texts are read.
     ``long_lines(file, line_no, line)`` is None when no file is that large;
     ``line_no`` starts at 1.
     """
@@ -35,31 +36,52 @@ class TextSet:
     long_lines: DataFrame | None = None
 
 
-def _file_name():
-    """File name; for one-file-per-directory layouts the directory's value."""
-    path = F.col("_metadata.file_path")
-    named = F.regexp_extract(path, r"([^/=]+\.(?:trc|prf))(?:/[^/]*)?$", 1)
-    return F.when(named != "", named).otherwise(F.col("_metadata.file_name"))
+def file_path() -> Column:
+    """The key of a file: its full path, as names may repeat in other folders."""
+    return F.col("_metadata.file_path")
+
+
+def folder_value(column: str = "file") -> Column:
+    """The key of a file that lies alone in a folder ``column=value``: the value."""
+    return F.regexp_extract(file_path(), rf"/{column}=([^/]+)/[^/]*$", 1)
 
 
 def number_lines(rows: DataFrame) -> DataFrame:
-    """Line numbers for ``(file, split, value)`` rows read in file order.
+    """Line numbers for ``(file, split, value, bytes, file_bytes)`` rows read in file order.
 
     Inside a split the reading order is that of ``monotonically_increasing_id``;
     only the order is used, never the id itself, so the result does not depend
     on how splits were packed into tasks.  A split is the unit of the sort.
+
+    The reader gives no row for what follows a final line end.  The file has
+    one when its lines with a line end each fill it; then an empty line is added,
+    as cutting the whole text gives.
     """
+    pieces = F.split(F.regexp_replace("value", "\r$", ""), "\r", -1)
     ordered = (
-        rows.select("file", "split", F.explode(F.split(F.regexp_replace("value", "\r$", ""), "\r", -1)).alias("line"))
+        rows.select("file", "split", "bytes", "file_bytes", F.posexplode(pieces).alias("_piece", "line"))
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_n", F.row_number().over(Window.partitionBy("file", "split").orderBy("_id")))
     )
-    sizes = ordered.groupBy("file", "split").agg(F.max("_n").alias("_size"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return ordered.join(starts, ["file", "split"]).select(
-        "file", (F.col("_start") + F.col("_n")).cast("bigint").alias("line_no"), "line"
+    filled = F.sum(F.when(F.col("_piece") == 0, F.col("bytes") + 1))
+    sizes = ordered.groupBy("file", "split").agg(
+        F.max("_n").alias("_size"), filled.alias("_filled"), F.max("file_bytes").alias("_file_bytes")
     )
+    by_split = Window.partitionBy("file").orderBy("split")
+    before = by_split.rowsBetween(Window.unboundedPreceding, -1)
+    is_last = F.lead("split").over(by_split).isNull()
+    is_full = F.sum("_filled").over(Window.partitionBy("file")) == F.col("_file_bytes")
+    starts = sizes.select(
+        "file",
+        "split",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.when(is_last & is_full, F.col("_size")).alias("_ends_at"),
+    )
+    no = (F.col("_start") + F.col("_n")).cast("bigint")
+    own = F.struct(no.alias("line_no"), F.col("line"))
+    after = F.struct((no + 1).alias("line_no"), F.lit("").alias("line"))
+    found = F.when(F.col("_n").eqNullSafe(F.col("_ends_at")), F.array(own, after)).otherwise(F.array(own))
+    return ordered.join(starts, ["file", "split"]).select("file", F.inline(found))
 
 
 def clean_bytes(value: Column, drop_undecodable: bool) -> Column:
@@ -69,8 +91,15 @@ def clean_bytes(value: Column, drop_undecodable: bool) -> Column:
 
 
 def read_texts(
-    spark: SparkSession, path: str, glob: str, settings: Settings = DEFAULTS, drop_undecodable: bool = False
+    spark: SparkSession,
+    path: str,
+    glob: str,
+    settings: Settings = DEFAULTS,
+    drop_undecodable: bool = False,
+    file: Column | None = None,
 ) -> TextSet:
+    """The texts below a path; ``file`` is the key of a text, by default its full path."""
+    file = file_path() if file is None else file
     limit = settings.whole_file_bytes
     size = F.col("_metadata.file_size")
 
@@ -78,7 +107,7 @@ def read_texts(
         spark.read.option("pathGlobFilter", glob)
         .text(path, wholetext=True)
         .filter(size <= limit)
-        .select(_file_name().alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text"))
+        .select(file.alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text"))
     )
     listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("length")
     if listing.filter(F.col("length") > limit).isEmpty():
@@ -89,48 +118,63 @@ def read_texts(
         .text(path)
         .filter(size > limit)
         .select(
-            _file_name().alias("file"),
+            file.alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             clean_bytes(F.col("value"), drop_undecodable).alias("value"),
+            F.octet_length("value").alias("bytes"),
+            size.alias("file_bytes"),
         )
     )
     return TextSet(whole, number_lines(lines))
 
 
-def read_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS) -> TextSet:
+def read_traces(
+    spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
+) -> TextSet:
     """Optimizer traces; bytes that are not UTF-8 are dropped."""
-    return read_texts(spark, path, glob, settings, drop_undecodable=True)
+    return read_texts(spark, path, glob, settings, drop_undecodable=True, file=file)
 
 
-def read_exec_reports(spark: SparkSession, path: str, glob: str = REPORT_GLOB, settings: Settings = DEFAULTS) -> TextSet:
+def read_exec_reports(
+    spark: SparkSession, path: str, glob: str = REPORT_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
+) -> TextSet:
     """Execution reports; bytes that are not UTF-8 are replaced."""
-    return read_texts(spark, path, glob, settings)
+    return read_texts(spark, path, glob, settings, file=file)
+
+
+def _numbered(lines: Column) -> Column:
+    return F.transform(lines, lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line")))
+
+
+def _has_text(line: Column) -> Column:
+    return line.rlike(r"\S")
 
 
-def _lines_with_followers(lines: Column) -> Column:
-    """Lines with their number and the two lines after each.
+def _with_followers(lines: Column) -> Column:
+    """Numbered lines with the two lines after each.
 
     ``lines`` must be a stored column: an expression would be evaluated again
     for every line.
     """
     return F.transform(
         lines,
-        lambda line, i: F.struct(
-            (i + 1).cast("bigint").alias("line_no"),
-            line.alias("line"),
-            F.get(lines, i + 1).alias("next1"),
-            F.get(lines, i + 2).alias("next2"),
+        lambda e, i: F.struct(
+            e["line_no"].alias("line_no"),
+            e["line"].alias("line"),
+            F.get(lines, i + 1)["line"].alias("next1"),
+            F.get(lines, i + 2)["line"].alias("next2"),
         ),
     )
 
 
 def _long_lines_with_followers(lines: DataFrame, slice_lines: int) -> DataFrame:
-    """The same for long files: windows per slice, each slice also holding a
-    copy of the first two lines of the slice after it."""
-    own = F.floor(F.col("line_no") / slice_lines)
-    offset = F.col("line_no") % slice_lines
+    """The same for long files: windows per slice of lines with text, each slice
+    also holding a copy of the first two lines of the slice after it."""
+    counted = running_sum(lines, "file", ["line_no"], F.lit(1), "_no", slice_lines)
+    own = F.floor(F.col("_no") / slice_lines)
+    offset = F.col("_no") % slice_lines
     slices = F.when((offset < 2) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = lines.withColumn("_own", own).withColumn("_slice", F.explode(slices))
+    spread = counted.withColumn("_own", own).withColumn("_slice", F.explode(slices))
     w = Window.partitionBy("file", "_slice").orderBy("line_no")
     return (
         spread.withColumn("next1", F.lead("line", 1).over(w))
@@ -140,30 +184,24 @@ def _long_lines_with_followers(lines: DataFrame, slice_lines: int) -> DataFrame:
     )
 
 
-def lines_where(
-    texts: TextSet, keep: Callable[[Column], Column] | None = None, settings: Settings = DEFAULTS
-) -> tuple[DataFrame, DataFrame | None]:
-    """``(file, line_no, line, next1, next2)`` of the lines that pass ``keep``.
+def lines_with_followers(texts: TextSet, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame | None]:
+    """``(file, line_no, line, next1, next2)`` of all lines that are not blank.
 
-    Two frames: lines of whole files and lines of long files.
+    Blank lines are counted, but are nobody's follower.  Two frames: lines of
+    whole files and lines of long files.
     """
-    split = texts.texts.select("file", F.split("text", "\n", -1).alias("lines"))
-    entries = _lines_with_followers(F.col("lines"))
-    whole = split.select("file", F.explode(entries).alias("e")).select("file", "e.*")
-    if keep is not None:
-        whole = whole.filter(keep(F.col("line")))
+    numbered = _numbered(F.split("text", "\n", -1))
+    kept = texts.texts.select("file", F.filter(numbered, lambda e: _has_text(e["line"])).alias("lines"))
+    whole = kept.select("file", F.inline(_with_followers(F.col("lines"))))
     if texts.long_lines is None:
         return whole, None
-    long = _long_lines_with_followers(texts.long_lines, settings.slice_lines)
-    return whole, long if keep is None else long.filter(keep(F.col("line")))
+    return whole, _long_lines_with_followers(texts.long_lines.filter(_has_text(F.col("line"))), settings.slice_lines)
 
 
-def trace_lines(
-    traces: TextSet, keep: Callable[[Column], Column] | None = None, settings: Settings = DEFAULTS
-) -> DataFrame:
-    """Numbered lines of a trace set, both kinds of file together."""
-    whole, long = lines_where(traces, keep, settings)
-    return whole if long is None else whole.unionByName(long)
+def trace_lines(traces: TextSet) -> DataFrame:
+    """``(file, line_no, line)`` of all lines of a trace set, both kinds of file together."""
+    whole = traces.texts.select("file", F.inline(_numbered(F.split("text", "\n", -1))))
+    return whole if traces.long_lines is None else whole.unionByName(traces.long_lines)
 
 
 def texts_of(df: DataFrame) -> TextSet:
@@ -177,7 +215,7 @@ def text_files(texts: TextSet) -> DataFrame:
     return names if texts.long_lines is None else names.unionByName(texts.long_lines.select("file").distinct())
 
 
-def trace_content_check(traces: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
+def trace_content_check(traces: TextSet) -> DataFrame:
     """Per file the number of lines that hold a marker phrase; 0 means reject."""
 
     def marked(line):
@@ -191,6 +229,6 @@ def trace_content_check(traces: TextSet, settings: Settings = DEFAULTS) -> DataF
     return out.unionByName(long)
 
 
-def rejected_traces(traces: TextSet, settings: Settings = DEFAULTS) -> DataFrame:
+def rejected_traces(traces: TextSet) -> DataFrame:
     """Files without any marker line: read, but with nothing to extract."""
-    return trace_content_check(traces, settings).filter("marker_lines = 0").select("file")
+    return trace_content_check(traces).filter("marker_lines = 0").select("file")

@@ -8,7 +8,7 @@ taken by a batch query over the roll-up table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slowlens.config import DEFAULTS, Settings
@@ -16,7 +16,7 @@ from slowlens.operators.detect import detect_over_thresholds, exclude_statements
 from slowlens.operators.execreport import exec_blocks, exec_statements
 from slowlens.operators.execrules import with_issues
 from slowlens.operators.opttrace import candidate_lines
-from slowlens.sources.texts import TRACE_GLOB, TextSet, _file_name, clean_bytes, lines_where
+from slowlens.sources.texts import TRACE_GLOB, TextSet, clean_bytes, file_path, lines_with_followers
 from slowlens.functions.text import unix_newlines
 
 # Period of detection, of a snapshot, and the report periods.
@@ -89,24 +89,29 @@ def period_top(rollup: DataFrame, n: int = DEFAULTS.top_n) -> DataFrame:
     return rollup.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
 
 
-def stream_texts(spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False) -> TextSet:
+def stream_texts(
+    spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False, file: Column | None = None
+) -> TextSet:
     """Newly arrived texts of any size; the checkpoint of the query is the list of those done.
 
     A file is one row, so one that exceeds Spark's limit for a value (2 GB) stops the
     query with an error instead of being skipped.
     """
     raw = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return TextSet(raw.select(_file_name().alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text")))
+    file = file_path() if file is None else file
+    return TextSet(raw.select(file.alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text")))
 
 
-def stream_new_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS) -> DataFrame:
+def stream_new_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, file: Column | None = None) -> DataFrame:
     """Candidate lines of new traces; ``facts_of_lines`` reads their table."""
-    return candidate_lines(lines_where(stream_texts(spark, path, glob, drop_undecodable=True), settings=settings)[0])
+    return candidate_lines(lines_with_followers(stream_texts(spark, path, glob, drop_undecodable=True, file=file))[0])
 
 
-def stream_new_reports(spark: SparkSession, path: str, glob: str = "*.prf", settings: Settings = DEFAULTS) -> DataFrame:
+def stream_new_reports(
+    spark: SparkSession, path: str, glob: str = "*.prf", settings: Settings = DEFAULTS, file: Column | None = None
+) -> DataFrame:
     """Statements of new execution reports with their issues."""
-    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob))), settings)
+    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob, file=file))), settings)
 
 
 def start(df: DataFrame, path: str, checkpoint: str, every: str = DETECT_EVERY) -> StreamingQuery:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slowlens.config import DEFAULTS
 from slowlens.operators import execreport as e, opttrace as o
+from slowlens.operators.execrules import with_issues
 from slowlens.plans import render
 from slowlens.sinks.documents import write_texts
 from slowlens.sources import texts as t
@@ -45,8 +46,8 @@ def tiny_splits(spark):
 
 
 def test_files_keep_their_names(spark, trace_dir):
-    names = [r.file for r in t.text_files(t.read_traces(spark, trace_dir, "*.txt")).collect()]
-    assert len(names) == 12 and all(n.startswith("10053_q") and n.endswith(".trc") for n in names)
+    names = [r.file for r in t.text_files(t.read_traces(spark, trace_dir, "*.txt", file=t.folder_value())).collect()]
+    assert len(set(names)) == 12 and all(n.startswith("10053_q") and n.endswith(".trc") for n in names)
 
 
 def test_large_traces_equal_whole_traces(spark, trace_dir, tiny_splits):
@@ -54,12 +55,8 @@ def test_large_traces_equal_whole_traces(spark, trace_dir, tiny_splits):
     split = t.read_traces(spark, trace_dir, "*.txt", SMALL)
     assert whole.long_lines is None
     assert split.texts.count() == 0
-    # a final line end gives the whole text one more, empty line
-    lines = t.trace_lines(whole).select("file", "line_no", "line")
-    numbered = t.trace_lines(split, settings=SMALL).select("file", "line_no", "line")
-    assert {r for r in rows(lines) if not r.endswith("'')")} == {r for r in rows(numbered) if not r.endswith("'')")}
-    last = ("next1", "next2")  # differ after the last line only
-    assert rows(o.trace_facts(split, SMALL).drop(*last)) == rows(o.trace_facts(whole).drop(*last))
+    assert rows(t.trace_lines(split)) == rows(t.trace_lines(whole))
+    assert rows(o.trace_facts(split, SMALL)) == rows(o.trace_facts(whole))
     for extract in (o.trace_params, o.trace_index_stats, o.trace_column_stats, o.access_methods, o.best_access):
         assert rows(extract(o.trace_facts(split, SMALL))) == rows(extract(o.trace_facts(whole)))
     assert rows(o.trace_sql(split)) == rows(o.trace_sql(whole))
@@ -74,12 +71,11 @@ def test_large_reports_equal_whole_reports(spark, report_dir, tiny_splits):
     assert rows(split) == rows(whole)
     parts = e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt", SMALL), SMALL)
     assert parts.filter("full_text is null").count() == 0
-    assert parts.filter("parts > 1").select("file_name").distinct().count() == 4
+    assert parts.filter("parts > 1").select("file").distinct().count() == 4
 
     def texts(df):
         ordered = F.array_sort(F.collect_list(F.struct("part", "full_text")))
-        joined = df.groupBy("file_name").agg(F.array_join(ordered["full_text"], "\n").alias("text"))
-        return rows(joined.select("file_name", F.rtrim(F.col("text"), F.lit("\n")).alias("text")))
+        return rows(df.groupBy("file", "line_count").agg(F.array_join(ordered["full_text"], "\n").alias("text")))
 
     assert texts(parts) == texts(e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt")))
 
@@ -88,7 +84,7 @@ def test_line_ends_and_bad_bytes(spark, tmp_path):
     (tmp_path / "10053_a_1.trc").write_bytes(b"one\r\ntwo\rthr\xffee\nfour")
     (tmp_path / "other.log").write_bytes(b"not a trace")
     for settings in (DEFAULTS, replace(DEFAULTS, whole_file_bytes=3)):
-        found = t.trace_lines(t.read_traces(spark, str(tmp_path), settings=settings), settings=settings)
+        found = t.trace_lines(t.read_traces(spark, str(tmp_path), settings=settings))
         assert [(r.line_no, r.line) for r in found.orderBy("line_no").collect()] == [
             (1, "one"),
             (2, "two"),
@@ -106,4 +102,37 @@ def test_rejects(spark, tmp_path):
     (tmp_path / "10053_good_1.trc").write_text("PARAMETERS USED BY THE OPTIMIZER\n")
     (tmp_path / "10053_empty_1.trc").write_text("nothing here\n")
     traces = t.read_traces(spark, str(tmp_path))
-    assert [r.file for r in t.rejected_traces(traces).collect()] == ["10053_empty_1.trc"]
+    assert [r.file.rsplit("/", 1)[1] for r in t.rejected_traces(traces).collect()] == ["10053_empty_1.trc"]
+
+
+def test_final_line_ends_and_headers(spark, tmp_path, tiny_splits):
+    head = "----- Current SQL Statement for this session (sql_id={0}) -----{1}\nselect {2}\n----- \n"
+    text = head.format("aaa", " and more", 1) + head.format("bbb", "", 2)
+    for name, end in (("none", "last"), ("one", "last\n"), ("more", "last\n\n \n"), ("dos", "last\r\n"), ("old", "x\ry\r")):
+        (tmp_path / f"10053_{name}_1.trc").write_bytes((text + end).encode())
+    (tmp_path / "10053_long_1.trc").write_bytes((text + "é\n" * 3000).encode())
+    whole, split = (t.read_traces(spark, str(tmp_path), settings=s) for s in (DEFAULTS, replace(SMALL, whole_file_bytes=3)))
+    assert rows(t.trace_lines(split)) == rows(t.trace_lines(whole))
+    assert rows(e.exec_text_report(split).select("file", "line_count").distinct()) == rows(
+        e.exec_text_report(whole).select("file", "line_count")
+    )
+    assert rows(o.trace_sql(split)) == rows(o.trace_sql(whole))
+    assert {(r.sql_id, r.sql_text) for r in o.trace_sql(whole).collect()} == {("bbb", "select 2")}
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    rule = "\n" + "*" * 80 + "\n"
+    block = (
+        "select 1 from t\nsql_id='{0}'\n\ncall count cpu elapsed disk query current rows\n------- ------\n"
+        "Fetch 1 0.01 0.02 1 2 3 4\ntotal 1 0.01 0.02 1 2 3 4\n"
+    )
+    for i, folder in enumerate(("d1", "d2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "10053_s_1.trc").write_text(
+            f"Access path analysis for T{i}\n  Access Path: A\n    Cost:  {i}.5  Resp: 1.0  Degree: 1\n"
+        )
+        (tmp_path / folder / "s_1.prf").write_text(rule.join(block.format(f"{folder}{j}") for j in range(i + 1)))
+    methods = o.access_methods(o.trace_facts(t.read_traces(spark, f"{tmp_path}/*")))
+    assert {(m.file.split("/")[-2], m.table_name, m.cost) for m in methods.collect()} == {("d1", "T0", 0.5), ("d2", "T1", 1.5)}
+    totals = e.exec_report_totals(with_issues(e.exec_statements(e.exec_blocks(t.read_exec_reports(spark, f"{tmp_path}/*")))))
+    assert {(r.file.split("/")[-2], r.statements) for r in totals.collect()} == {("d1", 1), ("d2", 2)}

@@ -164,3 +164,17 @@ def test_sampling_messages_once_in_first_seen_order(spark):
     text = "** DYNAMIC sampling used for table b\nDynamic sampling on index a\n** DYNAMIC sampling used for table b\ndynamic sampling level 2\n"
     found = o.dynamic_sampling(facts(spark, text)).orderBy("at").select(F.col("message"))
     assert [m.message for m in found.collect()] == ["DYNAMIC sampling used for table b", "Dynamic sampling on index a"]
+
+
+def test_blank_lines_between_name_and_figures(spark):
+    text = (
+        "  Table: T  Alias: A\n\n  #Rows: 5  #Blks:  1  AvgRowLen:  1.00\n"
+        "  Index: I  Col#: 1\n \n\n\n  LVLS: 1  #LB: 1  #DK: 1  LB/K: 1.00  DB/K: 1.00  CLUF: 1.00  NRW: 1.00\n"
+        "  Column (#1): C(NUMBER)\n\n    AvgLen: 1 NDV: 7 Nulls: 0 Density: 0.5\n\t\n    Histogram: Freq  #Bkts: 9\n"
+        "Access path analysis for T\n  Best:: AccessPath: X\n\n  Index: I\n\n\n     Cost: 1.5  Degree: 1  Resp: 1.5  Card: 2.0\n"
+    )
+    f = facts(spark, text)
+    assert [t.rows for t in o.trace_table_stats(f).collect()] == [5]
+    assert [i.index_name for i in o.trace_index_stats(f).collect()] == ["I"]
+    assert [(c.ndv, c.buckets) for c in o.trace_column_stats(f).collect()] == [(7, 9)]
+    assert [(b.method, b.index_name, b.cost) for b in o.best_access(f).collect()] == [("X", "I", 1.5)]
