@@ -54,18 +54,19 @@ def number_lines(rows: DataFrame) -> DataFrame:
     on how splits were packed into tasks.  A split is the unit of the sort.
 
     The reader gives no row for what follows a final line end.  The file has
-    one when its lines with a line end each fill it; then an empty line is added,
-    as cutting the whole text gives.
+    one when its lines with a line end each fill it, or when its last line keeps a
+    carriage return; then an empty line is added, as cutting the whole text gives.
     """
     pieces = F.split(F.regexp_replace("value", "\r$", ""), "\r", -1)
     ordered = (
-        rows.select("file", "split", "bytes", "file_bytes", F.posexplode(pieces).alias("_piece", "line"))
+        rows.withColumn("_cr", F.endswith("value", F.lit("\r")))
+        .select("file", "split", "bytes", "file_bytes", "_cr", F.posexplode(pieces).alias("_piece", "line"))
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_n", F.row_number().over(Window.partitionBy("file", "split").orderBy("_id")))
     )
     filled = F.sum(F.when(F.col("_piece") == 0, F.col("bytes") + 1))
     sizes = ordered.groupBy("file", "split").agg(
-        F.max("_n").alias("_size"), filled.alias("_filled"), F.max("file_bytes").alias("_file_bytes")
+        F.max("_n").alias("_size"), filled.alias("_filled"), F.max("file_bytes").alias("_file_bytes"), F.max_by("_cr", "_n").alias("_cr")
     )
     by_split = Window.partitionBy("file").orderBy("split")
     before = by_split.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,13 +76,13 @@ def number_lines(rows: DataFrame) -> DataFrame:
         "file",
         "split",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.when(is_last & is_full, F.col("_size")).alias("_ends_at"),
+        F.when(is_last & (is_full | F.col("_cr")), F.col("_size")).alias("_ends_at"),
     )
     no = (F.col("_start") + F.col("_n")).cast("bigint")
     own = F.struct(no.alias("line_no"), F.col("line"))
     after = F.struct((no + 1).alias("line_no"), F.lit("").alias("line"))
     found = F.when(F.col("_n").eqNullSafe(F.col("_ends_at")), F.array(own, after)).otherwise(F.array(own))
-    return ordered.join(starts, ["file", "split"]).select("file", F.inline(found))
+    return ordered.drop("_cr").join(starts, ["file", "split"]).select("file", F.inline(found))
 
 
 def clean_bytes(value: Column, drop_undecodable: bool) -> Column:
