@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from slowlens.operators import planrules, snapshots as s
 from slowlens.operators.detect import detected_ids
+from slowlens.operators.execrules import with_issues
 from slowlens.operators.optrules import trace_issues
 from slowlens.operators.opttrace import trace_facts, trace_sql
 from slowlens.plans import render
 from slowlens.plans.catalog import query
+from slowlens.plans.q_execreport import statements
 from slowlens.plans.views import view
-from slowlens.sinks.documents import materialize
+from slowlens.sinks.documents import materialize, tkprof_docs
 
 START, END = datetime(1996, 1, 1), datetime(2000, 12, 31, 23, 59, 59)
 WINDOW_SQL = (
@@ -357,7 +359,7 @@ def cover_kpis(spark, sf):
     return s.cover_kpis(
         render.awr_docs(spark, sf),
         view(spark, sf, "detection"),
-        render.exec_reports(spark, sf).texts,
+        tkprof_docs(with_issues(statements(spark, sf)), blocks_per_doc=30),
         traces.texts,
         trace_issues(materialize(trace_facts(traces), spark, "facts", "kind")),
     )

@@ -47,7 +47,7 @@ def read_awr_docs(spark, sf):
     "exec_src",
     q_execreport.ISSUES
     + f"""
-select concat('run', cast(file_no as varchar)) as doc_id, {q_execreport.FILE} as tkprof_file, s.sql_id,
+select concat('run', cast(file_no as varchar)) as doc_id, {q_execreport.FILE} as tkprof_file, s.block_no // 30 as part, s.sql_id,
   {q_execreport.SQL_TEXT.replace('sql_id', 's.sql_id')} as sql_text, fetch_current, {q_execreport.ELAPSED} as total_elapsed,
   cast(1 as bigint) as waits, bind_count as binds, coalesce(n, 0) as issues
 from exec_src s left join (select file, block_no, count(*) as n from issues group by all) i
@@ -56,13 +56,14 @@ where {q_execreport.KEPT}""",
 )
 def write_and_read_tkprof_docs(spark, sf):
     path = scratch_path(spark, "tkprof")
-    k.write_tkprof_docs(r.with_issues(q_execreport.statements(spark, sf)), path)
+    k.write_tkprof_docs(r.with_issues(q_execreport.statements(spark, sf)), path, blocks_per_doc=30)
     found = docs.read_tkprof_docs(spark, path, glob="*.json", multi_line=False).docs
     return (
-        found.select(F.col("sql_id").alias("doc_id"), "tkprof_file", F.explode("tkprof_statements").alias("s"))
+        found.select(F.col("sql_id").alias("doc_id"), "tkprof_file", "part", F.explode("tkprof_statements").alias("s"))
         .select(
             "doc_id",
             "tkprof_file",
+            "part",
             "s.sql_id",
             "s.sql_text",
             "s.fetch_current",

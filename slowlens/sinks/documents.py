@@ -18,8 +18,9 @@ def tkprof_docs(statements: DataFrame, blocks_per_doc: int = 1000) -> DataFrame:
 
     The statements of a report become an array in block order.  A report with
     many statements is spread over several documents of ``blocks_per_doc``
-    blocks (``part`` says which), so no row grows without bound; readers explode
-    the arrays and see the same statements.
+    blocks (``part``, from 0, says which, in the reader too), so no row grows
+    without bound; readers explode the arrays and see the same statements.  A
+    report is one ``tkprof_file``, however many parts it has.
     """
     statement = F.struct("block_no", *[f.name for f in TKPROF_STATEMENT.fields])
     part = F.floor(F.col("block_no") / blocks_per_doc).cast("bigint")
@@ -38,12 +39,12 @@ def tkprof_docs(statements: DataFrame, blocks_per_doc: int = 1000) -> DataFrame:
     )
 
 
-def write_tkprof_docs(statements: DataFrame, path: str) -> None:
-    tkprof_docs(statements).write.mode("errorifexists").json(path)
+def write_tkprof_docs(statements: DataFrame, path: str, blocks_per_doc: int = 1000) -> None:
+    tkprof_docs(statements, blocks_per_doc).write.mode("errorifexists").json(path)
 
 
 def detection_docs(detections: DataFrame, rows_per_doc: int = 1000) -> DataFrame:
-    """``{detected_at, sql_list}`` per run, in parts of bounded length.
+    """``{detected_at, part, parts, sql_list}`` per run, in parts of bounded length.
 
     A run is dealt out over parts by a hash of the statement, so that one run
     with very many rows does not meet in one task.
@@ -53,10 +54,11 @@ def detection_docs(detections: DataFrame, rows_per_doc: int = 1000) -> DataFrame
     parts = F.ceil(F.col("_n") / rows_per_doc).cast("bigint")
     return (
         detections.join(counts, "detected_at")
-        .withColumn("_part", F.pmod(F.xxhash64(*columns), parts))
-        .groupBy("detected_at", "_part")
+        .withColumn("parts", parts)
+        .withColumn("part", F.pmod(F.xxhash64(*columns), "parts"))
+        .groupBy("detected_at", "part", "parts")
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("sql_list"))
-        .select("detected_at", "sql_list")
+        .select("detected_at", "part", "parts", "sql_list")
     )
 
 

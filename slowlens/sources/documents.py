@@ -45,7 +45,7 @@ DETECTED_SQL = _struct(
     executions=_L,
     sql_text=_S,
 )
-DETECTION_DOC = _struct(detected_at=_S, sql_list=T.ArrayType(DETECTED_SQL))
+DETECTION_DOC = _struct(detected_at=_S, part=_L, parts=_L, sql_list=T.ArrayType(DETECTED_SQL))
 PHASES = ("parse", "execute", "fetch")
 COUNTERS = ("count", "cpu", "elapsed", "disk", "query", "current", "rows")
 SECONDS = ("cpu", "elapsed")
@@ -72,6 +72,7 @@ TKPROF_DOC = _struct(
     source=_S,
     trc_file=_S,
     tkprof_file=_S,
+    part=_L,
     tkprof_full_text=_S,
     plan=T.ArrayType(_S),
     stats=T.ArrayType(AWR_STAT),
