@@ -110,7 +110,7 @@ def leaves(embedded: DataFrame, runs: int, split: float, depth: int, limit: int)
     return found
 
 
-def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+def leaf_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Runs of equal leaves in sorted rows; a leaf may span batches."""
     held: list[pd.DataFrame] = []
     for f in frames:
@@ -133,7 +133,7 @@ def _candidates(threshold: float):
     share = math.floor(threshold * 1000)
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (path, block, other), g in _groups(frames):
+        for (path, block, other), g in leaf_groups(frames):
             values, n, side = _values(g["tokens"]), g["n"].to_numpy(), g["side"].to_numpy()
             lists = [frozenset(p.tolist()) for p in g["paths"]]
             partners = defaultdict(list)
@@ -169,7 +169,7 @@ def _candidates(threshold: float):
 def _verified(threshold: float):
     """Per leaf and text with a link: number of links here and the least text of its component here."""
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in _groups(frames):
+        for _, g in leaf_groups(frames):
             g = g.sort_values("place")
             sets = [shingle_set(t) for t in g["raw"]]
             links, root = [0] * len(g), list(range(len(g)))
@@ -197,7 +197,7 @@ def _verified(threshold: float):
     return go
 
 
-def _by_leaf(df: DataFrame) -> DataFrame:
+def by_leaf(df: DataFrame) -> DataFrame:
     return df.repartition(*LEAF).sortWithinPartitions(*LEAF)
 
 
@@ -228,10 +228,10 @@ def text_links(
         "path", F.least("side", "with").alias("block"), F.greatest("side", "with").alias("other"), "side", *KEY, "n", "tokens", "paths"
     )
     pairs = "path long, block int, other int, k1 long, k2 long, place int, partners array<int>"
-    candidates = saved(_by_leaf(tasks).mapInPandas(_candidates(threshold), pairs), "candidates")
+    candidates = saved(by_leaf(tasks).mapInPandas(_candidates(threshold), pairs), "candidates")
     wanted = saved(candidates.select(*KEY).distinct(), "candidate-texts")
     bodies = texts.join(broadcast_if(wanted, 500_000), KEY).dropDuplicates(KEY)
-    checked = _by_leaf(candidates.join(bodies, KEY)).mapInPandas(
+    checked = by_leaf(candidates.join(bodies, KEY)).mapInPandas(
         _verified(threshold), "k1 long, k2 long, links int, r1 long, r2 long"
     )
     return saved(checked, "links")

@@ -4,14 +4,15 @@ Paragraphs are the lines of 24 words and more and, so that passages inside longe
 found, the 24-word pieces that begin at anchors: the least five-word hash of every 27
 successive ones.  Any 50 words that stand in two documents share an anchor and its piece.
 Lines are compared by 8 bands of 3 MinHash values (99.7 % of pairs at a similarity of 0.8
-collide): each line is joined to the least and the greatest line of its buckets, pairs are
-verified by exact Jaccard similarity of five-word shingles, and components of verified pairs are
-classes.  Pieces are so short that one changed word ends the similarity; their
+collide).  Pairs are verified by exact Jaccard similarity of five-word shingles: first each line
+with the least and the greatest line of its buckets, then, in every bucket whose lines are not all linked by
+that, every two lines that are not, in pairs of blocks that are tasks of their own.
+Components of verified pairs are classes.  Pieces are so short that one changed word ends the similarity; their
 signature is their whole content.  A class found in two documents is repeated; the
 document with the least id keeps it and the others lose it.
 
 Paragraphs are compared once per content, so a passage in a third of all documents is one
-node, and buckets are reduced to two ends by map-side sums before any join.  Only documents
+node, and the two ends of buckets come from map-side sums.  Only documents
 that hold a candidate line are read again.  All intermediate tables are written.
 Rows without text have no paragraphs; rows without id count as one document, and so do rows
 that share an id.  Empty tables give no spans.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from slowlens.llm.catalog import query
 from slowlens.llm.common import broadcast_if, same_components, saved, table
 from slowlens.llm.hashing import minhashes, mixed, shingle_hashes, word_hashes
+from slowlens.llm.ngram_join import BLOCK, by_leaf, leaf_groups
 
 WORDS = 24
 REACH = 27
@@ -132,12 +134,44 @@ def _similar(threshold: float):
     return go
 
 
-def line_classes(found: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _linked(threshold: float):
+    """Per pair of blocks the lines of different roots that are alike, without pairs that follow from others."""
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, block, other), g in leaf_groups(frames):
+            node, root, side, band = g["paragraph"].to_numpy(), g["root"].to_numpy().copy(), g["side"].to_numpy(), g["band"].iloc[0]
+            bands = np.stack(g["bands"].to_list())
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            sizes = np.array([len(x) for x in sets])
+            begins = np.concatenate(([0], np.cumsum(sizes)))
+            ids, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(shingle, kind="stable")
+            holders = np.repeat(np.arange(len(g)), sizes)[order]
+            first = np.searchsorted(shingle[order], np.arange(len(ids) + 1))
+            roots, counts = np.unique(root, return_counts=True)
+            found = []
+            for i in np.flatnonzero(root != roots[counts.argmax()]).tolist():  # of two roots one is not the largest
+                open_to = (root != root[i]) & ~(bands[:, :band] == bands[i, :band]).any(axis=1)  # not met in a lesser band
+                if block != other:
+                    open_to &= side != side[i]
+                if not open_to.any():
+                    continue
+                both = np.bincount(np.concatenate([holders[first[x] : first[x + 1]] for x in shingle[begins[i] : begins[i + 1]]]), minlength=len(g))
+                for j in np.flatnonzero(open_to & (both >= threshold * (sizes[i] + sizes - both))).tolist():
+                    if root[j] != root[i]:
+                        found.append((node[i], node[j]))
+                        root[root == root[j]] = root[i]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return go
+
+
+def line_classes(found: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``(node, root)`` of lines that are alike but not the same."""
     lines = found.where("bands is not null").groupBy("paragraph").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     lines = saved(lines, "lines")
     banded = lines.select("paragraph", F.posexplode("bands").alias("band", "value"))
-    ends = banded.groupBy("band", "value").agg(F.min("paragraph").alias("lo"), F.max("paragraph").alias("hi")).where("lo < hi")
+    ends = banded.groupBy("band", "value").agg(F.min("paragraph").alias("lo"), F.max("paragraph").alias("hi"), F.count(F.lit(1)).alias("size"))
+    ends = saved(ends.where("lo < hi"), "line-buckets")
     pairs = banded.join(ends, ["band", "value"]).select(
         F.explode(F.array(F.struct(F.col("paragraph").alias("a"), F.col("lo").alias("b")), F.struct(F.col("paragraph").alias("a"), F.col("hi").alias("b")))).alias("p")
     )
@@ -150,7 +184,29 @@ def line_classes(found: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     left = bodies.select(F.col("paragraph").alias("a"), F.col("shingles").alias("x"))
     right = bodies.select(F.col("paragraph").alias("b"), F.col("shingles").alias("y"))
     alike = pairs.join(left, "a").join(right, "b").mapInPandas(_similar(threshold), "a long, b long")
-    return same_components(alike, "line-classes")
+    stars = saved(same_components(alike, "line-stars"), "line-stars")
+    # up to three lines are all compared with both ends
+    wide = banded.join(ends.where("size > 3").select("band", "value", "size"), ["band", "value"]).join(
+        stars.withColumnRenamed("node", "paragraph"), "paragraph", "left"
+    )
+    wide = saved(wide.select("paragraph", "band", "value", "size", F.coalesce("root", "paragraph").alias("root")), "wide-buckets")
+    split = wide.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "value")
+    dealt = (
+        wide.join(split, ["band", "value"])
+        .withColumn("path", F.xxhash64("band", "value"))
+        .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("side", F.pmod(F.xxhash64("paragraph", "path"), F.col("blocks")).cast("int"))
+        .join(lines.select("paragraph", "bands"), "paragraph")
+        .join(bodies, "paragraph")
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    tasks = dealt.select(
+        "path", F.least("side", "with").alias("block"), F.greatest("side", "with").alias("other"), "side", "band", "paragraph", "root", "bands", "shingles"
+    )
+    rest = saved(by_leaf(tasks).mapInPandas(_linked(threshold), "a long, b long"), "line-links")
+    if rest.isEmpty():
+        return stars
+    return same_components(rest.union(stars.select("node", "root")), "line-classes")
 
 
 def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

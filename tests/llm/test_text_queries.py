@@ -225,6 +225,26 @@ def test_repeated_passages_are_found(spark):
             assert " ".join(words[r["start_word"] : r["end_word"]]) in " ".join(WORD.findall(passage.lower()))
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 16}])
+def test_all_lines_of_a_bucket_are_compared(spark, options):
+    r = random.Random(11)
+    base, lines_of = prose(61, 75).replace("\n", " ").split(), []
+    for _ in range(60):  # families of two, less than 0.8 alike to most others
+        variant = list(base)
+        for _ in range(2):
+            variant[r.randrange(5, 70)] = f"w{r.randrange(10**6)}"
+        lines_of += [" ".join(variant), " ".join([*variant[:-1], f"end{len(lines_of)}"])]
+    texts = spark.createDataFrame([(i, x.encode()) for i, x in enumerate(lines_of)], "doc_id long, raw binary")
+    found = texts.mapInPandas(paragraphs._paragraphs, "doc_id long, paragraph long, start int, n int, bands array<long>").cache()
+    node = {row["doc_id"]: row["paragraph"] for row in found.where("bands is not null").collect()}
+    root = {row["node"]: row["root"] for row in paragraphs.line_classes(found, texts, 0.8, **options).collect()}
+    links = brute_links(lines_of)
+    pairs = [(i, lines_of.index(u)) for i, t in enumerate(lines_of) for u in links[t]]
+    assert len(pairs) >= 120
+    together = sum(node[i] in root and root[node[i]] == root.get(node[j]) for i, j in pairs)
+    assert together >= 0.99 * len(pairs)
+
+
 def test_shards_are_even_and_keep_copies_together(spark):
     texts = [f"text {i}" for i in range(700)] + [f"pair {i % 90}" for i in range(300)] + ["hot"] * 500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
