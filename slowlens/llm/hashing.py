@@ -54,9 +54,9 @@ def _pieces(data: bytes):
     yield np.frombuffer(data, np.uint8, len(data) - at, at)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of a UTF-8 text, A-Z as a-z."""
-    found = []
+def placed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a UTF-8 text, A-Z as a-z, and the byte where it begins."""
+    found, places, at = [], [], 0
     for piece in _pieces(data):
         inside = np.concatenate(([False], _IN_WORD[piece], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -64,7 +64,14 @@ def word_hashes(data: bytes) -> np.ndarray:
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_VALUE[piece] * _UP[: len(piece)], out=sums[1:])
         found.append(mixed((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64)))
-    return found[0] if len(found) == 1 else np.concatenate(found)
+        places.append(at + starts)
+        at += len(piece)
+    return (found[0], places[0]) if len(found) == 1 else (np.concatenate(found), np.concatenate(places))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hashes of ``placed_words``."""
+    return placed_words(data)[0]
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -89,3 +96,24 @@ def minhashes(tokens: np.ndarray, n: int = 64) -> np.ndarray:
         part = tokens[at : at + 2048, None] * _MULTIPLY[None, :n]
         np.minimum(least, part.min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def range_minhashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``n`` MinHash values, as ``minhashes`` has them, for each range of ``tokens``; no range is empty."""
+    least = np.empty((len(starts), n), np.uint32)
+    order = np.argsort(starts, kind="stable")
+    at = 0
+    while at < len(order):
+        lo, to = starts[order[at]], at
+        while to < len(order) and ends[order[to]] <= lo + CHUNK // 4:
+            to += 1
+        if to == at:  # a range of many tokens by itself
+            least[order[at]] = minhashes(tokens[lo : ends[order[at]]], n)
+            at += 1
+            continue
+        rows = order[at:to]
+        values = _MULTIPLY[:n, None] * np.append(tokens[lo : ends[rows].max()], np.uint64(0))[None, :]
+        cuts = np.stack((starts[rows] - lo, ends[rows] - lo), axis=1).ravel()
+        least[rows] = (np.minimum.reduceat(values, cuts, axis=1)[:, ::2] >> np.uint64(32)).T
+        at = to
+    return least

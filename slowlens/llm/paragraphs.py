@@ -1,9 +1,12 @@
 """Substring dedup: repeated paragraphs by MinHash banding.
 
-Paragraphs are the lines of 24 words and more and, so that passages inside longer lines are
-found, the 24-word pieces that begin at anchors: the least five-word hash of every 27
-successive ones.  Any 50 words that stand in two documents share an anchor and its piece.
-Lines are compared by 8 bands of 3 MinHash values (99.7 % of pairs at a similarity of 0.8
+Paragraphs are the lines of five words and more; joined lines, so that paragraphs wrapped at
+any width are found; and, so that passages inside longer lines are found, the 24-word pieces that
+begin at anchors: the least five-word hash of every 27 successive ones.  Any 50 words that stand in
+two documents share an anchor and its piece.  Lines are joined up to a line without words, in texts
+that have none also up to a line of 24 words or more; what is joined is compared as a whole and
+cut at words whose five-word hash is the least of 32 before and after.
+Lines and joined lines are compared by 8 bands of 3 MinHash values (99.7 % of pairs at a similarity of 0.8
 collide).  Pairs are verified by exact Jaccard similarity of five-word shingles: first each line
 with the least and the greatest line of its buckets, then, in every bucket whose lines are not all linked by
 that, every two lines that are not, in pairs of blocks that are tasks of their own.
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from slowlens.llm.catalog import query
 from slowlens.llm.common import broadcast_if, same_components, saved, table
-from slowlens.llm.hashing import minhashes, mixed, shingle_hashes, word_hashes
+from slowlens.llm.hashing import SHINGLE, mixed, placed_words, range_minhashes, shingle_hashes
 from slowlens.llm.ngram_join import BLOCK, by_leaf, leaf_groups
 
 WORDS = 24
 REACH = 27
+#: Joined lines are cut where a five-word hash is the least among so many before and after.
+APART = 32
 BANDS = 8
 ROWS = 3
 THRESHOLD = 0.8
@@ -63,19 +68,52 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return starts[starts + WORDS <= len(words)]
 
 
-def line_starts(raw: bytes) -> list[tuple[int, np.ndarray]]:
-    """``(index of its first word, word hashes)`` of every line of ``WORDS`` words or more."""
-    at, found = 0, []
-    for line in raw.split(b"\n"):
-        words = word_hashes(line)
-        if len(words) >= WORDS:
-            found.append((at, words))
-        at += len(words)
-    return found
+def cuts(grams: np.ndarray) -> np.ndarray:
+    """Places of five-word hashes that are less than ``APART`` before and not more than ``APART`` after."""
+    if len(grams) <= 2 * APART:
+        return np.zeros(0, np.int64)
+    found = []
+    for at in range(0, len(grams) - 2 * APART, 1 << 16):
+        part = grams[at : at + (1 << 16) + 2 * APART]
+        seen = np.lib.stride_tricks.sliding_window_view(part, 2 * APART + 1)
+        found.append(at + APART + np.flatnonzero(seen.argmin(axis=1) == APART))
+    return np.concatenate(found)
 
 
-def line_hash(words: np.ndarray) -> int:
-    return int(content_hash(words[None, :], _LINE)[0].view(np.int64))
+def ranges(raw: bytes, places: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word, and the word after the last, of every line, of lines joined and of their parts, with five words or more.
+
+    ``places`` are the bytes where the words of ``raw`` begin, ``grams`` its five-word hashes.
+    """
+    ends = np.append(np.searchsorted(places, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)), len(places))
+    starts = np.concatenate(([0], ends[:-1]))
+    n = ends - starts
+    apart = n == 0
+    filled = np.flatnonzero(n)
+    if len(filled) and not apart[filled[0] : filled[-1]].any():  # before and after the text they part nothing
+        apart = apart | (n >= WORDS)
+    found = [np.stack((starts, ends), axis=1)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], apart, [True])).astype(np.int8)))
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if last - first > 1:
+            lo, hi = int(starts[first]), int(ends[last - 1])
+            inner = lo + cuts(grams[lo : hi - SHINGLE + 1])
+            bounds = np.concatenate(([lo], inner, [hi]))
+            found.append(np.stack((bounds[:-1], bounds[1:]), axis=1))
+            if len(inner):
+                found.append(np.array([[lo, hi]]))
+    both = np.unique(np.concatenate(found), axis=0)
+    return tuple(both[both[:, 1] - both[:, 0] >= SHINGLE].T)
+
+
+def keyed_ranges(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words, grams, starts, ends, keys``: the words of a text, its five-word hashes and its ``ranges``, keyed by content."""
+    words, places = placed_words(raw)
+    grams = shingle_hashes(words) if len(words) >= SHINGLE else words[:0]
+    starts, ends = ranges(raw, places, grams)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams + np.uint64(_LINE)), dtype=np.uint64)))
+    keys = mixed(sums[ends - SHINGLE + 1] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP)).view(np.int64)
+    return words, grams, starts, ends, keys
 
 
 def _paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,16 +121,16 @@ def _paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = pd.array(f["doc_id"], dtype="Int64")
         out = []
         for k, raw in enumerate(f["raw"]):
-            words = word_hashes(raw)
+            words, grams, begins, ends, lines = keyed_ranges(raw)
             starts = anchors(words)
             if len(starts):
                 pieces = np.lib.stride_tricks.sliding_window_view(words, WORDS)[starts]
                 keys = content_hash(pieces, _PIECE).view(np.int64)
                 out.append((np.full(len(starts), k), keys, starts, np.full(len(starts), WORDS), [None] * len(starts)))
-            for at, line in line_starts(raw):
-                values = minhashes(np.unique(shingle_hashes(line)), BANDS * ROWS).astype(np.uint64)
-                bands = content_hash(values.reshape(BANDS, ROWS), _LINE).view(np.int64)
-                out.append(([k], [line_hash(line)], [at], [len(line)], [bands]))
+            if len(begins):
+                values = range_minhashes(grams, begins, ends - SHINGLE + 1, BANDS * ROWS).astype(np.uint64)
+                bands = content_hash(values.reshape(-1, ROWS), _LINE).view(np.int64).reshape(-1, BANDS)
+                out.append((np.full(len(begins), k), lines, begins, ends - begins, list(bands)))
         if out:
             k = np.concatenate([o[0] for o in out])
             yield pd.DataFrame(
@@ -107,17 +145,17 @@ def _paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingle sets of the wanted lines of a document."""
+    """Shingle sets of the wanted paragraphs of a document."""
     for f in frames:
         keys, sets = [], []
         for raw, wanted in zip(f["raw"], f["wanted"]):
             wanted = set(wanted.tolist())
-            for _, words in line_starts(raw):
-                key = line_hash(words)
+            _, grams, begins, ends, lines = keyed_ranges(raw)
+            for key, lo, hi in zip(lines.tolist(), begins.tolist(), ends.tolist()):
                 if key in wanted:
                     wanted.discard(key)
                     keys.append(key)
-                    sets.append(np.unique(shingle_hashes(words)).tobytes())
+                    sets.append(np.unique(grams[lo : hi - SHINGLE + 1]).tobytes())
         yield pd.DataFrame({"paragraph": keys, "shingles": sets})
 
 

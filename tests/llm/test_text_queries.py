@@ -225,6 +225,25 @@ def test_repeated_passages_are_found(spark):
             assert " ".join(words[r["start_word"] : r["end_word"]]) in " ".join(WORD.findall(passage.lower()))
 
 
+def test_short_and_wrapped_paragraphs_are_found(spark):
+    def wrapped(words, width):
+        return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    long = prose(62, 60).replace("\n", " ").split()
+    changed = [*long[:30], "changed", *long[31:]]
+    short, exact = prose(63, 14).replace("\n", " ").split(), prose(64, 7).replace("\n", " ")
+    rows = [
+        (1, prose(500, 30) + "\n\n" + wrapped(long, 12) + "\n\n" + prose(501, 20), 60),
+        (2, prose(502, 40) + "\n\n" + wrapped(changed, 15), 60),
+        (3, prose(503, 30) + "\n" + " ".join(short) + "\n" + prose(504, 30), 14),
+        (4, prose(505, 50) + "\n" + " ".join([*short[:-1], "changed"]), 14),
+        (5, prose(506, 30) + "\n" + exact + "\n" + prose(507, 30), 7),
+        (6, prose(508, 50) + "\n" + exact, 7),
+    ]
+    got = paragraphs.repeated_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["removed"]) for r in got) == [(i, n, i % 2 == 0) for i, _, n in rows]
+
+
 @pytest.mark.parametrize("options", [{}, {"block": 16}])
 def test_all_lines_of_a_bucket_are_compared(spark, options):
     r = random.Random(11)
