@@ -4,10 +4,13 @@ Documents start in shards by rank of a hash, so counts differ by one at most.  I
 round each group of linked documents (equal texts) has a home, the shard that holds most
 of it, and members elsewhere ask for a place there; a group larger than half a shard
 claims as many shards as its size needs, and small groups settle elsewhere.  Requests
-between two shards in opposite directions are swapped; of the rest a shard admits as
-many as it holds documents without links, and those make room by moving to the shards
-that lost members.  Both keep every count as it was, so the law ``rows`` holds exactly
-after each round.  Rounds end when no request is admitted.
+between two shards in opposite directions are swapped, then those along cycles over more
+shards; of the rest a shard admits as many as it holds documents without links, and
+those make room by moving to the shards that lost members.  For what is left, whole small groups
+that stand together move the other way, as many as the requests make room for.  All of
+these keep every count as it was, so the law ``rows`` holds exactly after each round.
+Ties between homes are drawn anew in each round; rounds end when documents outside their homes
+have not become fewer for ``PATIENCE`` rounds.
 
 A group may be far larger than a shard: it is counted per shard with map-side sums, its
 rows are never collected, and adaptive execution splits their join with the homes.  Ranks
@@ -19,15 +22,16 @@ null ids are separate documents.  An empty table gives no shards.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import rank_in, saved, table, text_key
+from slowlens.llm.common import rank_in, running_before, saved, table, text_key
 
 SHARDS = 40
-ROUNDS = 10
+#: Rounds without fewer documents outside their homes after which rounds end.
+PATIENCE = 3
 GROUP = ["k1", "k2"]
 
 
@@ -35,9 +39,44 @@ def _slice():
     return F.shiftright("mark", 52)
 
 
+def cycles(wanted: dict[tuple[int, int], int]) -> list[tuple[list[tuple[int, int]], int]]:
+    """Cycles of pairs of shards, and how often each is gone round, until the requests left have none."""
+    out: dict[int, dict[int, int]] = {}
+    for (a, b), n in sorted(wanted.items()):
+        if n > 0:
+            out.setdefault(a, {})[b] = n
+    found = []
+    for start in sorted(out):
+        path = [start]
+        while path:
+            there = out.get(path[-1])
+            if not there:  # leads nowhere, so it lies on no cycle
+                dead = path.pop()
+                if path:
+                    del out[path[-1]][dead]
+                continue
+            to = next(iter(there))
+            if to not in path:
+                path.append(to)
+                continue
+            ring = [*path[path.index(to) :], to]
+            pairs = list(zip(ring, ring[1:]))
+            n = min(out[a][b] for a, b in pairs)
+            found.append((pairs, n))
+            for a, b in pairs:
+                out[a][b] -= n
+                if not out[a][b]:
+                    del out[a][b]
+            del path[path.index(to) + 1 :]
+    return found
+
+
 def plan_round(wanted: dict[tuple[int, int], int], free: dict[int, int], shards: int):
     """Requests admitted per pair of shards, and by how many documents each shard grows before room is made."""
     admitted = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}
+    for cycle, n in cycles({p: n - admitted[p] for p, n in wanted.items()}):
+        for p in cycle:
+            admitted[p] += n
     for b in range(shards):
         room = free.get(b, 0)
         for a in range(shards):
@@ -73,21 +112,22 @@ def claim_homes(held: list[tuple], shards: int, capacity: int) -> tuple[list[tup
     return claims, {s for s in range(shards) if load[s] * 2 > capacity}
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``(rid, mark, k1, k2, linked, shard)`` of ``rows`` (``rid, mark, k1, k2``), counts at most one apart."""
     linked = rows.groupBy(*GROUP).count().where("count > 1").select(*GROUP, F.lit(True).alias("linked"))
     known = rows.select("rid", "mark", *GROUP).join(linked, GROUP, "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     ranked = rank_in(known.withColumn("all", F.lit(0)), "all", _slice(), [F.col("mark"), F.col("rid")], "rank")
     state = saved(ranked.select("rid", "mark", *GROUP, "linked", (F.col("rank") % shards).cast("int").alias("shard")), "shards")
     capacity = max(1, -(-state.count() // shards))
-    for turn in range(rounds):
+    least, idle = None, 0
+    for turn in count() if rounds is None else range(rounds):
         held = saved(state.where("linked").groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), "shard-held")
         sizes = held.groupBy(*GROUP).agg(F.sum("n").alias("c"))
         large = sizes.where(F.col("c") * 2 > capacity)  # fewer than two per shard
         claims, busy = claim_homes([tuple(r) for r in held.join(large, GROUP).select(*GROUP, "c", "shard", "n").collect()], shards, capacity)
         quiet = [s for s in range(shards) if s not in busy] or list(range(shards))
         calm = F.array_contains(F.lit(quiet), F.col("shard"))
-        best = F.max(F.struct(calm.alias("calm"), "n", F.xxhash64(*GROUP, "shard").alias("t"), "shard"))
+        best = F.max(F.struct(calm.alias("calm"), "n", F.xxhash64(*GROUP, "shard", F.lit(turn)).alias("t"), "shard"))
         other = F.element_at(F.lit(quiet), F.pmod(F.xxhash64(*GROUP), F.lit(len(quiet))).cast("int") + 1)
         small = held.join(sizes.where(F.col("c") * 2 <= capacity), GROUP, "left_semi").groupBy(*GROUP).agg(best.alias("best"))
         one = F.array(F.when(F.col("best.calm"), F.col("best.shard")).otherwise(other))
@@ -104,9 +144,29 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         )
         wanted = {(r["a"], r["b"]): r["count"] for r in asks.groupBy("a", "b").count().collect()}
         free = {r["shard"]: r["count"] for r in state.where("not linked").groupBy("shard").count().collect()}
+        outside = sum(wanted.values())
+        least, idle = (outside, 0) if least is None or outside < least else (least, idle + 1)
+        if not outside or idle >= PATIENCE:
+            break
         admitted, grows = plan_round(wanted, free, shards)
+        left = {(a, b): n - admitted.get((a, b), 0) for (a, b), n in wanted.items() if n > admitted.get((a, b), 0)}
+        yielding = None
+        if left:  # whole groups of ``b`` make room for requests from ``a``
+            wide = F.lit([left.get((p // shards, p % shards), 0) for p in range(shards * shards)])
+            sources = F.array(*[F.array(*[F.lit(a) for a in quiet if (a, b) in left]).cast("array<int>") for b in range(shards)])
+            whole = held.where(calm).join(sizes.where(F.col("c") * 2 <= capacity), GROUP).where("n = c").select(
+                *GROUP, F.col("c"), F.col("shard").alias("b"), F.element_at(sources, F.col("shard") + 1).alias("from")
+            )
+            whole = whole.where(F.size("from") > 0).withColumn("a", F.element_at("from", F.pmod(F.xxhash64(*GROUP, F.lit(turn)), F.size("from")).cast("int") + 1))
+            whole = whole.withColumn("pair", F.col("a") * shards + F.col("b")).withColumn("order", F.xxhash64(*GROUP, F.lit(turn)))
+            in_turn = running_before(whole, "pair", F.shiftright("order", 52), [F.col("order"), *GROUP], F.col("c"), "before")
+            yielding = saved(
+                in_turn.where(F.col("before") + F.col("c") <= F.element_at(wide, F.col("pair") + 1)).select(*GROUP, "a", "b", "c"), "shard-yields"
+            )
+            for r in yielding.groupBy("a", "b").agg(F.sum("c").alias("n")).collect():
+                admitted[r["a"], r["b"]] += r["n"]
         if not sum(admitted.values()):
-            break
+            continue
         allowed = F.lit([admitted.get((p // shards, p % shards), 0) for p in range(shards * shards)])
         in_order = [F.col("mark"), F.col("rid")]
         enter = rank_in(asks, "pair", _slice(), in_order, "rank").where(F.col("rank") < F.element_at(allowed, F.col("pair") + 1))
@@ -121,6 +181,8 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
             )
             gap = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("place")))
             moves = moves.union(leave.select("rid", F.element_at(F.lit(gaps), gap + 1).alias("to")))
+        if yielding is not None:
+            moves = moves.union(state.where("linked").join(yielding, GROUP).select("rid", F.col("a").alias("to")))
         state = saved(
             state.join(moves, "rid", "left").select("rid", "mark", *GROUP, "linked", F.coalesce("to", "shard").cast("int").alias("shard")),
             "shards",
@@ -128,7 +190,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
     read = docs.select(

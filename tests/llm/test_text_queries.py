@@ -287,6 +287,23 @@ def test_every_text_copied_still_moves(spark):
     assert (together == 1).mean() > 0.6
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_copied_texts_settle_together(spark, copies):
+    docs = spark.createDataFrame([(i, f"t{i // copies}") for i in range(600)], "doc_id long, text string")
+    got = shards.shard_documents(docs, shards=4).toPandas()
+    assert got.groupby("shard").size().tolist() == [150] * 4
+    together = got.assign(t=got.doc_id // copies).groupby("t").shard.nunique()
+    print("together", copies, (together == 1).mean())
+    assert (together == 1).mean() > 0.95
+
+
+def test_requests_go_round_in_cycles():
+    wanted = {(0, 1): 5, (1, 2): 3, (2, 0): 4, (3, 0): 2, (1, 3): 1}
+    admitted, grows = shards.plan_round(wanted, {}, 4)
+    assert admitted == {(0, 1): 4, (1, 2): 3, (2, 0): 3, (3, 0): 1, (1, 3): 1}
+    assert grows == [0] * 4
+
+
 def test_mix_meets_targets(spark, sf_dir):
     rows = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     assert (rows.taken <= mixing.MOST * rows["size"]).all()
