@@ -36,8 +36,6 @@ TOKENS = 64
 DEPTH = 4
 LIMIT = 128
 BLOCK = 512
-#: Of 64 tokens a pair at the threshold shares 51 on average; fewer than this many (five deviations) ends the comparison.
-LEAST_SHARED = 36
 KEY = ["k1", "k2"]
 LEAF = ["path", "block", "other"]
 
@@ -50,6 +48,11 @@ def runs_for(target: float, threshold: float, split: float, depth: int) -> int:
     return math.ceil(math.log(1 - target) / math.log(1 - meets))
 
 
+def least_shared(threshold: float) -> int:
+    """Tokens that a pair at the threshold shares on average less five deviations; fewer end the comparison."""
+    return max(0, math.ceil(TOKENS * threshold - 5 * math.sqrt(TOKENS * threshold * (1 - threshold))))
+
+
 def _children(paths: np.ndarray, values: np.ndarray, split: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and paths of the children of nodes ``paths`` whose texts have the tokens ``values``."""
     lanes = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64))
@@ -130,7 +133,7 @@ def leaf_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.Data
 
 def _candidates(threshold: float):
     """Per leaf the pairs that the embedding lets pass and that meet in no lesser leaf."""
-    share = math.floor(threshold * 1000)
+    share, shared = math.floor(threshold * 1000), least_shared(threshold)
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (path, block, other), g in leaf_groups(frames):
@@ -140,7 +143,7 @@ def _candidates(threshold: float):
             for i in range(len(g) - 1):
                 rest = slice(i + 1, len(g))
                 good = (np.minimum(n[i], n[rest]) * 1000 >= np.maximum(n[i], n[rest]) * share) & (
-                    (values[i] == values[rest]).sum(axis=1) >= LEAST_SHARED
+                    (values[i] == values[rest]).sum(axis=1) >= shared
                 )
                 if block != other:
                     good &= side[rest] != side[i]

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -201,6 +202,15 @@ def test_chosen_paths_find_the_links(spark, options):
     assert same >= 0.99 * len(texts)
 
 
+def test_embedding_lets_pairs_of_a_low_threshold_pass():
+    tokens = [np.arange(ngram_join.TOKENS, dtype="<u4"), np.arange(ngram_join.TOKENS, dtype="<u4")]
+    tokens[1][:34] += 1000  # 30 of 64 shared
+    leaf = pd.DataFrame({"path": 7, "block": 0, "other": 0, "side": 0, "k1": [1, 2], "k2": [1, 2], "n": [90, 100]})
+    leaf = leaf.assign(tokens=[t.tobytes() for t in tokens], paths=[np.array([7])] * 2)
+    assert [len(list(ngram_join._candidates(t)(iter([leaf])))) for t in (0.5, 0.8)] == [1, 0]
+    assert ngram_join.least_shared(0.8) == 36
+
+
 def test_near_duplicate_stage_keeps_one_of_each_class(spark):
     texts = near_texts()
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(0, texts[0], "en")], "doc_id long, text string, lang string")
