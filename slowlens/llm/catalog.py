@@ -33,4 +33,5 @@ def load() -> None:
         paragraphs,
         quality,
         shards,
+        whitening,
     )
