@@ -32,6 +32,7 @@ def load() -> None:
         pages,
         paragraphs,
         quality,
+        ranked_search,
         shards,
         whitening,
     )
