@@ -28,6 +28,7 @@ def load() -> None:
         licenses,
         lines,
         mixing,
+        near_vectors,
         ngram_join,
         pages,
         paragraphs,

@@ -71,14 +71,16 @@ def odd_rows() -> list[dict]:
     ]
 
 
-def write_tables(path, documents, benchmark, page_rows):
+def write_tables(path, documents, benchmark, page_rows, embeddings):
     types = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
     types |= {"words": pa.string(), "k1": pa.int64(), "size": pa.int64(), "path": pa.string(), "quality": pa.float64(), "start": pa.int64()}
     pq.write_table(pa.Table.from_pylist(documents, pa.schema(types.items())), path / "documents.parquet")
     pq.write_table(pa.Table.from_pylist(benchmark, pa.schema([("item_id", pa.int64()), ("text", pa.string())])), path / "benchmark.parquet")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())])
     pq.write_table(pa.Table.from_pylist(page_rows, schema), path / "pages.parquet")
-    for name in set(TABLES) - {"documents", "benchmark", "pages"}:
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("node", pa.string())])
+    pq.write_table(pa.Table.from_pylist(embeddings, schema), path / "embeddings.parquet")
+    for name in set(TABLES) - {"documents", "benchmark", "pages", "embeddings"}:
         pq.write_table(pa.table({"none": pa.array([], pa.int64())}), path / f"{name}.parquet")
     return str(path)
 
@@ -96,16 +98,32 @@ PAGES = [
     {"page_id": None, "url": None, "html": "<p>a &amp; b<p>c", "host": None},
     {"page_id": 2, "url": "", "html": "", "host": ""},
 ]
+VECTORS = [
+    {"vec_id": i, "embedding": v, "label": None, "node": "clash"}
+    for i, v in [
+        (1, [1.0, 0.0, 0.5]),
+        (2, [1.0, 0.1, 0.5]),
+        (3, [-1.0, 2.0, 0.0]),
+        (3, [-1.0, 2.0, 0.0]),
+        (None, [2.0, 0.0, 1.0]),
+        (5, None),
+        (6, []),
+        (7, [0.0, 0.0, 0.0]),
+        (8, [float("nan"), 1.0, 0.0]),
+        (9, [None, 1.0, 0.0]),
+        (10, [1.0, 0.0]),
+    ]
+]
 
 
 @pytest.fixture(scope="module")
 def odd_dir(tmp_path_factory):
-    return write_tables(tmp_path_factory.mktemp("odd"), odd_rows(), BENCHMARK, PAGES)
+    return write_tables(tmp_path_factory.mktemp("odd"), odd_rows(), BENCHMARK, PAGES, VECTORS)
 
 
 @pytest.fixture(scope="module")
 def empty_dir(tmp_path_factory):
-    return write_tables(tmp_path_factory.mktemp("none"), [], [], [])
+    return write_tables(tmp_path_factory.mktemp("none"), [], [], [], [])
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -124,10 +142,13 @@ def test_empty_tables(spark, empty_dir, name):
 def test_null_and_repeated_ids_keep_all_rows(spark, odd_dir, tmp_path):
     rows = odd_rows()
     rows += [dict(r) for r in rows[3:9]] + [dict(r, doc_id=None) for r in rows[:8]]
-    tables = write_tables(tmp_path, rows, BENCHMARK, PAGES * 2)
-    for name in sorted(set(catalog.QUERIES) - {"pipeline", "op1_paragraph_minhash"}):
-        expected = len(PAGES) * 2 if name.startswith("op8") else len(rows)
-        assert catalog.QUERIES[name](spark, tables).count() == expected, name
+    tables = write_tables(tmp_path, rows, BENCHMARK, PAGES * 2, VECTORS * 2)
+    by = {"op8_site_templates": len(PAGES) * 2, "op11_nn_descent": len(VECTORS) * 2, "op13_polarised_whitening": 16 * 3}
+    for name in sorted(set(catalog.QUERIES) - {"pipeline", "op1_paragraph_minhash", "op12_stratified_search"}):
+        assert catalog.QUERIES[name](spark, tables).count() == by.get(name, len(rows)), name
+    for name in ("op11_nn_descent", "op12_stratified_search"):
+        left, _, differences = compare(spark, connect(tables), catalog.QUERIES[name], catalog.ORACLES[name], tables)
+        assert left and not differences
     assert catalog.QUERIES["op1_paragraph_minhash"](spark, tables).count() > 0
     assert catalog.QUERIES["pipeline"](spark, tables).count() > 0
 
