@@ -494,7 +494,7 @@ def access_blocks(facts: DataFrame) -> DataFrame:
     )
 
 
-def access_methods(facts: DataFrame) -> DataFrame:
+def access_methods(facts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Costed access methods of each block, numbered in text order.
 
     Boundary lines are an access path (its method) and a cost line (END).  A
@@ -502,92 +502,54 @@ def access_methods(facts: DataFrame) -> DataFrame:
     method; attribute lines belong to their segment while it is open.  A cost
     line emits an entry and closes the segment, a nested-loop cost line emits
     and leaves it open.  A later cost breakdown overwrites that of the latest
-    entry.  All windows run inside one block of one file.
+    entry.
+
+    A block is cut into slices of ``slice_lines`` lines, and all windows run
+    inside a slice.  What a slice does to the lines after it depends on its past
+    only through the boundary that was last before it, so each slice is summed
+    up in one row (``_slice_summary``), the rows are composed in block order
+    (``_composed``), and every line adds what its slice began with.  Where no
+    block is longer than a slice, which a look at line numbers tells, all begin
+    with nothing.  ``facts`` should be written, as they are read for that too.
     """
-    line = F.col("line")
-    block = Window.partitionBy("file", "block_at").orderBy("line_no")
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = block.rowsBetween(Window.unboundedPreceding, -1)
-    method = strip(extract(line, ACCESS_PATH))
-    ends = line.rlike(COST_LINE)
-    marked = (
-        _of(facts, "access")
-        .filter(
-            line.rlike(
-                "|".join((ACCESS_PATH, INDEX_LINE, RESOURCE_COST, SELECTIVITY, COST_LINE, NL_COST, COST_DETAIL))
-            )
-        )
-        .select("file", "block_at", "block_table", "line_no", "line", method.alias("method"))
-        .withColumn("mark", F.when(F.col("method").isNotNull(), F.col("method")).when(ends, F.lit("")))
-        .withColumn("open_method", F.nullif(F.last("mark", ignorenulls=True).over(earlier), F.lit("")))
-        .withColumn("is_open", F.col("open_method").isNotNull())
-        .withColumn(
-            "opens",
-            (F.col("method").isNotNull() & ~F.col("open_method").eqNullSafe(F.col("method"))).cast("int"),
+    lines = _sliced_lines(facts, settings.slice_lines)
+    one_slice = _of(facts, "access").filter(F.col("line_no") - F.col("block_at") >= settings.slice_lines).isEmpty()
+    rows = _at_start(lines) if one_slice else lines.join(_composed(_slice_summary(lines)), ["file", "block_at", "slice"])
+    was_open = F.col("in_mark") != ""
+    opened = F.coalesce("local_mark", "in_mark")
+    emits = F.col("costs") & (opened != "")
+    entry_no = F.col("in_entries") + F.col("entries") + F.when(was_open, F.col("early_entries")).otherwise(0)
+
+    def latest(name: str) -> Column:
+        """The attribute in the line's segment: of its part, else of the parts that it continues."""
+        own, before = F.col(name), F.col(f"in_{name}")
+        early = F.coalesce(F.when(was_open, F.col(f"early_{name}")), before)
+        return (
+            F.when(F.col("part") == 0, F.coalesce(own, before))
+            .when((F.col("part") == 1) & ~F.col("reopens"), F.coalesce(own, early))
+            .otherwise(own)
         )
-        .withColumn("segment", F.sum("opens").over(upto))
-        .withColumn("nl", line.rlike(NL_COST))
-        .withColumn("emits", (F.col("is_open") & (ends | F.col("nl"))).cast("int"))
-        .withColumn("entry_no", F.sum("emits").over(upto))
-    )
-    in_segment = (
-        Window.partitionBy("file", "block_at", "segment")
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-
-    def latest(value: Column) -> Column:
-        return F.last(F.when(F.col("is_open"), value), ignorenulls=True).over(in_segment)
 
-    cost = F.when(F.col("nl"), F.regexp_replace(line, r"^\s*NL Join\s*:", "")).otherwise(line)
-    resource = F.when(
-        line.rlike(RESOURCE_COST),
-        F.struct(
-            _group("line", RESOURCE_COST, 1, "double").alias("io"),
-            _group("line", RESOURCE_COST, 2, "bigint").alias("cpu"),
-        ),
-    )
-    selectivity = F.when(
-        line.rlike(SELECTIVITY),
-        F.struct(
-            _group("line", SELECTIVITY, 1, "double").alias("ix"),
-            _group("line", SELECTIVITY, 2, "double").alias("filters"),
-        ),
-    )
-    detail = F.when(
-        line.rlike(COST_DETAIL),
-        F.struct(
-            _group("line", COST_DETAIL, 1, "double").alias("io"),
-            _group("line", COST_DETAIL, 2, "bigint").alias("cpu"),
-        ),
-    )
-    rows = marked.select(
-        "*",
-        latest(extract(line, INDEX_LINE)).alias("index_name"),
-        latest(resource).alias("resource"),
-        latest(selectivity).alias("selectivity"),
-        detail.alias("detail"),
-        cost.alias("cost_text"),
-    )
     entry = F.when(
-        F.col("emits") == 1,
+        emits,
         F.struct(
             F.col("line_no").alias("at"),
-            F.col("open_method").alias("method"),
-            "index_name",
+            opened.alias("method"),
+            latest("index_name").alias("index_name"),
             _group("cost_text", COST_LINE, 1, "double").alias("cost"),
             _group("cost_text", COST_LINE, 2, "double").alias("response_time"),
             _group("cost_text", COST_LINE, 3, "bigint").alias("degree"),
-            "resource",
-            "selectivity",
+            latest("resource").alias("resource"),
+            latest("selectivity").alias("selectivity"),
             F.when(F.col("nl"), "NL").alias("join_type"),
         ),
     )
     return (
-        rows.filter("entry_no > 0")
+        rows.select("file", "block_at", "block_table", "line_no", "detail", entry_no.alias("entry_no"), entry.alias("entry"))
+        .filter("entry_no > 0 and (entry is not null or detail is not null)")
         .groupBy("file", "block_at", "block_table", "entry_no")
         .agg(
-            F.max(entry).alias("e"),
+            F.max("entry").alias("e"),
             F.max_by("detail", F.when(F.col("detail").isNotNull(), F.col("line_no"))).alias("detail"),
         )
         .select(
@@ -610,6 +572,152 @@ def access_methods(facts: DataFrame) -> DataFrame:
     )
 
 
+ATTRIBUTES = ("index_name", "resource", "selectivity")
+
+
+def _sliced_lines(facts: DataFrame, slice_lines: int) -> DataFrame:
+    """Lines that access methods are made of, with what their own slice says about them.
+
+    ``local_mark`` is the boundary last before a line in its slice (a method, or
+    empty for END).  Lines up to the first boundary of a slice are *early*: what
+    they do depends on earlier slices.  ``part`` is 0 before that boundary, then 1
+    plus the segments that surely opened; ``opens``, ``entries`` and
+    ``early_entries`` count up to the line.
+    """
+    line = F.col("line")
+    inside = Window.partitionBy("file", "block_at", "slice").orderBy("line_no")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    of_part = (
+        Window.partitionBy("file", "block_at", "slice", "part")
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+
+    def pair(pattern: str, first: str, second: str, kind: str) -> Column:
+        return F.when(
+            line.rlike(pattern),
+            F.struct(_group("line", pattern, 1, "double").alias(first), _group("line", pattern, 2, kind).alias(second)),
+        )
+
+    own = {
+        "index_name": extract(line, INDEX_LINE),
+        "resource": pair(RESOURCE_COST, "io", "cpu", "bigint"),
+        "selectivity": pair(SELECTIVITY, "ix", "filters", "double"),
+    }
+    ends, method = F.col("ends"), F.col("method")
+    early = F.col("local_mark").isNull()
+    known_open = ~early & (F.col("local_mark") != "")
+
+    def count(test: Column) -> Column:
+        return F.sum(F.coalesce(test, F.lit(False)).cast("int")).over(upto)
+
+    return (
+        _of(facts, "access")
+        .filter(
+            line.rlike(
+                "|".join((ACCESS_PATH, INDEX_LINE, RESOURCE_COST, SELECTIVITY, COST_LINE, NL_COST, COST_DETAIL))
+            )
+        )
+        .select(
+            "file",
+            "block_at",
+            "block_table",
+            "line_no",
+            F.floor((F.col("line_no") - F.col("block_at")) / slice_lines).alias("slice"),
+            strip(extract(line, ACCESS_PATH)).alias("method"),
+            line.rlike(COST_LINE).alias("ends"),
+            line.rlike(NL_COST).alias("nl"),
+            *[value.alias(f"own_{name}") for name, value in own.items()],
+            pair(COST_DETAIL, "io", "cpu", "bigint").alias("detail"),
+            F.when(line.rlike(NL_COST), F.regexp_replace(line, r"^\s*NL Join\s*:", "")).otherwise(line).alias("cost_text"),
+        )
+        .withColumn("mark", F.when(method.isNotNull(), method).when(ends, F.lit("")))
+        .withColumn("costs", ends | F.col("nl"))
+        .withColumn("local_mark", F.last("mark", ignorenulls=True).over(earlier))
+        .withColumn("opens", count(~early & method.isNotNull() & (method != F.col("local_mark"))))
+        .withColumn("entries", count(known_open & F.col("costs")))
+        .withColumn("early_entries", count(early & F.col("costs")))
+        .withColumn("part", F.when(early & F.col("mark").isNull(), 0).otherwise(F.col("opens") + 1))
+        .select(
+            "*",
+            *[
+                F.last(F.when(early | known_open, F.col(f"own_{name}")), ignorenulls=True).over(of_part).alias(name)
+                for name in ATTRIBUTES
+            ],
+        )
+        .drop(*[f"own_{name}" for name in ATTRIBUTES])
+    )
+
+
+def _slice_summary(lines: DataFrame) -> DataFrame:
+    """What a slice does to the lines after it, one row per slice."""
+    early = F.col("local_mark").isNull()
+    first = early & F.col("mark").isNotNull()
+    return lines.groupBy("file", "block_at", "slice").agg(
+        F.max(F.when(first, F.col("mark"))).alias("first_mark"),
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("last_mark"),
+        F.max("opens").alias("opens"),
+        F.max("entries").alias("entries"),
+        F.max("early_entries").alias("early_entries"),
+        F.max("part").alias("part"),
+        *[F.max_by(n, F.when(F.col("part") == 0, F.col("line_no"))).alias(f"early_{n}") for n in ATTRIBUTES],
+        *[F.max_by(n, F.struct("part", "line_no")).alias(f"late_{n}") for n in ATTRIBUTES],
+    )
+
+
+def _at_start(lines: DataFrame) -> DataFrame:
+    """Lines of first slices with what these begin with: no method is open."""
+    nothing = {f"{side}_{n}": F.lit(None).cast(lines.schema[n].dataType) for side in ("in", "early") for n in ATTRIBUTES}
+    return lines.withColumns({"in_mark": F.lit(""), "in_entries": F.lit(0), "reopens": F.lit(True), **nothing})
+
+
+def _composed(summary: DataFrame) -> DataFrame:
+    """Per slice what it begins with, from the slices before it in its block.
+
+    Boundaries carry over; with them it is known whether a slice opens a segment
+    at its first boundary and whether its early cost lines emit, so segments and
+    entries are running sums; an attribute carries over while its segment lasts.
+    """
+    order = Window.partitionBy("file", "block_at").orderBy("slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = summary.withColumn("in_mark", F.coalesce(F.last("last_mark", ignorenulls=True).over(before), F.lit("")))
+    was_open = F.col("in_mark") != ""
+    made = (
+        marked.withColumn("reopens", F.coalesce((F.col("first_mark") != "") & (F.col("first_mark") != F.col("in_mark")), F.lit(False)))
+        .withColumn("made", F.col("opens") + F.col("reopens").cast("int"))
+        .withColumn("emitted", F.col("entries") + F.when(was_open, F.col("early_entries")).otherwise(0))
+    )
+    counted = made.select(
+        "*",
+        F.coalesce(F.sum("made").over(before), F.lit(0)).alias("in_opens"),
+        F.coalesce(F.sum("emitted").over(before), F.lit(0)).alias("in_entries"),
+    )
+    segment = (F.col("in_opens") + F.col("made")).alias("segment")
+
+    def at_end(name: str) -> Column:
+        early, late = F.when(was_open, F.col(f"early_{name}")), F.col(f"late_{name}")
+        value = (
+            F.when(F.col("part") == 0, early)
+            .when((F.col("part") == 1) & ~F.col("reopens"), F.coalesce(late, early))
+            .otherwise(late)
+        )
+        return F.when(value.isNotNull(), F.struct(segment, value.alias("value")))
+
+    ended = counted.select("*", *[at_end(n).alias(f"end_{n}") for n in ATTRIBUTES])
+    carried = ended.select("*", *[F.last(f"end_{n}", ignorenulls=True).over(before).alias(f"was_{n}") for n in ATTRIBUTES])
+    return carried.select(
+        "file",
+        "block_at",
+        "slice",
+        "in_mark",
+        "in_entries",
+        "reopens",
+        *[f"early_{n}" for n in ATTRIBUTES],
+        *[F.when(F.col(f"was_{n}.segment") == F.col("in_opens"), F.col(f"was_{n}.value")).alias(f"in_{n}") for n in ATTRIBUTES],
+    )
+
+
 def scan_costs(facts: DataFrame) -> DataFrame:
     """Last of each of the four scan costs per block."""
     line = F.col("line")

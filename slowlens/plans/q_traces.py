@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slowlens.config import KEY_PARAMETERS_PAGE
+from slowlens.config import KEY_PARAMETERS_PAGE, Settings
 from slowlens.operators import optreports as v, optrules as r, opttrace as o
 from slowlens.plans import render
 from slowlens.plans.catalog import query
@@ -168,7 +168,13 @@ union all select file, 2, table2_name, 1, 'TableScan', null, cast(3.5 as double)
 
 @query("access_methods", "trace_src", METHODS + "select * from methods")
 def access_methods(spark, sf):
-    return numbered(o.access_methods(facts(spark, sf))).drop("at")
+    return numbered(o.access_methods(shared_facts(spark, sf))).drop("at")
+
+
+@query("access_methods_sliced", "trace_src", METHODS + "select * from methods")
+def access_methods_sliced(spark, sf):
+    """The same where every block is longer than a slice."""
+    return numbered(o.access_methods(shared_facts(spark, sf), Settings(slice_lines=7))).drop("at")
 
 
 @query(
@@ -259,7 +265,7 @@ select file, table_name, arg_min(method, cost * 1000 + entry_no) as best_method,
 from methods group by file, table_name, block_no""",
 )
 def access_cost_analysis(spark, sf):
-    return o.access_cost_analysis(o.access_methods(facts(spark, sf)))
+    return o.access_cost_analysis(o.access_methods(shared_facts(spark, sf)))
 
 
 @query(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from slowlens.config import Settings
 from slowlens.operators import optreports as v, optrules as r, opttrace as o
 from slowlens.sources.texts import texts_of
 
@@ -178,3 +182,70 @@ def test_blank_lines_between_name_and_figures(spark):
     assert [i.index_name for i in o.trace_index_stats(f).collect()] == ["I"]
     assert [(c.ndv, c.buckets) for c in o.trace_column_stats(f).collect()] == [(7, 9)]
     assert [(b.method, b.index_name, b.cost) for b in o.best_access(f).collect()] == [("X", "I", 1.5)]
+
+
+def line_machine(body):
+    """The access methods of one block, line by line."""
+    out, method, kept = [], None, {}
+    for text in body:
+        if "Access Path:" in text:
+            name = text.split("Access Path:")[1].strip()
+            if name != method:
+                kept = {}
+            method = name
+        elif text.strip().startswith("Cost_io:"):
+            if out:
+                out[-1]["io"], out[-1]["cpu"] = float(text.split()[1]), int(text.split()[3])
+        elif "Cost:" in text:
+            if method:
+                cost = float(text.split("Cost:")[1].split()[0])
+                nl = "NL Join" in text
+                out.append({"method": method, "index": kept.get("index"), "cost": cost, "io": kept.get("io"), "cpu": kept.get("cpu"), "sel": kept.get("sel"), "nl": nl})
+                method = method if nl else None
+        elif method and "Index:" in text:
+            kept["index"] = text.split()[1]
+        elif method and "resc_io:" in text:
+            kept["io"], kept["cpu"] = float(text.split()[1]), int(text.split()[3])
+        elif method and "ix_sel:" in text:
+            kept["sel"] = float(text.split()[1])
+    return [(e["method"], e["index"], e["cost"], e["io"], e["cpu"], e["sel"], "NL" if e["nl"] else None) for e in out]
+
+
+@pytest.mark.parametrize("slice_lines", [1, 2, 7, 10**6])
+def test_slices_of_a_block_equal_the_line_machine(spark, slice_lines):
+    r = random.Random(8)
+
+    def some_line():
+        n = r.randint(1, 9)
+        return r.choice(
+            [
+                f"  Access Path: {r.choice('AB')}",
+                f"  Access Path: {r.choice('AB')}",
+                f"    Index: IX{n}",
+                f"    resc_io: {n}.5  resc_cpu: {n}",
+                f"    ix_sel: 0.{n}  ix_sel_with_filters: 0.1 ",
+                f"    Cost:  {n}.0  Resp: 1.0  Degree: 1",
+                f"  NL Join : Cost: {n}.25  Resp: 1.0  Degree: 2",
+                f"      Cost_io: {n}.75  Cost_cpu: {n}",
+                "  something else",
+                "  something else",
+            ]
+        )
+
+    blocks = [[some_line() for _ in range(r.choice([3, 12, 40, 90]))] for _ in range(60)]
+    found = o.access_methods(
+        facts(spark, *["Access path analysis for T1\n" + "\n".join(b) + "\n" for b in blocks]), Settings(slice_lines=slice_lines)
+    )
+    got = {}
+    for m in found.orderBy("file", "entry_no").collect():
+        row = (m.method, m.index_name, m.cost, m.cost_io, m.cost_cpu, m.ix_sel, m.join_type)
+        got.setdefault(m.file, []).append(row)
+        assert m.entry_no == len(got[m.file])
+    assert got == {f"10053_t{i}_1.trc": line_machine(b) for i, b in enumerate(blocks) if line_machine(b)}
+
+
+def test_no_task_holds_the_lines_of_a_block(spark):
+    plan = o.access_methods(facts(spark, "Access path analysis for T1\n"))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if " Window [" in line or line.strip().startswith("Window [")]
+    over_lines = [w for w in windows if "last(mark" in w or "own_" in w or "costs" in w]
+    assert over_lines and all("slice" in w for w in over_lines)
