@@ -104,9 +104,13 @@ def _seconds(text: Column) -> Column:
 
 
 def _waits(section: Column) -> Column:
-    rows = F.filter(_until(section, lambda l: (l == "") | l.startswith("****")), lambda l: l.rlike(WAIT_ROW))
+    return wait_structs(_until(section, lambda l: (l == "") | l.startswith("****")))
+
+
+def wait_structs(lines: Column) -> Column:
+    """Waits of those lines that are wait rows."""
     return F.transform(
-        rows,
+        F.filter(lines, lambda l: l.rlike(WAIT_ROW)),
         lambda l: F.struct(
             strip(F.regexp_extract(l, WAIT_ROW, 1)).alias("event"),
             F.regexp_extract(l, WAIT_ROW, 2).try_cast("bigint").alias("times_waited"),
@@ -115,7 +119,8 @@ def _waits(section: Column) -> Column:
     )
 
 
-def _last_value(text: Column, pattern: str) -> Column:
+def last_value(text: Column, pattern: str) -> Column:
+    """What the last match of a pattern holds, trimmed; null without a match."""
     return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
 
 
@@ -136,8 +141,8 @@ def _binds(block: Column) -> Column:
         binds,
         lambda p: F.struct(
             (F.when(p.rlike(BIND_NUMBER), F.regexp_extract(p, BIND_NUMBER, 1)).cast("bigint") + 1).alias("position"),
-            bind_type_name(_last_value(p, BIND_TYPE)).alias("type"),
-            _last_value(p, BIND_VALUE).alias("value"),
+            bind_type_name(last_value(p, BIND_TYPE)).alias("type"),
+            last_value(p, BIND_VALUE).alias("value"),
         ),
     )
 
@@ -166,18 +171,9 @@ def exec_statements(blocks: DataFrame) -> DataFrame:
         _rows=F.transform(F.slice(body, 1, PHASE_ROWS), strip),
     ).filter("sql_text <> ''")
     phases = computed(shaped, **{f"_{p}": _phase_row(F.col("_rows"), p) for p in ALL_PHASES})
-    counters = {}
-    for phase in ALL_PHASES:
-        part = [F.get(F.col(f"_{phase}"), F.lit(i)) for i in range(8)]
-        if phase != "total":
-            counters[f"{phase}_count"] = _whole(part[1])
-        counters[f"{phase}_cpu"] = _seconds(part[2])
-        counters[f"{phase}_elapsed"] = _seconds(part[3])
-        for i, name in enumerate(("disk", "query", "current", "rows")):
-            counters[f"{phase}_{name}"] = _whole(part[4 + i])
-    timed = computed(phases.select("file", "block_no", "block", "sql_id", "sql_text", "body", *[f"_{p}" for p in ALL_PHASES]), **counters)
-    timed = timed.filter("total_elapsed > 0")
-
+    timed, counters = with_counters(
+        phases.select("file", "block_no", "block", "sql_id", "sql_text", "body", *[f"_{p}" for p in ALL_PHASES])
+    )
 
     def after(test, skip):
         """Lines that begin ``skip`` lines after the first that passes."""
@@ -202,6 +198,20 @@ def exec_statements(blocks: DataFrame) -> DataFrame:
     )
 
 
+def with_counters(phases: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Counters from the words of the phase rows ``_parse`` .. ``_total``, and their names; blocks with elapsed time only."""
+    counters = {}
+    for phase in ALL_PHASES:
+        part = [F.get(F.col(f"_{phase}"), F.lit(i)) for i in range(8)]
+        if phase != "total":
+            counters[f"{phase}_count"] = _whole(part[1])
+        counters[f"{phase}_cpu"] = _seconds(part[2])
+        counters[f"{phase}_elapsed"] = _seconds(part[3])
+        for i, name in enumerate(("disk", "query", "current", "rows")):
+            counters[f"{phase}_{name}"] = _whole(part[4 + i])
+    return computed(phases, **counters).filter("total_elapsed > 0"), list(counters)
+
+
 KEY = ("file", "block_no", "sql_id")
 
 

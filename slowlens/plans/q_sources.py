@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from slowlens.config import DEFAULTS
 from slowlens.operators import execreport as e, execrules as r
 from slowlens.operators.detect import detected_report
+from slowlens.operators.execlines import report_statements
 from slowlens.operators.opttrace import access_methods, trace_facts, trace_index_stats, trace_sql
 from slowlens.plans import q_execreport, render
 from slowlens.plans.catalog import query
@@ -146,6 +149,65 @@ def read_exec_reports(spark, sf):
     )
 
 
+#: Every file counts as too large to be read whole, and its lines lie in many slices.
+ALL_LARGE = replace(DEFAULTS, whole_file_bytes=100, slice_lines=40)
+
+
+@query(
+    "exec_statements_of_large_reports",
+    "exec_src",
+    f"""
+select {q_execreport.FILE} as file, block_no, sql_id, {q_execreport.SQL_TEXT} as sql_text, parse_count, fetch_rows,
+  {q_execreport.ELAPSED} as total_elapsed, concat(cast(plan_rows as varchar), '  ', plan_op, ' T', cast(o_orderkey as varchar)) as plan_line,
+  wait_event as event, times_waited, bind_count as binds,
+  case when bind_count > 0 then concat('"', bind_value, ' ', cast(bind_count - 1 as varchar), '"') end as last_bind
+from exec_src where {q_execreport.KEPT}""",
+)
+def exec_statements_of_large_reports(spark, sf):
+    path = scratch_path(spark, "reports")
+    k.write_texts(render.exec_report_texts(spark, sf), path)
+    found = report_statements(texts.read_exec_reports(spark, path, "*.txt", ALL_LARGE, texts.folder_value()), ALL_LARGE)
+    last = F.try_element_at("bind_variables", F.lit(-1))
+    return found.select(
+        "file",
+        "block_no",
+        "sql_id",
+        "sql_text",
+        "parse_count",
+        "fetch_rows",
+        F.col("total_elapsed").cast("double").alias("total_elapsed"),
+        F.element_at("execution_plan", -1).alias("plan_line"),
+        F.get("wait_events", F.lit(0))["event"].alias("event"),
+        F.get("wait_events", F.lit(0))["times_waited"].alias("times_waited"),
+        F.size("bind_variables").cast("bigint").alias("binds"),
+        last["value"].alias("last_bind"),
+    )
+
+
+@query(
+    "lines_of_large_traces",
+    "trace_src",
+    """
+select file, cast(1 as bigint) as line_no, concat('Trace file /diag/', file) as line from trace_src
+union all select file, 36, concat('_other_parameter                    = ', cast(trace_no as varchar)) from trace_src
+union all select file, case when two_tables then 51 else 50 end, concat('  Table: ', table_name, '  Alias:  A',
+  case when not_analyzed then '  (NOT ANALYZED)' else '' end) from trace_src
+union all select file, case when two_tables then 60 else 53 end, concat('  Index: ', index_name, '  Col#: 1 2',
+  case when index_not_analyzed then '  (NOT ANALYZED)' else '' end) from trace_src""",
+)
+def lines_of_large_traces(spark, sf):
+    """Lines and their numbers, of files read split by split."""
+    path = scratch_path(spark, "traces")
+    k.write_texts(render.trace_texts(spark, sf), path, named=False)
+    lines = texts.trace_lines(texts.read_traces(spark, path, "*.txt", ALL_LARGE))
+    wanted = lines.filter(F.col("line").rlike(r"^Trace file |^_other_parameter |^  Table: T.*Alias:  A|^  Index: IX.*Col#"))
+    first = F.min(F.struct("line_no", "line"))
+    kind = F.regexp_extract("line", r"^ *(\w+)", 1)
+    found = wanted.groupBy("file", kind.alias("kind")).agg(first.alias("f")).select("file", "f.*")
+    names = wanted.filter("line_no = 1").select(F.col("file").alias("_file"), F.regexp_extract("line", "([^/]*)$", 1).alias("name"))
+    return found.join(names, F.col("file") == F.col("_file")).select(F.col("name").alias("file"), "line_no", "line")
+
+
 @query(
     "read_workload_tables",
     "sqlstat snapshot",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from slowlens.config import DEFAULTS
-from slowlens.operators import execreport as e, opttrace as o
+from slowlens.operators import execlines as x, execreport as e, opttrace as o
 from slowlens.operators.execrules import with_issues
 from slowlens.plans import render
 from slowlens.sinks.documents import write_texts
@@ -80,6 +82,54 @@ def test_large_reports_equal_whole_reports(spark, report_dir, tiny_splits):
     assert texts(parts) == texts(e.exec_text_report(t.read_exec_reports(spark, report_dir, "*.txt")))
 
 
+@pytest.mark.parametrize("slice_lines", [3, 7, 10**6])
+def test_statements_of_large_reports_equal_whole_reports(spark, report_dir, tiny_splits, slice_lines):
+    small = replace(SMALL, slice_lines=slice_lines)
+    whole = x.report_statements(t.read_exec_reports(spark, report_dir, "*.txt"))
+    split = x.report_statements(t.read_exec_reports(spark, report_dir, "*.txt", small), small)
+    assert whole.count() > 300
+    assert split.columns == whole.columns
+    assert rows(split) == rows(whole)
+
+
+def test_odd_blocks_by_lines_equal_whole_blocks(spark, tmp_path, tiny_splits):
+    """One report without a star rule, and many with odd ones, by lines of a few to a slice."""
+    head = "call     count       cpu    elapsed       disk      query    current        rows"
+    total = "total 3 0.01 0.02 1 2 3 4"
+    pool = [
+        "select 1 from t", "  from u where a = :b  ", "", " \t ", "sql_id='a1b2'", "x sql_id='c3' y", head, "  " + head, "CALL count", "call",
+        "Parse 1 0.00 0.00 0 0 0 0", "  Fetch 1 0.1 0.2 1 2 3 4", "fetch 9 0.2 0.30 2 3 4 5 rest", total, total, "total 1 0.00 0.00 1 1 1 1",
+        "Rows     Row Source Operation", "Rows     Execution Plan", "  9  TABLE ACCESS FULL T1  ", "Elapsed time", "----",
+        "Elapsed times include waiting on following events:", "Event waited on  Times", "  db file x  4  1.25 2.0", "log file sync  3  0.5",
+        "BINDS #1:", "  BINDS#2:", " bind 0: ", " BIND 12: value=inline", "  dty=1", "  DTY=999", "  value=a ", "value=", "EXEC #1:", "WAIT  #2: x", "****",
+        "*" * 12, "end of it " + "*" * 20 + "select 5 from dual " + "z" * 40,
+    ]
+    r = random.Random(5)
+    for i in range(40):
+        calls = ["select z from zebras", head, "------", "Fetch 1 0.1 0.2 1 2 3 4", total, ""]
+        body = [line for _ in range(r.choice([1, 6, 25])) for line in [*r.choice([calls, calls, []]), *[r.choice(pool) for _ in range(r.randint(0, 14))]]]
+        text = "\n".join([r.choice(["", " ", "select 7 from seven_tables where no_rule = 1"]), *body, r.choice(["", "last  ", total])])
+        (tmp_path / f"odd{i}_x.prf").write_text(text)
+    regular = ["select a from one_long_block", "sql_id='long1'", head, "----", "Fetch 1 0.1 0.2 1 2 3 4", total]
+    (tmp_path / "long_x.prf").write_text("\n".join(regular + [r.choice([p for p in pool if "*" * 10 not in p]) for _ in range(400)]))
+    whole = x.report_statements(t.read_exec_reports(spark, str(tmp_path)))
+    limit = replace(SMALL, whole_file_bytes=3, slice_lines=4)
+    texts = t.read_exec_reports(spark, str(tmp_path), settings=limit)
+    split = x.report_statements(texts, limit)
+    assert whole.count() > 10 and whole.filter("size(bind_variables) > 1 and size(execution_plan) > 0").count() > 2
+    assert rows(split) == rows(whole)
+    sizes = x.block_lines(texts.long_lines, limit).groupBy("file", "block_no").count()
+    assert sizes.agg({"count": "max"}).first()[0] > 400
+
+
+def test_no_block_is_collected(spark, report_dir, tiny_splits):
+    texts = t.read_exec_reports(spark, report_dir, "*.txt", SMALL)
+    plan = x.statements_of_lines(x.block_lines(texts.long_lines, SMALL), SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    whole = re.findall(r"collect_list\((?:struct|named_struct)\((?:line_no, )?line_no", plan)
+    chosen = re.findall(r"collect_list\(CASE WHEN", plan)
+    assert chosen and not whole
+
+
 def test_line_ends_and_bad_bytes(spark, tmp_path):
     (tmp_path / "10053_a_1.trc").write_bytes(b"one\r\ntwo\rthr\xffee\nfour")
     (tmp_path / "other.log").write_bytes(b"not a trace")
