@@ -58,6 +58,7 @@ def instance_status(instances: DataFrame) -> DataFrame:
             "instance_name",
             "host_name",
             "status",
+            F.col("startup_time").cast("string").alias("startup_time"),
             F.when(F.col("status") == "OPEN", "good").otherwise("warn").alias("band"),
         )
     )

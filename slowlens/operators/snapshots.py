@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from decimal import Decimal
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from slowlens.config import DEFAULTS, INELIGIBLE_USERS, PLAN_FORMATS, PLAN_MISSING, SYSTEM_SCHEMAS
 from slowlens.functions.labels import band
@@ -91,9 +91,13 @@ def top_sql(
     end: datetime,
     top_n: int = DEFAULTS.top_n,
     excluded_schemas: Sequence[str] = SYSTEM_SCHEMAS,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """The ``top_n`` statements of a time window by elapsed seconds.
 
+    ``observation`` gets ``elapsed``, the microseconds of all statements of the
+    window, whatever their schema, from the same scan (see ``elapsed_seconds``).
+
     Groups are (sql_id, plan, first 4000 characters of text, schema), over all
     databases.  Counters are summed per database first; only then is the text
     joined, as a digest, so that neither the join nor the last aggregate moves
@@ -109,10 +113,14 @@ def top_sql(
         "iowait_delta",
     )
     group = ["sql_id", "plan_hash_value", "parsing_schema_name"]
-    rows = sqlstat.filter(~F.col("parsing_schema_name").isin(*excluded_schemas))
+    wanted = ~F.col("parsing_schema_name").isin(*excluded_schemas)
+    if observation is None:
+        rows = in_window(sqlstat.filter(wanted), snapshot, start, end)
+    else:
+        elapsed_sum = F.sum(F.col("elapsed_time_delta").cast("decimal(20,0)")).alias("elapsed")
+        rows = in_window(sqlstat, snapshot, start, end).observe(observation, elapsed_sum).filter(wanted)
     per_db = (
-        in_window(rows, snapshot, start, end)
-        .groupBy("dbid", *group)
+        rows.groupBy("dbid", *group)
         .agg(*[F.sum(c).alias(c) for c in counters])
     )
     cut = F.substring("sql_text", 1, TEXT_CUT)
@@ -220,11 +228,12 @@ def sql_elapsed(sqlstat: DataFrame, snapshot: DataFrame, start: datetime, end: d
     """Elapsed seconds of all statements of the window, whatever their schema."""
     rows = in_window(sqlstat, snapshot, start, end)
     total = F.sum(F.col("elapsed_time_delta").cast("decimal(20,0)"))
-    return rows.agg(
-        F.coalesce(F.round(total / F.lit(1_000_000).cast("decimal(7,0)"), 2).cast("double"), F.lit(0.0)).alias(
-            "sql_elapsed_sec"
-        )
-    )
+    return rows.agg(elapsed_seconds(total).alias("sql_elapsed_sec"))
+
+
+def elapsed_seconds(total: Column) -> Column:
+    """Microseconds of a window as seconds, 0 without any row."""
+    return F.coalesce(F.round(total.cast("decimal(38,0)") / F.lit(1_000_000).cast("decimal(7,0)"), 2).cast("double"), F.lit(0.0))
 
 
 def db_summary(sysstat, sqlstat, snapshot, start, end) -> DataFrame:

@@ -29,12 +29,24 @@ def query(name: str, views: str = "", sql: str | None = None):
     return register
 
 
+def same_rows_as(name: str, other: str):
+    """Register under the SQL of another query, which must be registered before."""
+
+    def register(fn):
+        query(name)(fn)
+        ORACLES[name] = ORACLES[other]
+        return fn
+
+    return register
+
+
 def load() -> None:
     """Import every module that registers queries."""
     from slowlens.plans import (  # noqa: F401
         q_detect,
         q_execreport,
         q_fleet,
+        q_reports,
         q_snapshots,
         q_sources,
         q_streaming,

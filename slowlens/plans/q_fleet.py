@@ -56,7 +56,7 @@ def param_report(spark, sf):
     "instance_status",
     "instances",
     """
-select db_id, inst_id, instance_name, host_name, status, case when status = 'OPEN' then 'good' else 'warn' end as band
+select db_id, inst_id, instance_name, host_name, status, startup_time, case when status = 'OPEN' then 'good' else 'warn' end as band
 from instances where db_id in (select db_id from instances group by db_id having count(*) > 1)""",
 )
 def instance_status(spark, sf):

@@ -193,7 +193,8 @@ select concat('o', cast(o_orderkey as varchar(20))) as sql_id,
         """
 select cast(n_regionkey as bigint) as db_id, cast(n_nationkey as bigint) as inst_id,
   concat('INST', cast(n_nationkey as varchar(20))) as instance_name, concat('host-', lower(n_name)) as host_name,
-  case when n_nationkey % 4 = 0 then 'MOUNTED' else 'OPEN' end as status from nation""",
+  case when n_nationkey % 4 = 0 then 'MOUNTED' else 'OPEN' end as status,
+  concat('2024-01-', lpad(cast(n_nationkey + 1 as varchar(20)), 2, '0'), ' 06:30:00') as startup_time from nation""",
     ),
     "databases": (
         (),

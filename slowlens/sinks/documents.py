@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from slowlens.config import DEFAULTS, Settings
 from slowlens.functions.text import base_name
+from slowlens.operators.execreport import exec_text_report
 from slowlens.operators.snapshots import snap_range
 from slowlens.session import scratch_path
-from slowlens.sources.documents import TKPROF_STATEMENT
+from slowlens.sources.documents import TKPROF_DOC, TKPROF_STATEMENT
+from slowlens.sources.texts import TextSet
 
+#: Tasks that the rows of one detection run are dealt to.
+BUCKETS = 256
 
-def tkprof_docs(statements: DataFrame, blocks_per_doc: int = 1000) -> DataFrame:
+
+def tkprof_docs(statements: DataFrame, blocks_per_doc: int = 1000, reports: TextSet | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Nested documents of execution reports.
 
     The statements of a report become an array in block order.  A report with
@@ -21,42 +27,70 @@ def tkprof_docs(statements: DataFrame, blocks_per_doc: int = 1000) -> DataFrame:
     blocks (``part``, from 0, says which, in the reader too), so no row grows
     without bound; readers explode the arrays and see the same statements.  A
     report is one ``tkprof_file``, however many parts it has.
+
+    With ``reports`` documents hold the text of their report as well (a text too
+    large for a value part by part), and a report without a kept statement gives
+    a document, too.  Plan and statistics are those of snapshot documents; in
+    documents of reports they are empty lists.
     """
     statement = F.struct("block_no", *[f.name for f in TKPROF_STATEMENT.fields])
     part = F.floor(F.col("block_no") / blocks_per_doc).cast("bigint")
     docs = statements.groupBy("file", part.alias("part")).agg(
         F.array_sort(F.collect_list(statement)).alias("_s")
     )
+    text = F.lit(None).cast("string")
+    if reports is not None:
+        texts = exec_text_report(reports, settings).select("file", (F.col("part") - 1).alias("part"), "full_text")
+        blank = reports.texts.filter(F.col("text") == "").select("file", F.lit(0).cast("bigint").alias("part"), F.col("text").alias("full_text"))
+        docs, text = docs.join(texts.unionByName(blank), ["file", "part"], "full"), F.coalesce("full_text", F.lit(""))
     stem = F.regexp_replace(base_name(F.col("file")), r"\.[^.]*$", "")
+    # later parts of a text can be without statements; the report's first document tells
+    nothing = F.col("_s").isNull() & (F.col("part") == 0)
+    found = F.coalesce("_s", F.array().cast(docs.schema["_s"].dataType))
     return docs.select(
-        F.substring_index(stem, "_", 1).alias("sql_id"),
+        F.when(nothing, stem).otherwise(F.substring_index(stem, "_", 1)).alias("sql_id"),
         F.lit("tkprof").alias("source"),
         F.concat(stem, F.lit(".trc")).alias("trc_file"),
         F.col("file").alias("tkprof_file"),
         "part",
-        F.get("_s", F.lit(0))["sql_text"].alias("sql_text"),
-        F.transform("_s", lambda s: s.dropFields("block_no")).alias("tkprof_statements"),
+        text.alias("tkprof_full_text"),
+        F.array().cast("array<string>").alias("plan"),
+        F.array().cast(TKPROF_DOC["stats"].dataType).alias("stats"),
+        F.coalesce(F.get(found, F.lit(0))["sql_text"], F.lit("")).alias("sql_text"),
+        F.transform(found, lambda s: s.dropFields("block_no")).alias("tkprof_statements"),
     )
 
 
-def write_tkprof_docs(statements: DataFrame, path: str, blocks_per_doc: int = 1000) -> None:
-    tkprof_docs(statements, blocks_per_doc).write.mode("errorifexists").json(path)
+def write_tkprof_docs(
+    statements: DataFrame, path: str, blocks_per_doc: int = 1000, reports: TextSet | None = None, settings: Settings = DEFAULTS
+) -> None:
+    tkprof_docs(statements, blocks_per_doc, reports, settings).write.mode("errorifexists").json(path)
 
 
 def detection_docs(detections: DataFrame, rows_per_doc: int = 1000) -> DataFrame:
     """``{detected_at, part, parts, sql_list}`` per run, in parts of bounded length.
 
-    A run is dealt out over parts by a hash of the statement, so that one run
-    with very many rows does not meet in one task.
+    Rows of a run are numbered through: inside buckets by a hash of the row, on
+    from the sizes of the buckets before, so that a run with very many rows never
+    meets in one task and is joined to nothing but one row per bucket.
     """
     columns = [c for c in detections.columns if c != "detected_at"]
-    counts = detections.groupBy("detected_at").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / rows_per_doc).cast("bigint")
+    mark = F.xxhash64(*columns)
+    inside = Window.partitionBy("detected_at", "_bucket").orderBy(mark, *columns)
+    numbered = detections.withColumn("_bucket", F.pmod(mark, F.lit(BUCKETS))).withColumn("_no", F.row_number().over(inside))
+    run = Window.partitionBy("detected_at")
+    before = run.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("detected_at", "_bucket").agg(F.max("_no").alias("_size"))
+    starts = sizes.select(
+        "detected_at",
+        "_bucket",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.ceil(F.sum("_size").over(run) / rows_per_doc).cast("bigint").alias("parts"),
+    )
+    part = F.floor((F.col("_start") + F.col("_no") - 1) / rows_per_doc).cast("bigint")
     return (
-        detections.join(counts, "detected_at")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64(*columns), "parts"))
-        .groupBy("detected_at", "part", "parts")
+        numbered.join(starts, ["detected_at", "_bucket"])
+        .groupBy("detected_at", part.alias("part"), "parts")
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("sql_list"))
         .select("detected_at", "part", "parts", "sql_list")
     )
