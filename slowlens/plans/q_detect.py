@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from slowlens.operators import detect as d
-from slowlens.plans.catalog import query
+from slowlens.plans.catalog import query, same_rows_as
 from slowlens.plans.views import view
+from slowlens.session import scratch_path
+from slowlens.sinks.ledger import not_in_ledger, read_ledger, upsert_entries, upsert_ledger
 
 NOW = datetime(2024, 1, 20, 12, 0, 0)
 NOW_SQL = "timestamp '2024-01-20 12:00:00'"
@@ -133,6 +135,36 @@ def append_ledger(spark, sf):
     return ledger.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
 
 
+def keyed_ledger_path(spark, sf) -> str:
+    path = scratch_path(spark, "ledger")
+    upsert_entries(view(spark, sf, "ledger"), path, NOW - timedelta(hours=24))
+    return path
+
+
+@same_rows_as("dedup_by_keyed_ledger", "dedup_recent")
+def dedup_by_keyed_ledger(spark, sf):
+    found = not_in_ledger(view(spark, sf, "detection"), keyed_ledger_path(spark, sf), NOW)
+    return found.select("sql_id", "plan_hash_value", "detected_at")
+
+
+@query(
+    "keyed_ledger",
+    "detection ledger",
+    f"""
+, entries as (
+select sql_id, coalesce(plan_hash_value, '0') as plan_hash_value, collected_at, elapsed_sec_per_exec from ledger
+where collected_at >= {NOW_SQL} - interval '24' hour
+union all
+select sql_id, coalesce(cast(plan_hash_value as varchar), '0'), {NOW_SQL}, elapsed_sec_per_exec from detection)
+select sql_id, plan_hash_value, collected_at, elapsed_sec_per_exec from entries
+qualify row_number() over (partition by sql_id, plan_hash_value order by collected_at desc, elapsed_sec_per_exec desc) = 1""",
+)
+def keyed_ledger(spark, sf):
+    path = keyed_ledger_path(spark, sf)
+    upsert_ledger(view(spark, sf, "detection"), path, NOW)
+    return read_ledger(spark, path).withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
+
+
 @query(
     "recent_detections",
     "ledger",

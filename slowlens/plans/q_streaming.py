@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from slowlens.config import DEFAULTS
 from slowlens.operators import opttrace as o
 from slowlens.plans import render
-from slowlens.plans.catalog import query
+from slowlens.plans.catalog import query, same_rows_as
 from slowlens.plans.q_detect import PATTERNS_SQL
 from slowlens.plans.q_traces import METHODS
 from slowlens.plans.views import view
@@ -56,6 +59,55 @@ def stream_dedup(spark, sf):
     return _drain(spark, jobs.stream_dedup(_detections(spark, sf)), "dedup").select("sql_id", "plan_key")
 
 
+def _runs(spark, sf, runs: int = 4):
+    """The detection table as a stream of ``runs`` batches in order of time; the rows of an hour are one run."""
+    path = scratch_path(spark, "arrivals")
+    hour = F.date_trunc("hour", F.col("detected_at").cast("timestamp"))
+    found = view(spark, sf, "detection").withColumn("ts", hour).drop("detected_at")
+    cuts = found.selectExpr(*[f"percentile_approx(ts, {i / runs}) c{i}" for i in range(1, runs)]).first()
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        after = F.lit(True) if low is None else F.col("ts") > F.lit(low)
+        upto = F.lit(True) if high is None else F.col("ts") <= F.lit(high)
+        found.filter(after & upto).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _collected(unit: str, hours: int) -> str:
+    """Keys by the first run, then always by the first one more than ``hours`` later."""
+    key = "coalesce(cast(plan_hash_value as varchar), '0')"
+    return f"""
+select * from (with recursive runs as (select distinct sql_id, {key} as plan_key, date_trunc('{unit}', detected_at) as ts from detection),
+picked as (
+select sql_id, plan_key, min(ts) as ts from runs group by all
+union all
+select p.sql_id, p.plan_key, (select min(r.ts) from runs r where r.sql_id = p.sql_id and r.plan_key = p.plan_key
+  and r.ts > p.ts + interval '{hours}' hour) as ts from picked p where p.ts is not null)
+select p.sql_id, p.plan_key, p.ts, count(*) as detected from picked p
+  join detection d on d.sql_id = p.sql_id and {key} = p.plan_key and date_trunc('{unit}', d.detected_at) = p.ts group by all) t"""
+
+
+@query("stream_collect", "detection", _collected("hour", 24))
+def stream_collect(spark, sf):
+    """Four batches; a key is collected again by the first run more than a day after its last collection."""
+    found = _drain(spark, jobs.stream_collect(_runs(spark, sf)), "collected")
+    return found.groupBy("sql_id", "plan_key", "ts").agg(F.count("*").alias("detected"))
+
+
+@query("stream_collect_by_ledger", "detection", _collected("week", 168))
+def stream_collect_by_ledger(spark, sf):
+    """By the keyed ledger, a run a week: each batch looks its keys up and marks the new ones."""
+    out, ledger = scratch_path(spark, "collected"), scratch_path(spark, "ledger")
+    runs = view(spark, sf, "detection").withColumn("ts", F.date_trunc("week", F.col("detected_at").cast("timestamp"))).drop("detected_at")
+    path = scratch_path(spark, "arrivals")
+    for r in runs.select("ts").distinct().orderBy("ts").collect():
+        runs.filter(F.col("ts") == F.lit(r.ts)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.run_collection(stream, ledger, out, scratch_path(spark, "collected-checkpoint"), hours=168)
+    found = spark.read.parquet(out).withColumn("plan_key", F.coalesce(F.col("plan_hash_value").cast("string"), F.lit("0")))
+    return found.groupBy("sql_id", "plan_key", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("detected"))
+
+
 def _rollup(unit: str) -> str:
     return f"""
 select date_trunc('{unit}', detected_at) as period_start, sql_id, count(*) as samples,
@@ -98,6 +150,34 @@ def stream_weekly_top(spark, sf):
     return jobs.period_top(_drain(spark, jobs.stream_weekly_rollup(_detections(spark, sf)), "weekly"))
 
 
+def _ranked(spark, rollup, label):
+    path = scratch_path(spark, label)
+    jobs.run_period_top(rollup, path, scratch_path(spark, f"{label}-checkpoint"))
+    return spark.read.parquet(path).drop("batch_id").withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
+@same_rows_as("stream_daily_ranks", "stream_daily_top")
+def stream_daily_ranks(spark, sf):
+    """Ranks taken in the stream, batch by batch."""
+    return _ranked(spark, jobs.stream_daily_rollup(_detections(spark, sf)), "daily")
+
+
+@same_rows_as("stream_weekly_ranks", "stream_weekly_top")
+def stream_weekly_ranks(spark, sf):
+    return _ranked(spark, jobs.stream_weekly_rollup(_detections(spark, sf)), "weekly")
+
+
+@same_rows_as("stream_trace_issues", "trace_issues")
+def stream_trace_issues(spark, sf):
+    """Facts and issues of arriving traces, a few files a batch, all of them read split by split."""
+    path, out = scratch_path(spark, "traces"), scratch_path(spark, "extracted")
+    write_texts(render.trace_texts(spark, sf), path)
+    large = replace(DEFAULTS, whole_file_bytes=100)
+    checkpoint = scratch_path(spark, "extracted-checkpoint")
+    jobs.run_trace_facts(spark, f"{path}/*", out, checkpoint, "*.txt", large, per_batch=800, file=folder_value())
+    return spark.read.parquet(f"{out}/issues").drop("batch_id", "at", "recommendation")
+
+
 @query(
     "stream_new_traces",
     "trace_src",

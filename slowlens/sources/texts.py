@@ -93,13 +93,13 @@ def clean_bytes(value: Column, drop_undecodable: bool) -> Column:
 
 def read_texts(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     glob: str,
     settings: Settings = DEFAULTS,
     drop_undecodable: bool = False,
     file: Column | None = None,
 ) -> TextSet:
-    """The texts below a path; ``file`` is the key of a text, by default its full path."""
+    """The texts below a path, or of a list of files; ``file`` is the key of a text, by default its full path."""
     file = file_path() if file is None else file
     limit = settings.whole_file_bytes
     size = F.col("_metadata.file_size")
@@ -130,14 +130,14 @@ def read_texts(
 
 
 def read_traces(
-    spark: SparkSession, path: str, glob: str = TRACE_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
+    spark: SparkSession, path: str | list[str], glob: str = TRACE_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
 ) -> TextSet:
     """Optimizer traces; bytes that are not UTF-8 are dropped."""
     return read_texts(spark, path, glob, settings, drop_undecodable=True, file=file)
 
 
 def read_exec_reports(
-    spark: SparkSession, path: str, glob: str = REPORT_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
+    spark: SparkSession, path: str | list[str], glob: str = REPORT_GLOB, settings: Settings = DEFAULTS, file: Column | None = None
 ) -> TextSet:
     """Execution reports; bytes that are not UTF-8 are replaced."""
     return read_texts(spark, path, glob, settings, file=file)

@@ -1,22 +1,33 @@
 """Streaming forms of detection, roll-up and text intake.
 
-Each function takes a streaming DataFrame and returns one; ``run_available``
+Most functions take a streaming DataFrame and return one; ``run_available``
 drains what has arrived into a table, and a cluster job starts the same frame
-with a processing-time trigger.  No step needs a callback per batch: ranks are
-taken by a batch query over the roll-up table.
+with a processing-time trigger.
+
+Ranks, facts of traces and the ledger need whole batches.  Those sinks work per
+batch and write to a folder that is named by the batch, so a batch that is done
+again after a failure replaces its own rows and changes nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from slowlens.config import DEFAULTS, Settings
 from slowlens.operators.detect import detect_over_thresholds, exclude_statements, plan_key
 from slowlens.operators.execreport import exec_blocks, exec_statements
 from slowlens.operators.execrules import with_issues
-from slowlens.operators.opttrace import candidate_lines
-from slowlens.sources.texts import TRACE_GLOB, TextSet, clean_bytes, file_path, lines_with_followers
+from slowlens.operators.optrules import trace_issues
+from slowlens.operators.opttrace import candidate_lines, trace_facts
+from slowlens.sinks.ledger import not_in_ledger, upsert_ledger
+from slowlens.sources.texts import TRACE_GLOB, TextSet, clean_bytes, file_path, lines_with_followers, read_traces
 from slowlens.functions.text import unix_newlines
 
 # Period of detection, of a snapshot, and the report periods.
@@ -48,6 +59,56 @@ def stream_dedup(stream: DataFrame, hours: int = DEFAULTS.dedup_hours, time_colu
     )
 
 
+def _collector(hours: int, time_column: str) -> Callable:
+    """Rows of one key: those of a time are kept unless the key was collected within the ``hours`` before it.
+
+    The state is the time of the last collection and expires ``hours`` after it; rows
+    that are not kept do not renew it.  Rows of a key in one batch are handled together.
+    """
+    period = timedelta(hours=hours)
+
+    def collect(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(time_column, kind="stable")
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        kept = []
+        for at, same in rows.groupby(time_column, sort=True):
+            if last is None or last < at - period:
+                last = at
+                kept.append(same)
+        if kept:
+            state.update((last.to_pydatetime(),))
+            expires = int((last + period).timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+            yield pd.concat(kept)
+        else:
+            expires = int((last + period).timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+
+    return collect
+
+
+def stream_collect(
+    stream: DataFrame, hours: int = DEFAULTS.dedup_hours, time_column: str = "ts", late: str = "1 hour"
+) -> DataFrame:
+    """Rows to collect: as the batch ledger, measured from the last collection.
+
+    ``time_column`` is the time of the detection run.  A key is collected again by
+    the first run more than ``hours`` after its last collection; rows later than the
+    watermark are not counted.  State is one time per key and goes ``hours`` after it.
+    """
+    keyed = stream.withColumn("plan_key", plan_key()).withWatermark(time_column, late)
+    return keyed.groupBy("sql_id", "plan_key").applyInPandasWithState(
+        _collector(hours, time_column),
+        outputStructType=StructType(keyed.schema.fields),
+        stateStructType="collected_at timestamp",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def _rollup(stream: DataFrame, window, late: str, time_column: str) -> DataFrame:
     return (
         stream.withWatermark(time_column, late)
@@ -89,6 +150,100 @@ def period_top(rollup: DataFrame, n: int = DEFAULTS.top_n) -> DataFrame:
     return rollup.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
 
 
+def write_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Hand every batch to ``write(rows, batch_id)``; all that has arrived, or for good with a period ``every``."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+    if not every:
+        query.awaitTermination()
+    return query
+
+
+def _batch_folder(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
+def run_period_top(rollup: DataFrame, path: str, checkpoint: str, n: int = DEFAULTS.top_n, every: str | None = None) -> StreamingQuery:
+    """Ranked rows of every period, once it is complete.
+
+    The watermark completes a period for all its statements at once, so the batch
+    that gives them out holds the whole period and its ranks are final.
+    """
+
+    def ranked(rows: DataFrame, batch_id: int) -> None:
+        period_top(rows, n).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+
+    return write_batches(rollup, ranked, checkpoint, every)
+
+
+def stream_files(spark: SparkSession, path: str, glob: str, per_batch: int = 1000) -> DataFrame:
+    """``(file, size)`` of newly arrived files, at most ``per_batch`` at a time; their content is not read."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob)
+    listed = reader.option("maxFilesPerTrigger", per_batch).load(path)
+    return listed.select(F.col("path").alias("file"), F.col("length").alias("size"))
+
+
+def run_trace_facts(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    glob: str = TRACE_GLOB,
+    settings: Settings = DEFAULTS,
+    per_batch: int = 1000,
+    every: str | None = None,
+    file: Column | None = None,
+) -> StreamingQuery:
+    """Facts and issues of arriving traces, by the readers and operators for sets of files.
+
+    Files too large to be read whole are read split by split here too, so no file is
+    a value.  The driver holds the names of one batch.
+    """
+
+    def extract(files: DataFrame, batch_id: int) -> None:
+        names = [r.file for r in files.select("file").collect()]  # at most per_batch
+        if not names:
+            return
+        session = files.sparkSession
+        facts_path = f"{out.rstrip('/')}/facts/batch_id={batch_id}"
+        facts = trace_facts(read_traces(session, names, glob, settings, file), settings)
+        facts.write.mode("overwrite").partitionBy("kind").parquet(facts_path)
+        written = session.read.schema(facts.schema).parquet(facts_path)
+        trace_issues(written).write.mode("overwrite").parquet(f"{out.rstrip('/')}/issues/batch_id={batch_id}")
+
+    return write_batches(stream_files(spark, path, glob, per_batch), extract, checkpoint, every)
+
+
+def run_collection(
+    stream: DataFrame, ledger: str, out: str, checkpoint: str, hours: int = DEFAULTS.dedup_hours, time_column: str = "ts", every: str | None = None
+) -> StreamingQuery:
+    """Detected rows that the keyed ledger does not hold, which are then marked in it.
+
+    Every batch is a run at the latest time of its rows.  Its rows are written
+    before the ledger, and a batch whose folder is complete is not done again.
+    """
+
+    def collect(rows: DataFrame, batch_id: int) -> None:
+        session, folder = rows.sparkSession, _batch_folder(out, batch_id)
+        now = rows.agg(F.max(time_column)).first()[0]
+        if now is None:
+            return
+        if not _is_written(session, folder):
+            not_in_ledger(rows, ledger, now, hours).write.mode("overwrite").parquet(folder)
+        upsert_ledger(session.read.schema(rows.schema).parquet(folder), ledger, now, hours)
+
+    return write_batches(stream, collect, checkpoint, every)
+
+
+def _is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a finished write."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def stream_texts(
     spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False, file: Column | None = None
 ) -> TextSet:
