@@ -1,17 +1,19 @@
 """Rules on optimizer traces.
 
-Each rule reads one child relation; ``trace_issues`` puts them together.  For
-more than one rule, pass facts that were written once (a table), not the text.
+Each rule looks at one relation, and rules on the same one are evaluated in one
+pass; ``trace_issues`` puts them together.  For more than one rule, pass facts
+that were written once (a table), not the text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.functions.labels import severity_label
 from slowlens.operators import opttrace as o
+from slowlens.operators.rules import Findings, Rule, rows_of_relations
 
 # Names and limits of the rules.
 LARGE_TABLE_ROWS = 100_000
@@ -31,104 +33,191 @@ ADVICE = {
 }
 
 
-def _issue(
-    df: DataFrame, rule_no: int, kind: str, severity: Column | str, message: Column, measure: Column, at: Column
-) -> DataFrame:
-    level = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select(
-        "file",
-        F.lit(rule_no).cast("bigint").alias("rule_no"),
-        at.cast("bigint").alias("at"),
-        level.alias("severity"),
-        F.lit(kind).alias("type"),
-        message.alias("message"),
-        measure.cast("double").alias("measure"),
-        F.lit(ADVICE[kind]).alias("recommendation"),
-    )
+ISSUES = Findings({"at": "bigint", "message": "string", "measure": "double", "recommendation": "string"})
+COLUMNS = ("file", "rule_no", "at", "severity", "type", "message", "measure", "recommendation")
 
 
-def full_scan_issues(best: DataFrame, tables: DataFrame) -> DataFrame:
-    """A full scan is the best path of a table with more than 100,000 rows."""
-    large = tables.filter(F.col("rows") > LARGE_TABLE_ROWS).select("file", "table_name", "rows")
-    hits = best.filter("method = 'TableScan'").select("file", "block_at", "table_name").join(large, ["file", "table_name"])
-    text = F.format_string("%s: full scan is the best path for %d rows", "table_name", "rows")
-    return _issue(hits, 1, "Full Table Scan", "WARNING", text, F.col("rows"), F.col("block_at"))
+def _rule(no: int, kind: str, severity, message, when=lambda x: F.lit(True), measure=None, at=0) -> Rule:
+    return Rule(no, kind, when, severity, {"at": at, "message": message, "measure": measure, "recommendation": ADVICE[kind]})
 
 
-def fast_full_scan_issues(best: DataFrame) -> DataFrame:
-    hits = best.filter("method = 'IndexFFS'")
-    text = F.concat_ws(" ", F.col("table_name"), F.lit("is read from index"), F.coalesce("index_name", F.lit("N/A")))
-    return _issue(hits, 2, "Index Fast Full Scan", "INFO", text, F.lit(None), F.col("block_at"))
+def _text(pattern: str, *names: str):
+    return lambda x: F.format_string(pattern, *[x[n] for n in names])
 
 
-def clustering_issues(indexes: DataFrame) -> DataFrame:
-    ratio = F.when(F.col("num_rows") > 0, F.col("clustering_factor") / F.col("num_rows"))
-    hits = indexes.withColumn("ratio", ratio).filter(F.col("ratio") > CLUSTERING_INFO)
-    text = F.concat_ws(" ", F.col("index_name"), F.lit("has a clustering factor far from its row order"))
-    level = F.when(F.col("ratio") > CLUSTERING_WARNING, "WARNING").otherwise("INFO")
-    return _issue(hits, 3, "High Clustering Factor", level, text, F.col("ratio"), F.col("at"))
-
-
-def histogram_issues(columns: DataFrame) -> DataFrame:
-    hits = columns.filter((F.col("ndv") <= FEW_DISTINCT) & (F.col("histogram") == "None"))
-    text = F.format_string("%s: %d distinct values and no histogram", "column_name", "ndv")
-    return _issue(hits, 4, "Missing Histogram", "WARNING", text, F.col("ndv"), F.col("at"))
+def _level(x: Column) -> Column:
+    return F.when(x["ratio"] > CLUSTERING_WARNING, "WARNING").otherwise("INFO")
 
 
-def system_stats_issues(system: DataFrame) -> DataFrame:
-    """No workload statistics (INFO) and multiblock read count not set (WARNING)."""
-    mode = system.filter("item = 'stats_type' and value = 'NOWORKLOAD'")
-    mbrc = system.filter("item = 'MBRC' and is_default")
-    none = F.lit(None)
-    return _issue(
-        mode, 5, "NOWORKLOAD System Stats", "INFO", F.lit("System statistics are not from a workload"), none, F.lit(0)
-    ).unionByName(
-        _issue(
-            mbrc,
+#: Rules and the relation that each looks at, see ``relations_of``.
+TRACE_RULES: tuple[tuple[str, Rule], ...] = (
+    (
+        "best",
+        _rule(
+            1,
+            "Full Table Scan",
+            "WARNING",
+            _text("%s: full scan is the best path for %d rows", "table_name", "rows"),
+            lambda x: (x["method"] == "TableScan") & (x["rows"] > LARGE_TABLE_ROWS),
+            lambda x: x["rows"],
+            lambda x: x["block_at"],
+        ),
+    ),
+    (
+        "best",
+        _rule(
+            2,
+            "Index Fast Full Scan",
+            "INFO",
+            lambda x: F.concat_ws(" ", x["table_name"], F.lit("is read from index"), F.coalesce(x["index_name"], F.lit("N/A"))),
+            lambda x: x["method"] == "IndexFFS",
+            at=lambda x: x["block_at"],
+        ),
+    ),
+    (
+        "indexes",
+        _rule(
+            3,
+            "High Clustering Factor",
+            _level,
+            lambda x: F.concat_ws(" ", x["index_name"], F.lit("has a clustering factor far from its row order")),
+            lambda x: x["ratio"] > CLUSTERING_INFO,
+            lambda x: x["ratio"],
+            lambda x: x["at"],
+        ),
+    ),
+    (
+        "columns",
+        _rule(
+            4,
+            "Missing Histogram",
+            "WARNING",
+            _text("%s: %d distinct values and no histogram", "column_name", "ndv"),
+            lambda x: (x["ndv"] <= FEW_DISTINCT) & (x["histogram"] == "None"),
+            lambda x: x["ndv"],
+            lambda x: x["at"],
+        ),
+    ),
+    (
+        "system",
+        _rule(
+            5,
+            "NOWORKLOAD System Stats",
+            "INFO",
+            "System statistics are not from a workload",
+            lambda x: (x["item"] == "stats_type") & (x["value"] == "NOWORKLOAD"),
+        ),
+    ),
+    (
+        "system",
+        _rule(
             6,
             "MBRC Not Set",
             "WARNING",
-            F.concat(F.lit("Multiblock read count is not set, the default applies: "), F.col("default_value")),
-            F.col("default_value").try_cast("double"),
-            F.lit(0),
-        )
-    )
+            lambda x: F.concat(F.lit("Multiblock read count is not set, the default applies: "), x["default_value"]),
+            lambda x: (x["item"] == "MBRC") & x["is_default"],
+            lambda x: x["default_value"].try_cast("double"),
+        ),
+    ),
+    ("bare_tables", _rule(7, "Table NOT ANALYZED", "WARNING", lambda x: x["names"], measure=lambda x: x["count"])),
+    ("bare_indexes", _rule(8, "Index NOT ANALYZED", "WARNING", lambda x: x["names"], measure=lambda x: x["count"])),
+    (
+        "sampling",
+        _rule(9, "Dynamic Sampling Used", "INFO", _text("Dynamic sampling was used: %d messages", "count"), measure=lambda x: x["count"]),
+    ),
+)
+
+
+def _scans(best: DataFrame, tables: DataFrame) -> DataFrame:
+    """Best paths with the rows of their table."""
+    sized = tables.select("file", "table_name", "rows")
+    return best.select("file", "block_at", "table_name", "method", "index_name").join(sized, ["file", "table_name"], "left")
+
+
+def _indexes(indexes: DataFrame) -> DataFrame:
+    ratio = F.when(F.col("num_rows") > 0, F.col("clustering_factor") / F.col("num_rows"))
+    return indexes.select("file", "at", "index_name", ratio.alias("ratio"))
 
 
-def not_analyzed_issues(objects: DataFrame, name: str, rule_no: int, kind: str) -> DataFrame:
+def _bare(objects: DataFrame, name: str) -> DataFrame:
     """One row per trace that lists the objects without statistics in file order.
 
     The list is part of the result and holds the object names of one trace.
     """
-    names = (
+    return (
         objects.filter("not_analyzed")
         .groupBy("file")
         .agg(F.array_sort(F.collect_list(F.struct("at", name))).alias("l"))
-        .withColumn("names", F.array_join(F.transform("l", lambda e: e[name]), ", "))
+        .select("file", F.array_join(F.transform("l", lambda e: e[name]), ", ").alias("names"), F.size("l").alias("count"))
     )
-    return _issue(names, rule_no, kind, "WARNING", F.col("names"), F.size("l"), F.lit(0))
+
+
+def _sampled(sampling: DataFrame) -> DataFrame:
+    return sampling.groupBy("file").agg(F.count("*").alias("count"))
+
+
+def relations_of(facts: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """What rules can look at; each has a column ``file``, and is made only where a rule asks for it."""
+    return {
+        "best": lambda: _scans(o.best_access(facts), o.trace_table_stats(facts)),
+        "tables": lambda: o.trace_table_stats(facts),
+        "indexes": lambda: _indexes(o.trace_index_stats(facts)),
+        "columns": lambda: o.trace_column_stats(facts),
+        "system": lambda: o.trace_system_stats(facts),
+        "bare_tables": lambda: _bare(o.trace_table_stats(facts), "table_name"),
+        "bare_indexes": lambda: _bare(o.trace_index_stats(facts), "index_name"),
+        "sampling": lambda: _sampled(o.dynamic_sampling(facts)),
+    }
+
+
+def _found(frame: DataFrame, *numbers: int) -> DataFrame:
+    """Issues of the named rules on a relation that is at hand."""
+    rules = [("given", rule) for _, rule in TRACE_RULES if rule.no in numbers]
+    return rows_of_relations(rules, {"given": lambda: frame}, ISSUES, ["file"]).select(*COLUMNS)
+
+
+def full_scan_issues(best: DataFrame, tables: DataFrame) -> DataFrame:
+    """A full scan is the best path of a table with more than 100,000 rows."""
+    return _found(_scans(best, tables), 1)
+
+
+def fast_full_scan_issues(best: DataFrame) -> DataFrame:
+    return _found(best, 2)
+
+
+def clustering_issues(indexes: DataFrame) -> DataFrame:
+    return _found(_indexes(indexes), 3)
+
+
+def histogram_issues(columns: DataFrame) -> DataFrame:
+    return _found(columns, 4)
+
+
+def system_stats_issues(system: DataFrame) -> DataFrame:
+    """No workload statistics (INFO) and multiblock read count not set (WARNING)."""
+    return _found(system, 5, 6)
+
+
+def not_analyzed_issues(objects: DataFrame, name: str, rule_no: int, kind: str) -> DataFrame:
+    """One row per trace that lists the objects without statistics."""
+    return _found(_bare(objects, name), rule_no)
 
 
 def sampling_issues(sampling: DataFrame) -> DataFrame:
-    counts = sampling.groupBy("file").agg(F.count("*").alias("n"))
-    text = F.format_string("Dynamic sampling was used: %d messages", "n")
-    return _issue(counts, 9, "Dynamic Sampling Used", "INFO", text, F.col("n"), F.lit(0))
-
-
-def trace_issues(facts: DataFrame) -> DataFrame:
-    """All rules on one trace set; ``at`` orders issues of one rule."""
-    best, tables, indexes = o.best_access(facts), o.trace_table_stats(facts), o.trace_index_stats(facts)
-    parts = [
-        full_scan_issues(best, tables),
-        fast_full_scan_issues(best),
-        clustering_issues(indexes),
-        histogram_issues(o.trace_column_stats(facts)),
-        system_stats_issues(o.trace_system_stats(facts)),
-        not_analyzed_issues(tables, "table_name", 7, "Table NOT ANALYZED"),
-        not_analyzed_issues(indexes, "index_name", 8, "Index NOT ANALYZED"),
-        sampling_issues(o.dynamic_sampling(facts)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _found(_sampled(sampling), 9)
+
+
+def trace_issues(
+    facts: DataFrame,
+    rules: Sequence[tuple[str, Rule]] = TRACE_RULES,
+    relations: Mapping[str, Callable[[], DataFrame]] | None = None,
+) -> DataFrame:
+    """All rules on one trace set; ``at`` orders issues of one rule.
+
+    A rule of one's own is one more entry; ``relations`` adds what it looks at.
+    """
+    known = relations_of(facts) | dict(relations or {})
+    return rows_of_relations(rules, known, ISSUES, ["file"]).select(*COLUMNS)
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.functions.labels import severity_label
 from slowlens.functions.text import parse_num
+from slowlens.operators.rules import Findings, Rule
 from slowlens.operators.snapshots import first_stats
 
 # Plan texts and limits of the rules.
@@ -36,61 +40,70 @@ GUIDE = {
 }
 
 
-def _point(rule_no: int, kind: str, severity: Column | str, measure: Column | None = None) -> Column:
-    symptom, advice = GUIDE[kind]
-    level = F.lit(severity) if isinstance(severity, str) else severity
-    return F.struct(
-        F.lit(rule_no).cast("bigint").alias("rule_no"),
-        level.alias("severity"),
-        F.lit(kind).alias("type"),
-        F.lit(symptom).alias("symptom"),
-        F.lit(advice).alias("advice"),
-        (F.lit(None) if measure is None else measure).cast("double").alias("measure"),
-    )
+POINTS = Findings({"symptom": "string", "advice": "string", "measure": "double"})
 
 
-def tuning_points(docs: DataFrame) -> DataFrame:
-    """Documents with a ``points`` array in rule order, never empty."""
-    base = docs.withColumn("_text", F.coalesce(F.array_join("plan", "\n"), F.lit("")))
-    figures = first_stats(docs)
-    for name, col in figures.items():
-        base = base.withColumn(f"_{name}", col)
-    text = F.col("_text")
-    elapsed, gets, reads, rows = (F.col(f"_{n}") for n in ("elapsed", "gets", "reads", "rows"))
-    per_row = F.when((rows > 0) & (gets > 0), gets / F.greatest(rows, F.lit(1.0)))
+def document_figures() -> Column:
+    """What rules on a document look at: its plan as ``text``, the figures of its first statistics, large loops."""
+    text = F.coalesce(F.array_join("plan", "\n"), F.lit(""))
     loop_rows = F.filter(
         F.transform(F.regexp_extract_all(text, F.lit(NESTED_LOOP_ROWS), F.lit(1)), parse_num),
         lambda n: n > NESTED_LOOP_LIMIT,
     )
+    return F.struct(text.alias("text"), loop_rows.alias("loop_rows"), *[c.alias(n) for n, c in first_stats().items()])
 
-    def has(*phrases):
-        hit = text.contains(phrases[0])
-        for p in phrases[1:]:
-            hit = hit | text.contains(p)
-        return hit
-
-    levels = lambda v, limits: F.when(v > limits[0], "HIGH").otherwise("MEDIUM")
-    rules = (
-        (elapsed > ELAPSED_LIMITS[1], _point(1, "elapsed", levels(elapsed, ELAPSED_LIMITS), elapsed)),
-        (gets > GETS_LIMITS[1], _point(2, "buffer_gets", levels(gets, GETS_LIMITS), gets)),
-        (reads > READS_LIMIT, _point(3, "physical_reads", "HIGH", reads)),
-        (per_row > GETS_PER_ROW_LIMIT, _point(4, "gets_per_row", "MEDIUM", per_row)),
-        (has(FAST_FULL_SCAN), _point(5, "index_fast_full_scan", "MEDIUM")),
-        (has(*FULL_SCANS), _point(6, "full_table_scan", "HIGH")),
-        (has(*PARTITION_SCANS), _point(7, "no_partition_pruning", "MEDIUM")),
-        (F.size(loop_rows) > 0, _point(8, "large_nested_loop", "MEDIUM", F.get(loop_rows, F.lit(0)))),
-        (text.rlike(SORTS), _point(9, "sort", "LOW")),
-        (has(HASH_JOIN), _point(10, "hash_join", "LOW")),
-    )
-    found = base.withColumn("_found", F.array_compact(F.array(*[F.when(c, p) for c, p in rules])))
-    points = F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(_point(11, "nothing_found", "GOOD")))
+
+def _rule(no: int, kind: str, when, severity, measure=None) -> Rule:
+    symptom, advice = GUIDE[kind]
+    return Rule(no, kind, when, severity, {"symptom": symptom, "advice": advice, "measure": measure})
+
+
+def _above(name: str, limits: tuple[int, ...]):
+    """Condition and severity of a figure over the lower, or the higher, limit."""
+    return (lambda x: x[name] > limits[-1]), (lambda x: F.when(x[name] > limits[0], "HIGH").otherwise("MEDIUM"))
+
+
+def _has(*phrases: str):
+    return lambda x: reduce(Column.__or__, [x["text"].contains(p) for p in phrases])
+
+
+def _per_row(x: Column) -> Column:
+    return F.when((x["rows"] > 0) & (x["gets"] > 0), x["gets"] / F.greatest(x["rows"], F.lit(1.0)))
+
+
+def tuning_rules() -> list[Rule]:
+    """The rules on documents, in the order in which their points are listed."""
+    return [
+        _rule(1, "elapsed", *_above("elapsed", ELAPSED_LIMITS), lambda x: x["elapsed"]),
+        _rule(2, "buffer_gets", *_above("gets", GETS_LIMITS), lambda x: x["gets"]),
+        _rule(3, "physical_reads", lambda x: x["reads"] > READS_LIMIT, "HIGH", lambda x: x["reads"]),
+        _rule(4, "gets_per_row", lambda x: _per_row(x) > GETS_PER_ROW_LIMIT, "MEDIUM", _per_row),
+        _rule(5, "index_fast_full_scan", _has(FAST_FULL_SCAN), "MEDIUM"),
+        _rule(6, "full_table_scan", _has(*FULL_SCANS), "HIGH"),
+        _rule(7, "no_partition_pruning", _has(*PARTITION_SCANS), "MEDIUM"),
+        _rule(8, "large_nested_loop", lambda x: F.size(x["loop_rows"]) > 0, "MEDIUM", lambda x: F.get(x["loop_rows"], F.lit(0))),
+        _rule(9, "sort", lambda x: x["text"].rlike(SORTS), "LOW"),
+        _rule(10, "hash_join", _has(HASH_JOIN), "LOW"),
+    ]
+
+
+NOTHING = _rule(11, "nothing_found", lambda x: F.lit(True), "GOOD")
+
+
+def tuning_points(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Documents with a ``points`` array in rule order, never empty; ``rules`` are those of ``tuning_rules`` unless given."""
+    rules = tuning_rules() if rules is None else rules
+    row = F.col("_figures")
+    seen = docs.withColumn("_figures", document_figures())
+    found = seen.withColumn("_found", POINTS.findings([tuple(rules)], row))
+    points = F.when(F.size("_found") > 0, F.col("_found")).otherwise(POINTS.findings([NOTHING], row))
     return found.withColumn("points", points).select(*docs.columns, "points")
 
 
-def tuning_guide(docs: DataFrame) -> DataFrame:
+def tuning_guide(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """One row per document and point, in rule order."""
     return (
-        tuning_points(docs)
+        tuning_points(docs, rules)
         .select("sql_id", F.posexplode("points").alias("point_no", "p"))
         .select(
             "sql_id",

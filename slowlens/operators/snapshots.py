@@ -441,7 +441,7 @@ def cover_kpis(
     return out
 
 
-def first_stats(docs: DataFrame) -> dict[str, Column]:
+def first_stats() -> dict[str, Column]:
     """Figures of the first statistics element as doubles, 0 when missing."""
     first = F.try_element_at("stats", F.lit(1))
     return {

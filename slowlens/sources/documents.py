@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from slowlens.functions.shape import computed
+
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
 
@@ -101,14 +103,16 @@ def read_documents(
     """
     # Parsed by an expression on the text, not by the JSON source: that one
     # refuses queries, a count for example, which need no field of the document.
+    # A text is parsed once, however many fields are read.
     tolerant = T.StructType(schema.fields + [T.StructField("_corrupt_record", _S)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     rows = (
         spark.read.options(**({"pathGlobFilter": glob} if glob else {}))
         .text(path, wholetext=multi_line)
         .filter(F.btrim("value", F.lit(" \t\r\n")) != "")
-        .select(F.col("_metadata.file_name").alias("file"), F.from_json("value", tolerant, options).alias("d"))
+        .select(F.col("_metadata.file_name").alias("file"), "value")
     )
+    rows = computed(rows, d=F.from_json("value", tolerant, options)).drop("value")
     good = rows.filter("d._corrupt_record is null").select("d.*", "file").drop("_corrupt_record")
     rejects = rows.filter("d._corrupt_record is not null").select("file", F.col("d._corrupt_record").alias("content"))
     return Documents(good, rejects)
