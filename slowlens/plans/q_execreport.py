@@ -33,8 +33,7 @@ def seconds_as_double(df):
     "exec_src",
     f"""
 select {FILE} as file, block_no, concat('select /* ', sql_id, ' */ *') as first_line, case
-  when bind_count = 0 then concat('  ', wait_event, '  ', cast(times_waited as varchar), '  ',
-    cast(max_wait_cs // 100 as varchar), '.', lpad(cast(max_wait_cs % 100 as varchar), 2, '0'))
+  when bind_count = 0 then concat('  log file sync  ', cast(execute_count as varchar), '  0.25  1.00')
   else '  value="not a bind"' end as last_line
 from exec_src""",
 )
@@ -66,11 +65,12 @@ def exec_statements(spark, sf):
 
 
 def _phases(text: str) -> str:
-    zero = "cast(0 as double)"
+    cs = "cast({0} as double) / cast(100 as double)"
     return f"""
-select {KEY}, {text}, 'Parse' as phase, parse_count as count, {zero} as cpu, {zero} as elapsed, 0 as disk, 0 as query,
-  0 as current, 0 as rows from exec_src where {KEPT}
-union all select {KEY}, {text}, 'Execute', execute_count, {zero}, {zero}, 0, 0, 0, 0 from exec_src where {KEPT}
+select {KEY}, {text}, 'Parse' as phase, parse_count as count, {cs.format(1)} as cpu, {cs.format('parse_count')} as elapsed, 0 as disk,
+  parse_count as query, 0 as current, 0 as rows from exec_src where {KEPT}
+union all select {KEY}, {text}, 'Execute', execute_count, {cs.format('execute_count')}, {cs.format(2)}, execute_count, 7, execute_count, 3
+  from exec_src where {KEPT}
 union all select {KEY}, {text}, 'Fetch', fetch_count, {CPU}, {ELAPSED}, fetch_disk, fetch_query, fetch_current, fetch_rows
   from exec_src where {KEPT}
 union all select {KEY}, {text}, 'Total', null, {CPU}, {ELAPSED}, fetch_disk, fetch_query, fetch_current, fetch_rows
@@ -94,6 +94,8 @@ def exec_phase_report(spark, sf):
 select {KEY}, cast(1 as bigint) as line_no, '-------  ---------------------------------------------------' as line
   from exec_src where {KEPT}
 union all select {KEY}, 2, concat(cast(plan_rows as varchar), '  ', plan_op, ' T', cast(o_orderkey as varchar))
+  from exec_src where {KEPT}
+union all select {KEY}, 3, concat('     ', cast(fetch_rows as varchar), '   SORT ORDER BY (cr=', cast(fetch_query as varchar), ')')
   from exec_src where {KEPT}""",
 )
 def exec_plan_lines(spark, sf):
@@ -106,7 +108,9 @@ WAIT = "cast(max_wait_cs as double) / cast(100 as double)"
 @query(
     "exec_waits",
     "exec_src",
-    f"select {KEY}, wait_event as event, times_waited, {WAIT} as max_wait from exec_src where {KEPT}",
+    f"""
+select {KEY}, wait_event as event, times_waited, {WAIT} as max_wait from exec_src where {KEPT}
+union all select {KEY}, 'log file sync', execute_count, cast(0.25 as double) from exec_src where {KEPT}""",
 )
 def exec_waits(spark, sf):
     return e.exec_waits(statements(spark, sf))
@@ -118,7 +122,8 @@ def exec_waits(spark, sf):
     f"""
 select {KEY}, wait_event as event, times_waited, {WAIT} as max_wait,
   case when max_wait_cs > 100 then 'danger' when max_wait_cs > 10 then 'warn' else 'none' end as band
-from exec_src where {KEPT}""",
+from exec_src where {KEPT}
+union all select {KEY}, 'log file sync', execute_count, cast(0.25 as double), 'warn' from exec_src where {KEPT}""",
 )
 def exec_wait_report(spark, sf):
     return e.exec_wait_report(e.exec_waits(statements(spark, sf)))
@@ -262,7 +267,7 @@ def exec_worst_severity(spark, sf):
     "exec_src",
     """
 select concat('run', cast(file_no as varchar)) as doc_id, concat('run', cast(file_no as varchar), '_trace.prf') as file_name,
-  cast(sum(20 + case when bind_count > 0 then 3 + 4 * bind_count else 0 end) + count(*) - 1 as bigint) as line_count
+  cast(sum(22 + case when bind_count > 0 then 3 + 4 * bind_count else 0 end) + count(*) - 1 as bigint) as line_count
 from exec_src group by file_no""",
 )
 def exec_text_report(spark, sf):

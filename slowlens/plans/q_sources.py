@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from slowlens.config import DEFAULTS
 from slowlens.operators import execreport as e, execrules as r
@@ -52,7 +53,7 @@ def read_awr_docs(spark, sf):
     + f"""
 select concat('run', cast(file_no as varchar)) as doc_id, {q_execreport.FILE} as tkprof_file, s.block_no // 30 as part, s.sql_id,
   {q_execreport.SQL_TEXT.replace('sql_id', 's.sql_id')} as sql_text, fetch_current, {q_execreport.ELAPSED} as total_elapsed,
-  cast(1 as bigint) as waits, bind_count as binds, coalesce(n, 0) as issues
+  cast(2 as bigint) as waits, bind_count as binds, coalesce(n, 0) as issues
 from exec_src s left join (select file, block_no, count(*) as n from issues group by all) i
   on i.block_no = s.block_no and i.file = {q_execreport.FILE}
 where {q_execreport.KEPT}""",
@@ -158,7 +159,7 @@ ALL_LARGE = replace(DEFAULTS, whole_file_bytes=100, slice_lines=40)
     "exec_src",
     f"""
 select {q_execreport.FILE} as file, block_no, sql_id, {q_execreport.SQL_TEXT} as sql_text, parse_count, fetch_rows,
-  {q_execreport.ELAPSED} as total_elapsed, concat(cast(plan_rows as varchar), '  ', plan_op, ' T', cast(o_orderkey as varchar)) as plan_line,
+  {q_execreport.ELAPSED} as total_elapsed, concat('     ', cast(fetch_rows as varchar), '   SORT ORDER BY (cr=', cast(fetch_query as varchar), ')') as plan_line,
   wait_event as event, times_waited, bind_count as binds,
   case when bind_count > 0 then concat('"', bind_value, ' ', cast(bind_count - 1 as varchar), '"') end as last_bind
 from exec_src where {q_execreport.KEPT}""",
@@ -228,6 +229,46 @@ def read_workload_tables(spark, sf):
     return rows.groupBy("sql_id").agg(F.sum("executions_delta").alias("executions"))
 
 
+@query(
+    "read_all_workload_tables",
+    " ".join(tables.WORKLOAD_TABLES),
+    " union all ".join(
+        f"select '{name}' as workload_table, count(*) as n, cast(sum({key}) as bigint) as total from {name}"
+        for name, key in (
+            ("stmt_stats", "buffer_gets"),
+            ("sqlstat", "executions_delta"),
+            ("snapshot", "snap_id"),
+            ("sqltext", "length(sql_text)"),
+            ("sysstat", "value"),
+            ("bind_capture", "position"),
+            ("accounts", "length(username)"),
+        )
+    ),
+)
+def read_all_workload_tables(spark, sf):
+    path = scratch_path(spark, "workload")
+    for name in tables.WORKLOAD_TABLES:
+        if name == "sqlstat":
+            k.write_sqlstat(view(spark, sf, name), f"{path}/{name}")
+        else:
+            view(spark, sf, name).write.parquet(f"{path}/{name}")
+    found = tables.read_workload_tables(spark, path)
+    sums = {
+        "stmt_stats": F.col("buffer_gets"),
+        "sqlstat": F.col("executions_delta"),
+        "snapshot": F.col("snap_id"),
+        "sqltext": F.length("sql_text"),
+        "sysstat": F.col("value"),
+        "bind_capture": F.col("position"),
+        "accounts": F.length("username"),
+    }
+    rows = [
+        found[name].agg(F.lit(name).alias("workload_table"), F.count("*").alias("n"), F.sum(value).cast("bigint").alias("total"))
+        for name, value in sums.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(
     "write_report_tables",
     "detection",

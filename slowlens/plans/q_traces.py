@@ -9,7 +9,7 @@ from slowlens.operators import optreports as v, optrules as r, opttrace as o
 from slowlens.plans import render
 from slowlens.plans.catalog import query
 from slowlens.sinks.documents import materialize
-from slowlens.sources.texts import text_files, trace_content_check
+from slowlens.sources.texts import rejected_traces, text_files, texts_of, trace_content_check
 
 V = "varchar"
 
@@ -28,6 +28,15 @@ def content_check(spark, sf):
     return trace_content_check(render.traces(spark, sf))
 
 
+@query("rejected_traces", "trace_src", "select file from trace_src where trace_no % 3 = 0")
+def rejected(spark, sf):
+    """Traces of which every third one has lost its marker lines."""
+    number = F.regexp_extract("file", r"10053_q(\d+)_", 1).cast("bigint")
+    lost = F.regexp_replace("text", "(?m)^(?:SINGLE TABLE ACCESS PATH|PARAMETERS USED BY THE OPTIMIZER).*$", "")
+    texts = render.trace_texts(spark, sf).withColumn("text", F.when(number % 3 == 0, lost).otherwise(F.col("text")))
+    return rejected_traces(texts_of(texts))
+
+
 @query(
     "trace_db_info",
     "trace_src",

@@ -59,19 +59,21 @@ def exec_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(""),
         line("call     count       cpu    elapsed       disk      query    current        rows"),
         line("------- ------  -------- ---------- ---------- ---------- ----------  ----------"),
-        line("Parse   ", c("parse_count"), "  0.00  0.00  0  0  0  0"),
-        line("Execute ", c("execute_count"), "  0.00  0.00  0  0  0  0"),
+        line("Parse   ", c("parse_count"), "  0.01  0.0", c("parse_count"), "  0  ", c("parse_count"), "  0  0"),
+        line("Execute ", c("execute_count"), "  0.0", c("execute_count"), "  0.02  ", c("execute_count"), "  7  ", c("execute_count"), "  3"),
         line("Fetch   ", c("fetch_count"), "  ", cpu, "  ", elapsed, "  ", *figures),
         line("total   ", total, "  ", cpu, "  ", elapsed, "  ", *figures),
         line(""),
         line("Rows     Row Source Operation"),
         line("-------  ---------------------------------------------------"),
         line(c("plan_rows"), "  ", c("plan_op"), " T", c("o_orderkey")),
+        line("     ", c("fetch_rows"), "   SORT ORDER BY (cr=", c("fetch_query"), ")  "),
         line(""),
         line("Elapsed times include waiting on following events:"),
         line("  Event waited on                             Times   Max. Wait"),
         line("  ----------------------------------------   Waited  ----------"),
         line("  ", c("wait_event"), "  ", c("times_waited"), "  ", _hundredths(c("max_wait_cs"))),
+        line("  log file sync  ", c("execute_count"), "  0.25  1.00"),
         line(""),
         when_lines(c("bind_count") > 0, line("BINDS #1:"), binds, line("EXEC #1:c=0,e=1"), line("  value=\"not a bind\"")),
     )
