@@ -54,6 +54,14 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text, F.length(text)).alias("k2")]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def indexes(n: Column) -> Column:
     """0 .. n-1; empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
