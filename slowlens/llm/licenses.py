@@ -128,30 +128,41 @@ def votes(rows: DataFrame, wanted: DataFrame, names: dict[str, str]) -> DataFram
     small = wanted.count() <= TEMPLATE_GRAMS
     grams = F.broadcast(wanted) if small else wanted
     hits = keyed.join(grams.withColumnsRenamed({"first": "_first", "second": "_second"}), "gram")
-    return (
-        hits.where((F.col("first") == F.col("_first")) & (F.col("second") == F.col("_second")))
-        .select("k1", "k2", "template", "label", "base", "length", "drift", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
-        .distinct()
+    return hits.where((F.col("first") == F.col("_first")) & (F.col("second") == F.col("_second"))).select(
+        "k1", "k2", "template", "label", "base", "length", "drift", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos"
     )
 
 
 def spans(votes: DataFrame) -> DataFrame:
-    """Verified spans ``(k1, k2, label, base, start, share)``."""
+    """Verified spans ``(k1, k2, label, base, start, share)``.
+
+    A gram covers two words, so a text with fewer different grams of a notice than
+    half of the words that must be covered holds no span of it.
+    """
     key = ["k1", "k2", "template", "label", "base", "length"]
     exact = (
         votes.where("base")
+        .select(*key, "diagonal", "tpos")
+        .distinct()
         .groupBy(*key, "diagonal")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == F.col("length") - 1)
         .select("k1", "k2", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
     )
+    needed = F.greatest(F.lit(MIN_VOTES), F.ceil(F.col("length") * MIN_SHARE / 2))
+    enough = (
+        votes.where("not base")
+        .groupBy(*key, "drift")
+        .agg(F.collect_set(F.struct("diagonal", "tpos")).alias("votes"))
+        .where(F.size(F.array_distinct("votes.tpos")) >= needed)
+    )
     reached = F.sequence(F.col("diagonal") - F.col("drift"), "diagonal")
     merged = (
-        votes.where("not base")
+        enough.select(*key, "drift", F.inline("votes"))
         .withColumn("anchor", F.explode(reached))
         .groupBy(*key, "anchor")
         .agg(F.collect_set("tpos").alias("at"), F.min(F.col("diagonal") + F.col("tpos")).alias("start"))
-        .where(F.size("at") >= MIN_VOTES)
+        .where(F.size("at") >= needed)
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(i, i + 1)))))
     noted = merged.withColumn("share", covered / F.col("length")).where(F.col("share") >= MIN_SHARE)
