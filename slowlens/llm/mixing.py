@@ -5,12 +5,14 @@ all documents have; a source gives at most ``most`` times its words, and what ex
 that is shared anew by weight.  The shared level has a closed form over sources ordered by
 cap per weight, so no loop is needed.
 
-All words are cut into about ``slots`` equal-token blocks.  Golden-ratio points go through
-the cumulative targets to sources and are ranked per source: the r-th slot of a source
-takes the r-th block of its shuffled documents, round after round.  Each source gets the
-slots its target asks for, the last one cut to the word, so taken words differ from the
-target by less than one word.  The number of slots is fixed, so every table of slots is
-bounded whatever the input; block length grows instead.
+The words of each source are cut into blocks of equal length (within a word): about
+``slots`` for all words, and at least ``least`` for a source that has so many words.  There are as
+many slots as the targets ask for blocks.  The golden-ratio points of the slots go through
+the cumulative wanted blocks to sources and are ranked per source: the r-th slot of a
+source takes the r-th block of its shuffled documents, round after round, ``most`` rounds
+at the utmost.  So the points alone decide which blocks are taken and how often; their low
+discrepancy keeps each source within a few blocks of its target.  The number of slots does
+not grow with the words, only with the number of sources; blocks become longer instead.
 
 Documents are shuffled by a digest of id and text.  Their places in a source come from
 sums per slice of the digest, so a source with a third of all rows is spread over 4,096
@@ -29,6 +31,7 @@ from slowlens.llm.common import broadcast_if, running_before, saved, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SLOTS = 1 << 18
+LEAST_BLOCKS = 256
 GOLDEN = 0.6180339887498949
 BUCKETS = 1024
 
@@ -68,48 +71,40 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     )
 
 
-def slot_blocks(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(sid, block, length, used, slot)``: the block each slot takes and how many of its first words."""
-    block = F.greatest(F.lit(1), F.floor((F.col("total") + (slots - 1)) / slots)).cast("long")
-    counted = (
-        sources.withColumn("length", block)
-        .withColumn("quota", F.floor("target").cast("long"))
-        .where("quota > 0")
-        .withColumn("blocks", F.expr("(source_size + length - 1) div length"))
-        .withColumn("rounds", F.expr("quota div source_size"))
-        .withColumn("needed", F.expr("rounds * blocks + (quota % source_size + length - 1) div length"))
-    )
-    until = F.sum("quota").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("quota").over(Window.partitionBy())
-    shares = counted.withColumn("high", until / whole).withColumn("low", (until - F.col("quota")) / whole)
-    spread = shares.select(
-        "sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * BUCKETS), F.floor(F.col("high") * BUCKETS))).alias("bucket")
+def block_counts(sources: DataFrame, slots: int = SLOTS, least: int = LEAST_BLOCKS) -> DataFrame:
+    """``sources`` with words, and their number of ``blocks`` and of ``wanted`` slots."""
+    length = F.greatest(F.lit(1), F.expr(f"(total + {slots - 1}) div {slots}"))
+    even = F.greatest(F.expr("(source_size + length - 1) div length"), F.least(F.lit(least), F.col("source_size")))
+    return (
+        sources.where("source_size > 0")
+        .withColumn("length", length)
+        .withColumn("blocks", even.cast("long"))
+        .withColumn("wanted", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"))
+        .drop("length")
     )
+
+
+def slot_blocks(counted: DataFrame, most: int = MOST) -> DataFrame:
+    """``(sid, block, times, slot)``: how often each block is taken, and its first slot."""
+    n = counted.agg(F.sum("wanted")).first()[0] or 0
+    until = F.sum("wanted").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))  # a row per source
+    whole = F.sum("wanted").over(Window.partitionBy())
+    shares = counted.where("wanted > 0").withColumn("high", until / whole).withColumn("low", (until - F.col("wanted")) / whole)
+    buckets = F.sequence(F.floor(F.col("low") * BUCKETS), F.floor(F.col("high") * BUCKETS))
+    spread = shares.select("sid", "blocks", "low", "high", F.explode(buckets).alias("bucket"))
     at = F.col("slot") * F.lit(GOLDEN)
     points = (
-        counted.agg(F.sum("needed").alias("n"))
-        .select(F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("long"), F.col("n")))).alias("slot"))
+        counted.sparkSession.range(1, n + 1)
+        .select(F.col("id").alias("slot"))
         .withColumn("point", at - F.floor(at))
         .withColumn("bucket", F.floor(F.col("point") * BUCKETS))
     )
-    ranked = (
-        points.join(spread, "bucket")
-        .where("low <= point and point < high")
-        .select("sid", "slot", (F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1).cast("long").alias("rank"))
-    )
-    wanted = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("needed") - 1)).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1
+    ranked = points.join(spread, "bucket").where("low <= point and point < high").select("sid", "slot", "blocks", rank.cast("long").alias("rank"))
     return (
-        wanted.join(ranked, ["sid", "rank"], "left")
-        .withColumn("round", F.expr("rank div blocks"))
-        .withColumn("block", F.col("rank") % F.col("blocks"))
-        .withColumn("starts", F.col("round") * F.col("source_size") + F.col("block") * F.col("length"))
-        .select(
-            "sid",
-            "block",
-            "length",
-            F.least("length", F.col("source_size") - F.col("block") * F.col("length"), F.col("quota") - F.col("starts")).alias("used"),
-            "slot",
-        )
+        ranked.where(F.col("rank") < F.col("blocks") * most)
+        .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
     )
 
 
@@ -117,13 +112,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, slots: int = SLOTS)
     """A row per document: ``doc_id, source, digest, size, source_size, target, taken, first_slot``.
 
     ``taken`` counts the words the mix takes, repeats included; ``first_slot`` is the first
-    slot with a word of the document, null if there is none or its source ran out of points.
+    slot that takes a word of the document, null if none does.
     """
     read = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), digest_of(F.col("doc_id"), F.col("text")).alias("digest"))
     sizes = saved(read, "mix-sizes")
     sources = saved(source_targets(sizes, weights, most), "mix-sources")
-    schedule = saved(slot_blocks(sources, slots), "mix-slots")
-    near = broadcast_if(sources, 10_000).withColumnRenamed("source", "_source")
+    counted = block_counts(sources, slots)
+    schedule = saved(slot_blocks(counted, most), "mix-slots")
+    known = sources.join(counted.select("sid", "blocks"), "sid", "left")
+    near = broadcast_if(saved(known, "mix-blocks"), 10_000).withColumnRenamed("source", "_source")
     placed = running_before(
         sizes.join(near, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"),
         "sid",
@@ -132,19 +129,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, slots: int = SLOTS)
         F.col("size"),
         "begins",
     )
-    length = F.greatest(F.lit(1), F.floor((F.col("total") + (slots - 1)) / slots)).cast("long")
-    filled = placed.where("size > 0").withColumn("length", length)
-    blocks = filled.select(
-        "*",
-        F.explode(F.expr("sequence(begins div length, (begins + size - 1) div length)")).alias("block"),
-    )
-    start = F.col("block") * F.col("length")
-    overlap = F.least(F.col("begins") + F.col("size"), start + F.coalesce("used", F.lit(0))) - F.greatest("begins", start)
-    takes = blocks.join(schedule.drop("length"), ["sid", "block"], "left").withColumn("words", F.greatest(overlap, F.lit(0)))
+    # word w of a source lies in block ((w + 1) * blocks - 1) div source_size
+    touched = F.expr("sequence(((begins + 1) * blocks - 1) div source_size, ((begins + size) * blocks - 1) div source_size)")
+    blocks = placed.where("size > 0").select("*", F.explode(touched).alias("block"))
+    start, end = F.expr("block * source_size div blocks"), F.expr("(block + 1) * source_size div blocks")
+    overlap = F.least(F.col("begins") + F.col("size"), end) - F.greatest("begins", start)
+    takes = blocks.join(schedule, ["sid", "block"], "left").withColumn("words", overlap * F.coalesce("times", F.lit(0)))
     columns = ["doc_id", "source", "digest", "size", "source_size", "target"]
-    taken = takes.groupBy("sid", "begins", *columns).agg(
-        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot")
-    )
+    taken = takes.groupBy("sid", "begins", *columns).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     blank = placed.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return taken.select(*columns, "taken", "first_slot").union(blank)
 
@@ -160,25 +152,22 @@ v as (select *, cast(total - coalesce(sum(cap) over o, 0) as double) / cast(sum(
   from w window o as (order by cast(cap as double) / weight, sid rows between unbounded preceding and 1 preceding)),
 s as (select source, sid, source_size, total, least(cast(cap as double), max(level) over () * weight) as target,
     greatest(1, (total + {SLOTS - 1}) // {SLOTS}) as length from v),
-c as (select *, cast(floor(target) as bigint) as quota from s where floor(target) > 0),
-n as (select *, (source_size + length - 1) // length as blocks,
-    (quota // source_size) * ((source_size + length - 1) // length) + (quota % source_size + length - 1) // length as needed from c),
-e as (select *, cast(sum(quota) over (order by sid) as double) / cast(sum(quota) over () as double) as high,
-    cast(sum(quota) over (order by sid) - quota as double) / cast(sum(quota) over () as double) as low from n),
-g as (select unnest(range(1, (select cast(sum(needed) as bigint) from n) + 1)) as slot),
+n as (select *, cast(floor(target * blocks / source_size + 0.5) as bigint) as wanted from (
+  select *, greatest((source_size + length - 1) // length, least({LEAST_BLOCKS}, source_size)) as blocks from s where source_size > 0) x),
+e as (select sid, blocks, cast(sum(wanted) over (order by sid) as double) / cast(sum(wanted) over () as double) as high,
+    cast(sum(wanted) over (order by sid) - wanted as double) / cast(sum(wanted) over () as double) as low from n where wanted > 0),
+g as (select unnest(range(1, (select cast(sum(wanted) as bigint) from n) + 1)) as slot),
 p as (select slot, slot * {GOLDEN}::double - floor(slot * {GOLDEN}::double) as point from g),
-k as (select sid, slot, row_number() over (partition by sid order by slot) - 1 as rank from p join e on point >= low and point < high),
-t as (select *, unnest(range(0, needed)) as rank from n),
-b as (select t.sid, t.rank % blocks as block, length, slot,
-    least(length, source_size - (t.rank % blocks) * length, quota - (t.rank // blocks) * source_size - (t.rank % blocks) * length) as used
-  from t left join k on t.sid = k.sid and t.rank = k.rank),
-o as (select doc_id, digest, size, sid, source_size, target, length,
-    cast(sum(size) over (partition by sid order by digest) - size as bigint) as begins
-  from d join s on d.source is not distinct from s.source),
-x as (select *, unnest(range(begins // length, (begins + size - 1) // length + 1)) as block from o where size > 0),
-y as (select x.*, greatest(least(begins + size, x.block * x.length + coalesce(used, 0)) - greatest(begins, x.block * x.length), 0) as words, slot
-  from x left join b on x.sid = b.sid and x.block = b.block),
-m as (select doc_id, sid, begins, size, source_size, target, cast(sum(words) as bigint) as taken, min(slot) filter (words > 0) as first_slot
+k as (select sid, slot, blocks, row_number() over (partition by sid order by slot) - 1 as rank from p join e on point >= low and point < high),
+b as (select sid, rank % blocks as block, count(*) as times, min(slot) as slot from k where rank < blocks * {MOST} group by all),
+o as (select doc_id, digest, size, s.sid, s.source_size, target, blocks,
+    cast(sum(size) over (partition by s.sid order by digest rows between unbounded preceding and current row) - size as bigint) as begins
+  from d join s on d.source is not distinct from s.source left join (select sid, blocks from n) nb on nb.sid = s.sid),
+x as (select *, unnest(range(((begins + 1) * blocks - 1) // source_size, ((begins + size) * blocks - 1) // source_size + 1)) as block
+  from o where size > 0),
+y as (select x.*, slot, (least(begins + size, (x.block + 1) * source_size // blocks) - greatest(begins, x.block * source_size // blocks))
+    * coalesce(times, 0) as words from x left join b on x.sid = b.sid and x.block = b.block),
+m as (select doc_id, sid, begins, size, source_size, target, cast(sum(words) as bigint) as taken, min(slot) as first_slot
   from y group by all)
 select doc_id, cast(size as bigint) as size, source_size, target, taken, first_slot from m
 union all select doc_id, cast(size as bigint), source_size, target, cast(0 as bigint), null from o where size = 0"""

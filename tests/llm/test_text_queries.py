@@ -338,12 +338,61 @@ def test_requests_go_round_in_cycles():
 def test_mix_meets_targets(spark, sf_dir):
     rows = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     assert (rows.taken <= mixing.MOST * rows["size"]).all()
-    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert (by.target - by.taken).between(0, 1).all()
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert ((by.target - by.taken).abs() <= 8 * (rows["size"].sum() / mixing.SLOTS + 1)).all()
     again = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)).toPandas()
     assert sorted(zip(rows.doc_id, rows.taken)) == sorted(zip(again.doc_id, again.taken))
 
 
+@pytest.mark.parametrize("slots", [200, 5_000])
+def test_sources_come_within_a_few_blocks(spark, slots):
+    r = random.Random(9)
+    sizes = {"a": 400, "b": 90, "c": 300, "d": 12, "e": 3, "f": 150}
+    rows = [(i, s, " ".join(["w"] * r.randint(0, 60))) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=slots).toPandas()
+    total = got["size"].sum()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    block = np.minimum(-(-total // slots), np.maximum(1, by["size"] // mixing.LEAST_BLOCKS) + 1)
+    assert ((by.target - by.taken).abs() <= 6 * block).all()
+    assert (got.taken <= mixing.MOST * got["size"]).all()
+    whole = got[got["size"] > 0]
+    assert set((whole.taken / whole["size"]).between(0, 3)) == {True} and abs(by.taken.sum() - total) <= 12 * (total // slots + 1)
+
+
+def test_points_decide_what_is_taken(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mix(docs, slots=4_000).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)
+    same = mixing.mix(docs, slots=4_000).toPandas().sort_values("doc_id")
+    assert same[same.taken > 0].source.nunique() <= 2 < rows[rows.taken > 0].source.nunique()
+
+
+def test_mix_equals_plain_schedule(spark):
+    r = random.Random(10)
+    rows = [(i, r.choice("xyz"), " ".join(["w"] * r.randint(0, 30))) for i in range(120)]
+    got = {x["doc_id"]: x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=300).collect()}
+    total = sum(len(t.split()) for _, _, t in rows)
+    wanted, order = {}, {}
+    for s in "xyz":
+        docs = sorted((i for i, src, t in rows if src == s and t), key=lambda i: got[i]["digest"])
+        order[s] = [i for i in docs for _ in rows[i][2].split()]
+        size = len(order[s])
+        blocks = max(-(-size // max(1, -(-total // 300))), min(mixing.LEAST_BLOCKS, size))
+        wanted[s] = (blocks, math.floor(got[docs[0]]["target"] * blocks / size + 0.5))
+    n = sum(w for _, w in wanted.values())
+    taken, ranks = Counter(), Counter()
+    for slot in range(1, n + 1):
+        point, low = slot * mixing.GOLDEN - math.floor(slot * mixing.GOLDEN), 0
+        for s in "xyz":
+            blocks, w = wanted[s]
+            if low / n <= point < (low + w) / n and ranks[s] < mixing.MOST * blocks:
+                block, size = ranks[s] % blocks, len(order[s])
+                taken.update(order[s][block * size // blocks : (block + 1) * size // blocks])
+                ranks[s] += 1
+            low += w
+    assert {i: x["taken"] for i, x in got.items()} == {i: taken[i] for i, _, _ in rows}
+
+
 def test_quality_finds_junk_and_keeps_clean(spark, sf_dir):
     got = quality.op2_weak_label_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
