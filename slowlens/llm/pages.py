@@ -1,15 +1,22 @@
 """Main text of web pages by site template removal.
 
-Every page becomes a tree of elements.  Subtrees that hold text are hashed, Spark counts for each
-host on how many different pages a hash occurs, and subtrees on many pages of a host
-(``least_pages`` and ``share`` of its pages) are deleted: menus, footers, notices that a site
-repeats.  What differs from page to page but is no article is deleted by its tag, role
-or class name.  If the rest has article elements only they count, else a main element,
-else the whole body.
+Every page becomes a tree of elements.  Subtrees that hold text are hashed by tag and text, and
+Spark counts for each host on how many pages a hash stands beside something else: pages
+count by their longest block outside the subtree, so copies and near copies of one article
+count once, however many there are, and their paragraphs stay.  A subtree that stands beside
+``least_pages`` different blocks and beside ``growth`` times the square root of the host's
+different pages is deleted: plain menus, footers and notices that a site repeats, also where
+they have no telling name and stand on a tenth of a large host only.  Inside an article or main
+element, where sentences recur too, a subtree must stand beside as many blocks as ``share`` of
+the pages.  What differs from page to page but is no article (a footer with a number in it)
+cannot be found by counting; it is deleted by its tag, role or class name, as are forms,
+scripts and styles.  If the rest has article elements only they count, else a main element,
+else the whole body.  So on pages whose articles are marked, tags and names do nearly all of
+the work; counts do it where pages have no such mark.
 
 Counts are sums per host and hash with map-side combine, so a host with a third of all
-pages is no single task.  A host has at most (elements per page / ``share``) frequent hashes;
-they are joined to its pages, broadcast only if counting allows.  Parsing is one page at a
+pages is no single task.  A host has at most (elements of all pages / needed pages) frequent
+hashes; they are joined to its pages, broadcast only if their bytes allow.  Parsing is one page at a
 time.  A null or blank page gives an empty text; a page without host keeps all that the tags
 leave; equal pages count once; repeated rows and null ids are kept as they are.
 """
@@ -19,16 +26,19 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import broadcast_if, saved, table
+from slowlens.llm.common import saved, table
 
-LEAST_PAGES = 10
+LEAST_PAGES = 8
+GROWTH = 2.0
 SHARE = 0.5
+BROADCAST_HASHES = 1_000_000
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
@@ -153,12 +163,12 @@ def hash_subtrees(root: Element) -> dict[int, int]:
     return found
 
 
-def main_text(page: str | None, frequent: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article of a page, without subtrees whose hash is in ``frequent``."""
+def main_text(page: str | None, frequent: frozenset[int] = frozenset(), inside: frozenset[int] = frozenset()) -> str:
+    """The blocks of the article of a page, without subtrees whose hash is in ``frequent`` (``inside`` for those in an article)."""
     if page is None or not page.strip():
         return ""
     root = tree_of(page)
-    hashes = hash_subtrees(root) if frequent else {}
+    hashes = hash_subtrees(root) if frequent or inside else {}
     scopes: dict[str, list[list[str]]] = {"article": [], "main": [], "#root": []}
     stack: list = [(root, False, ())]
     # each open scope gathers pieces; None ends a block
@@ -168,9 +178,9 @@ def main_text(page: str | None, frequent: frozenset[int] = frozenset()) -> str:
             for pieces in into:
                 pieces.append(e)
             continue
-        if unwanted(e, in_article) or hashes.get(id(e)) in frequent:
+        if unwanted(e, in_article) or hashes.get(id(e)) in (inside if in_article else frequent):
             continue
-        scope = "main" if "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", e.attributes) else e.tag
+        scope = scope_of(e)
         if scope in scopes and not (scope == "article" and in_article):
             pieces: list = []
             scopes[scope].append(pieces)
@@ -207,34 +217,78 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1))
 
 
+def scope_of(e: Element) -> str:
+    """``article``, ``main`` or the tag."""
+    return "main" if "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", e.attributes) else e.tag
+
+
+def subtree_cores(root: Element) -> set[tuple[int, bool, int]]:
+    """``(subtree, whether it is inside an article, longest block of the page outside it or 0)`` of every subtree hash."""
+    hashes = hash_subtrees(root)
+    blocks: list[tuple[int, int]] = []  # (-length, hash) in page order
+    spans: dict[int, list[tuple[int, int]]] = {}  # per hash the ranges of blocks that it holds
+    places: set[tuple[int, bool]] = set()
+    stack: list = [(root, False, None)]
+    while stack:
+        e, inside, began = stack.pop()
+        if began is not None:
+            spans.setdefault(hashes[id(e)], []).append((began, len(blocks)))
+            continue
+        if id(e) in hashes:
+            places.add((hashes[id(e)], inside))
+            stack.append((e, inside, len(blocks)))
+            own = sum(len(c.strip()) for c in e.children if isinstance(c, str))
+            own += sum(len(c) for k in e.children if isinstance(k, Element) and k.tag in INLINE for c in k.children if isinstance(c, str))
+            if own:
+                blocks.append((-own, hashes[id(e)]))
+        inside = inside or scope_of(e) in ("article", "main")
+        stack.extend((c, inside, None) for c in reversed(e.children) if isinstance(c, Element))
+    none = (0, 0)
+    before = [none, *accumulate(blocks, min)]  # the longest block before, and from, each place
+    after = [none, *accumulate(reversed(blocks), min)][::-1]
+    core = {}
+    for subtree, held in spans.items():
+        gaps = zip(held, held[1:])
+        between = [min(blocks[end:start], default=none) for (_, end), (start, _) in gaps]
+        core[subtree] = min(before[held[0][0]], after[held[-1][1]], *between)[1] if held else 0
+    return {(s, inside, core[s]) for s, inside in places}
+
+
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = [(h, k, x) for h, k, page in zip(f["host"], f["page_key"], f["html"]) for x in set(hash_subtrees(tree_of(page)).values())]
-        yield pd.DataFrame(rows, columns=["host", "page_key", "subtree"])
+        rows = {(h, *found) for h, page in zip(f["host"], f["html"]) for found in subtree_cores(tree_of(page))}
+        yield pd.DataFrame(list(rows), columns=["host", "subtree", "inside", "core"])
 
 
 def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        known = [frozenset() if s is None else frozenset(s.tolist()) for s in f["frequent"]]
-        texts = [main_text(p, s) for p, s in zip(f["html"], known)]
+        known = [[frozenset() if s is None else frozenset(s.tolist()) for s in f[c]] for c in ("frequent", "inside")]
+        texts = [main_text(p, *s) for p, *s in zip(f["html"], *known)]
         yield pd.DataFrame({"page_id": pd.array(f["page_id"], dtype="Int64"), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, frequent)``: per host the hashes of subtrees on many of its pages."""
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, growth: float = GROWTH, share: float = SHARE) -> DataFrame:
+    """``(host, frequent, inside)``: per host the hashes of subtrees that stand beside many different blocks."""
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page_key"), "html").where("host <> '' and html is not null")
     sizes = keyed.groupBy("host").agg(F.count_distinct("page_key").alias("pages")).where(F.col("pages") >= least_pages)
-    subtrees = keyed.mapInPandas(_counted, "host string, page_key long, subtree long")
-    counted = subtrees.groupBy("host", "subtree").agg(F.count_distinct("page_key").alias("on"))
-    often = counted.where(F.col("on") >= least_pages).join(sizes, "host").where(F.col("on") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("frequent"))
-
-
-def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    subtrees = keyed.select("host", "html").mapInPandas(_counted, "host string, subtree long, inside boolean, core long")
+    counted = subtrees.groupBy("host", "subtree", "inside").agg(F.count_distinct("core").alias("beside"))
+    falling = F.greatest(F.lit(least_pages), F.ceil(F.sqrt("pages") * growth))
+    needed = F.when(F.col("inside"), F.greatest(falling, F.ceil(F.col("pages") * share))).otherwise(falling)
+    often = counted.where(F.col("beside") >= least_pages).join(sizes, "host").where(F.col("beside") >= needed)
+    within = F.col("inside")
+    return often.groupBy("host").agg(
+        F.collect_list(F.when(~within, F.col("subtree"))).alias("frequent"), F.collect_list(F.when(within, F.col("subtree"))).alias("inside")
+    )
+
+
+def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, growth: float = GROWTH, share: float = SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    templates = saved(site_templates(pages, least_pages, share), "site-templates")
+    templates = saved(site_templates(pages, least_pages, growth, share), "site-templates")
+    held = templates.agg(F.sum(F.size("frequent") + F.size("inside") + F.length("host"))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(broadcast_if(templates, 100_000), "host", "left").select("page_id", "url", "html", "frequent")
+    near = F.broadcast(templates) if held <= BROADCAST_HASHES else templates
+    joined = rows.join(near, "host", "left").select("page_id", "url", "html", "frequent", "inside")
     return joined.mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")
 
 
