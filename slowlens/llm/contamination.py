@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import WORD, indexes, let, lowered, saved, table, text_key, words_of
+from slowlens.llm.common import WORD, broadcast_if, free_name, indexes, let, lowered, saved, table, text_key, words_of
 
 WINDOW = 10
 GRAM = 5
@@ -105,7 +105,10 @@ def window_hits(texts: DataFrame, windows: DataFrame, broadcast_windows: int) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 200_000) -> DataFrame:
-    """``docs`` with a struct column ``contamination``: word counts and the items found."""
+    """``docs`` with a struct column: word counts and the items found.
+
+    It is called ``contamination``, with underscores after it where a column has that name.
+    """
     windows = saved(item_windows(benchmark), "item-windows")
     hits = saved(window_hits(docs.select("text"), windows, broadcast_windows), "window-hits")
     covered = F.flatten(F.transform("at", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1)))
@@ -123,27 +126,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
         .groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    found = words.join(items, ["k1", "k2"]).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items")
-    )
+    key1, key2, n_words, found_in = (free_name(docs, n) for n in ("_k1", "_k2", "_n_words", "_found"))
+    found = words.join(items, ["k1", "k2"]).select(F.col("k1").alias(key1), F.col("k2").alias(key2), F.struct("n_hit", "items").alias(found_in))
     k1, k2 = text_key(F.col("text"))
-    n_words = F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long")
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2, "_n_words": n_words})
-    n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
-    listed = F.coalesce("_items", F.array().cast("array<string>"))
-    return keyed.join(found, ["_k1", "_k2"], "left").select(
+    counted = F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long")
+    keyed = docs.withColumns({key1: k1, key2: k2, n_words: counted})
+    n_hit = F.coalesce(F.col(found_in)["n_hit"], F.lit(0).cast("long"))
+    listed = F.coalesce(F.col(found_in)["items"], F.array().cast("array<string>"))
+    return keyed.join(found, [key1, key2], "left").select(
         *docs.columns,
         F.struct(
-            F.col("_n_words").alias("n_words"),
+            F.col(n_words).alias("n_words"),
             n_hit.alias("n_hit"),
             F.size(listed).cast("long").alias("n_items"),
             F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),
             (n_hit > 0).alias("contaminated"),
             listed.alias("items"),
-        ).alias("contamination"),
+        ).alias(free_name(docs, "contamination")),
     )
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 200_000, broadcast_texts: int = 200_000) -> DataFrame:
+    """``docs`` without those that hold a benchmark window.
+
+    Only the keys of texts with a hit are needed, two numbers each: as long as counting shows
+    few of them they are broadcast and no text is moved.
+    """
+    windows = saved(item_windows(benchmark), "item-windows")
+    hits = window_hits(docs.select("text"), windows, broadcast_windows)
+    key1, key2 = (free_name(docs, n) for n in ("_k1", "_k2"))
+    hit = saved(hits.select(F.col("k1").alias(key1), F.col("k2").alias(key2)).distinct(), "texts-with-hits")
+    k1, k2 = text_key(F.col("text"))
+    kept = docs.withColumns({key1: k1, key2: k2}).join(broadcast_if(hit, broadcast_texts), [key1, key2], "left_anti")
+    return kept.select(*docs.columns)
+
+
 def _sql_words(table_name: str, key: str) -> str:
     return rf"""select {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from {table_name}"""
@@ -177,5 +194,4 @@ def op3_winnowing(spark, sf_dir):
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents without a benchmark window; columns of ``documents``."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where(~F.col("contamination.contaminated")).select(*docs.columns)
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import SPACES, indexes, let, table, tokens_of
+from slowlens.llm.common import SPACES, free_name, indexes, let, table, tokens_of
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»›"
@@ -97,7 +97,10 @@ def repeated_tokens(tokens: Column) -> Column:
 
 
 def clean_lines(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
-    """``docs`` with a struct column ``quality``: the measures, ``kept`` and the text without dropped lines."""
+    """``docs`` with a struct column: the measures, ``kept`` and the text without dropped lines.
+
+    It is called ``quality``, with underscores after it where a column has that name.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def measure(t):
@@ -135,7 +138,7 @@ def clean_lines(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
             lines["clean_text"].alias("clean_text"),
         )
 
-    return docs.withColumn("quality", let(let(text, measure), verdict))
+    return docs.withColumn(free_name(docs, "quality"), let(let(text, measure), verdict))
 
 
 DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
@@ -181,10 +184,10 @@ def op6_line_rules(spark, sf_dir):
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that pass, without the lines that failed; columns of ``documents``."""
-    kept = clean_lines(docs).where("quality.kept")
-    changed = F.col("quality.n_lost_words") > 0
-    text = F.when(changed, F.col("quality.clean_text")).otherwise(F.col("text"))
-    return kept.select(
+    found = F.col(free_name(docs, "quality"))
+    changed = found["n_lost_words"] > 0
+    text = F.when(changed, found["clean_text"]).otherwise(F.col("text"))
+    return clean_lines(docs).where(found["kept"]).select(
         *[
             text.alias(c) if c == "text" else F.when(changed, F.length(text)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
             for c in docs.columns

@@ -27,7 +27,7 @@ from itertools import accumulate, count
 from pyspark.sql import DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import rank_in, running_before, saved, table, text_key
+from slowlens.llm.common import free_name, rank_in, running_before, saved, table, text_key
 
 SHARDS = 40
 #: Rounds without fewer documents outside their homes after which rounds end.
@@ -190,20 +190,30 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None)
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document."""
+def _rows_of(docs: DataFrame, rid: str) -> DataFrame:
+    """Numbers of every document: size, checksum, keys of its text and the place ``mark`` it begins from."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
     read = docs.select(
         "doc_id",
         (F.length(raw) + 16).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         *text_key(F.col("text")),
-        F.monotonically_increasing_id().alias("rid"),
+        F.col(rid).alias("rid"),
     )
-    rows = saved(read.withColumn("mark", F.xxhash64("doc_id", *GROUP)), "shard-rows")
+    return saved(read.withColumn("mark", F.xxhash64("doc_id", *GROUP)), "shard-rows")
+
+
+def _slots(rows: DataFrame, shards: int, rounds: int | None) -> DataFrame:
+    """``(rid, shard, slot)`` of every row."""
     state = propagate(rows, shards, rounds)
-    slots = rank_in(state, "shard", _slice(), [F.col("mark"), F.col("rid")], "slot").select("rid", "shard", "slot")
-    return rows.join(slots, "rid").select(
+    return rank_in(state, "shard", _slice(), [F.col("mark"), F.col("rid")], "slot").select("rid", "shard", "slot")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document."""
+    rid = free_name(docs, "_rid")
+    rows = _rows_of(docs.withColumn(rid, F.monotonically_increasing_id()), rid)
+    return rows.join(_slots(rows, shards, rounds), "rid").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -214,11 +224,23 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None =
     )
 
 
+def sharded_corpus(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` (names that are free), laid out by both, so that a writer's files hold them in order.
+
+    Numbers go through the rounds; whole rows are moved twice at the end, to their place and into order.
+    """
+    rid, shard, slot = (free_name(docs, n) for n in ("_rid", "shard", "slot"))
+    numbered = saved(docs.withColumn(rid, F.monotonically_increasing_id()), "shard-documents")
+    found = _slots(_rows_of(numbered, rid), shards, rounds)
+    placed = numbered.join(found.select(F.col("rid").alias(rid), F.col("shard").alias(shard), F.col("slot").alias(slot)), rid)
+    return placed.drop(rid).repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
+
+
 @query("op4_label_propagation")
 def op4_label_propagation(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def sharding_stage(spark, docs, sf_dir):
-    """Shard and slot of every remaining document."""
-    return shard_documents(docs.select("doc_id", "text"))
+    """The corpus: every remaining document with its shard and slot, in that order."""
+    return sharded_corpus(docs)

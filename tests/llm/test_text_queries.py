@@ -459,3 +459,40 @@ def test_stages_keep_the_columns_and_clean_documents(spark, sf_dir):
         if name == "benchmark decontamination":
             found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
             assert found.where("contamination.contaminated").count() == 0
+
+
+def test_columns_of_the_same_name_come_back_unchanged(spark):
+    names = ("quality", "contamination", "licenses", "_k1", "_k2", "_n_words", "_found", "_rid", "shard", "slot")
+    texts = [prose(600 + i, 90) for i in range(30)] + [prose(3, 60) + " " + ITEM]
+    rows = [(i, t, len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(r["item_id"], r["text"]) for r in BENCHMARK[:1]], "item_id long, text string")
+
+    def own(df):
+        return sorted(tuple(r[n] for n in ("doc_id", *names)) for r in df.select("doc_id", *names).collect())
+
+    expected = sorted((r[0], *r[3:]) for r in rows)
+    assert own(lines.clean_lines(docs)) == own(contamination.contamination(docs, items)) == own(shards.sharded_corpus(docs, 4)) == expected
+    assert own(lines.quality_stage(spark, docs, "")) == [r for r in expected if r[0] < 30 or r[0] == 30]
+    assert own(contamination.without_benchmark(docs, items)) == expected[:30]
+
+
+def test_both_ways_of_leaving_out_benchmarks(spark, odd_dir):
+    docs, items = spark.read.parquet(f"{odd_dir}/documents.parquet"), spark.read.parquet(f"{odd_dir}/benchmark.parquet")
+    found = contamination.contamination(docs, items)
+    clean = sorted(r["doc_id"] for r in found.where("not contamination.contaminated").collect())
+    for limit in (0, 1000):
+        assert sorted(r["doc_id"] for r in contamination.without_benchmark(docs, items, broadcast_texts=limit).collect()) == clean
+    assert 0 < len(clean) < docs.count()
+
+
+def test_the_pipeline_ends_in_a_corpus(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.run(spark, sf_dir).write.parquet(str(tmp_path / "corpus"))
+    corpus = spark.read.parquet(str(tmp_path / "corpus")).toPandas()
+    assert list(corpus.columns) == [*docs.columns, "shard", "slot"]
+    sizes = corpus.groupby("shard").size()
+    assert set(sizes.index) == set(range(40)) and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in corpus.groupby("shard"))
+    source = docs.toPandas().set_index("doc_id").source
+    assert (corpus.source.fillna("") == corpus.doc_id.map(source).fillna("")).all() and corpus.text.notna().all()
