@@ -12,8 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whatever is no digit, no lower-case letter and no character beyond ASCII ends a word.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text whose A-Z are still in upper case: counting them needs no copy of the text.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What ends a word in a text whose A-Z are still in upper case.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -46,6 +46,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered(text), WORD_GAP), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    """The number of ``words_of`` a text, without a lower-case copy of it."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), RAW_GAP), lambda w: w != "")).cast("long")
+
+
 def tokens_of(text: Column) -> Column:
     """What white space separates; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

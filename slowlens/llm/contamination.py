@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import RAW_WORD, broadcast_if, free_name, indexes, let, saved, table, text_key, words_of
+from slowlens.llm.common import broadcast_if, count_words, free_name, indexes, let, saved, table, text_key, words_of
 
 WINDOW = 10
 GRAM = 5
@@ -129,8 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     key1, key2, n_words, found_in = (free_name(docs, n) for n in ("_k1", "_k2", "_n_words", "_found"))
     found = words.join(items, ["k1", "k2"]).select(F.col("k1").alias(key1), F.col("k2").alias(key2), F.struct("n_hit", "items").alias(found_in))
     k1, k2 = text_key(F.col("text"))
-    counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("long")
-    keyed = docs.withColumns({key1: k1, key2: k2, n_words: counted})
+    keyed = docs.withColumns({key1: k1, key2: k2, n_words: count_words(F.col("text"))})
     n_hit = F.coalesce(F.col(found_in)["n_hit"], F.lit(0).cast("long"))
     listed = F.coalesce(F.col(found_in)["items"], F.array().cast("array<string>"))
     return keyed.join(found, [key1, key2], "left").select(
