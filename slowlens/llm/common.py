@@ -74,12 +74,17 @@ def indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+def broadcast_if(df: DataFrame, rows: int, weight: Column | None = None, most: int = 0) -> DataFrame:
     """``df`` marked for broadcast if counting shows at most ``rows`` rows, else as it is.
 
+    Rows that hold values without a bound are weighed as well: the sum of ``weight`` must not exceed ``most``.
     ``df`` should be a written table, so that the count is cheap.
     """
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) > rows:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)
 
 
 def rank_in(df: DataFrame, key: str, slice_by: Column, order: list[Column], out: str) -> DataFrame:

@@ -17,8 +17,9 @@ document with the least id keeps it and the others lose it.
 Paragraphs are compared once per content, so a passage in a third of all documents is one
 node, and the two ends of buckets come from map-side sums.  Only documents
 that hold a candidate line are read again.  All intermediate tables are written.
-Rows without text have no paragraphs; rows without id count as one document, and so do rows
-that share an id.  Empty tables give no spans.
+A document is an id and a text: texts that share an id, or have none, are documents of their own, and rows
+equal in both are one.  Of documents with the least id of a class the one with the least text hash keeps it.
+Rows without text have no paragraphs.  Empty tables give no spans.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slowlens.llm.catalog import query
-from slowlens.llm.common import broadcast_if, same_components, saved, table
+from slowlens.llm.common import broadcast_if, same_components, saved, table, text_key
 from slowlens.llm.hashing import SHINGLE, mixed, placed_words, range_minhashes, shingle_hashes
 from slowlens.llm.ngram_join import BLOCK, by_leaf, leaf_groups
 
@@ -43,6 +45,9 @@ ROWS = 3
 THRESHOLD = 0.8
 _LINE, _PIECE = 0x5BD1E995, 0x27D4EB2F
 _STEP = 0x9E3779B97F4A7C15
+#: Stands for a null id where ids are compared.
+_NONE = -(1 << 63)
+DOC = ["doc_id", "k1", "k2"]
 
 
 def content_hash(words: np.ndarray, salt: int) -> np.ndarray:
@@ -116,33 +121,53 @@ def keyed_ranges(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return words, grams, starts, ends, keys
 
 
-def _paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ids = pd.array(f["doc_id"], dtype="Int64")
-        out = []
-        for k, raw in enumerate(f["raw"]):
-            words, grams, begins, ends, lines = keyed_ranges(raw)
-            starts = anchors(words)
-            if len(starts):
-                pieces = np.lib.stride_tricks.sliding_window_view(words, WORDS)[starts]
-                keys = content_hash(pieces, _PIECE).view(np.int64)
-                out.append((np.full(len(starts), k), keys, starts, np.full(len(starts), WORDS), [None] * len(starts)))
-            if len(begins):
-                values = range_minhashes(grams, begins, ends - SHINGLE + 1, BANDS * ROWS).astype(np.uint64)
-                bands = content_hash(values.reshape(-1, ROWS), _LINE).view(np.int64).reshape(-1, BANDS)
-                out.append((np.full(len(begins), k), lines, begins, ends - begins, list(bands)))
-        if out:
-            k = np.concatenate([o[0] for o in out])
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids[k],
-                    "paragraph": np.concatenate([o[1] for o in out]),
-                    "start": np.concatenate([o[2] for o in out]).astype(np.int32),
-                    "n": np.concatenate([o[3] for o in out]).astype(np.int32),
-                    "bands": [b for o in out for b in o[4]],
-                }
+def _paragraphs(least: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key, start, n, bands, banded = [], [], [], [], [], []
+            for k, raw in enumerate(batch.column("raw").to_pylist()):
+                words, grams, begins, ends, lines = keyed_ranges(raw)
+                starts = anchors(words) if least <= WORDS else words[:0].view(np.int64)
+                if len(starts):
+                    pieces = np.lib.stride_tricks.sliding_window_view(words, WORDS)[starts]
+                    row.append(np.full(len(starts), k))
+                    key.append(content_hash(pieces, _PIECE).view(np.int64))
+                    start.append(starts)
+                    n.append(np.full(len(starts), WORDS))
+                    banded.append(np.zeros(len(starts), bool))
+                long = ends - begins >= least
+                begins, ends, lines = begins[long], ends[long], lines[long]
+                if len(begins):
+                    values = range_minhashes(grams, begins, ends - SHINGLE + 1, BANDS * ROWS).astype(np.uint64)
+                    row.append(np.full(len(begins), k))
+                    key.append(lines)
+                    start.append(begins)
+                    n.append(ends - begins)
+                    banded.append(np.ones(len(begins), bool))
+                    bands.append(content_hash(values.reshape(-1, ROWS), _LINE).view(np.int64))
+            if not row:
+                continue
+            at, has = pa.array(np.concatenate(row)), np.concatenate(banded)
+            offsets = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
+            values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(at) for c in DOC],
+                    pa.array(np.concatenate(key)),
+                    pa.array(np.concatenate(start).astype(np.int32)),
+                    pa.array(np.concatenate(n).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~has)),
+                ],
+                names=[*DOC, "paragraph", "start", "n", "bands"],
             )
 
+    return go
+
+
+def located(texts: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """``(doc_id, k1, k2, paragraph, start, n, bands)``: lines with their bands, and pieces, of keyed ``raw`` texts."""
+    return texts.mapInArrow(_paragraphs(least), "doc_id long, k1 long, k2 long, paragraph long, start int, n int, bands array<long>")
+
 
 def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingle sets of the wanted paragraphs of a document."""
@@ -205,8 +230,8 @@ def _linked(threshold: float):
 
 def line_classes(found: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``(node, root)`` of lines that are alike but not the same."""
-    lines = found.where("bands is not null").groupBy("paragraph").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    lines = saved(lines, "lines")
+    lines = found.where("bands is not null").groupBy("paragraph").agg(F.first(F.struct(*DOC, "bands")).alias("held"))
+    lines = saved(lines.select("paragraph", "held.*"), "lines")
     banded = lines.select("paragraph", F.posexplode("bands").alias("band", "value"))
     ends = banded.groupBy("band", "value").agg(F.min("paragraph").alias("lo"), F.max("paragraph").alias("hi"), F.count(F.lit(1)).alias("size"))
     ends = saved(ends.where("lo < hi"), "line-buckets")
@@ -215,9 +240,12 @@ def line_classes(found: DataFrame, texts: DataFrame, threshold: float, block: in
     )
     pairs = saved(pairs.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b")).where("a <> b").distinct(), "line-pairs")
     sides = pairs.select(F.col("a").alias("paragraph")).union(pairs.select("b")).distinct()
-    holders = saved(lines.join(sides, "paragraph").groupBy("doc_id").agg(F.collect_list("paragraph").alias("wanted")), "line-holders")
-    some = broadcast_if(holders.withColumnRenamed("doc_id", "_id"), 200_000)
-    held = texts.join(some, F.col("doc_id").eqNullSafe(F.col("_id"))).select("raw", "wanted")
+    holders = lines.join(sides, "paragraph").groupBy(*DOC).agg(F.collect_list("paragraph").alias("wanted"))
+    holders = saved(holders.withColumnRenamed("doc_id", "_id"), "line-holders")
+    some = broadcast_if(holders, 200_000, F.size("wanted"), 2_000_000)
+    here = F.coalesce("doc_id", F.lit(_NONE)) == F.coalesce("_id", F.lit(_NONE))
+    held = texts.join(some.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & here)
+    held = held.select("raw", "wanted")
     bodies = saved(held.mapInPandas(_bodies, "paragraph long, shingles binary").dropDuplicates(["paragraph"]), "line-bodies")
     left = bodies.select(F.col("paragraph").alias("a"), F.col("shingles").alias("x"))
     right = bodies.select(F.col("paragraph").alias("b"), F.col("shingles").alias("y"))
@@ -247,41 +275,54 @@ def line_classes(found: DataFrame, texts: DataFrame, threshold: float, block: in
     return same_components(rest.union(stars.select("node", "root")), "line-classes")
 
 
-def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, start_word, end_word, n_words, class_id, first_doc_id, removed)``: merged repeated spans.
+def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD, least: int = SHINGLE) -> DataFrame:
+    """``(doc_id, start_word, end_word, n_words, class_id, first_doc_id, removed, kind)``: merged repeated spans.
 
     Word numbers count from 0, ``end_word`` is exclusive; ``class_id`` is the class of the
-    first paragraph of the span, ``first_doc_id`` the least document that holds it.
+    first paragraph of the span, ``first_doc_id`` the least document that holds it.  ``kind`` is `near` if a
+    paragraph of the span has near copies, else `exact`.  Paragraphs of fewer than ``least`` words are left out.
     """
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    found = saved(
-        texts.mapInPandas(_paragraphs, "doc_id long, paragraph long, start int, n int, bands array<long>"), "paragraphs"
-    )
-    none = F.lit(-(1 << 63))
-    doc = F.coalesce("doc_id", none)
-    ends = found.groupBy("paragraph").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    texts = docs.where("text is not null").select("doc_id", *text_key(F.col("text")), F.col("text").cast("binary").alias("raw"))
+    found = saved(located(texts, least), "paragraphs")
+    doc = F.coalesce("doc_id", F.lit(_NONE))
+    # different ids or different texts; sums of numbers only, so that they combine before the shuffle
+    ends = found.groupBy("paragraph").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.min("k1").alias("k_lo"), F.max("k1").alias("k_hi"))
+    several_docs = "lo < hi or k_lo < k_hi"
     roots = saved(line_classes(found, texts, threshold), "line-roots")
     # what stands in two documents by itself, and the lines that are alike, by class
     own = saved(
         ends.join(roots, ends["paragraph"] == roots["node"], "left")
-        .where("lo < hi or root is not null")
-        .select("paragraph", F.coalesce("root", "paragraph").alias("class_id"), "lo", "hi", F.col("root").isNotNull().alias("alike")),
+        .where(f"{several_docs} or root is not null")
+        .select("paragraph", F.coalesce("root", "paragraph").alias("class_id"), "lo", "hi", "k_lo", "k_hi", F.col("root").isNotNull().alias("alike")),
         "repeated",
     )
-    alike = own.where("alike").groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    several = own.where("alike").select("paragraph", "class_id").join(alike.where("lo < hi"), "class_id")
-    classes = saved(
-        several.select("paragraph", "class_id", "lo").union(own.where("not alike").select("paragraph", "class_id", "lo")), "paragraph-classes"
+    alike = own.where("alike").groupBy("class_id").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("k_lo").alias("k_lo"), F.max("k_hi").alias("k_hi")
+    )
+    several = own.where("alike").select("paragraph", "class_id", "alike").join(alike.where(several_docs), "class_id")
+    columns = ["paragraph", "class_id", "lo", "alike"]
+    classes = saved(several.select(*columns).union(own.where("not alike").select(*columns)), "paragraph-classes")
+    at = found.select(*DOC, "paragraph", "start", "n").join(broadcast_if(classes, 500_000), "paragraph").drop("paragraph")
+    at = saved(at, "repeats")
+    # classes whose least id has several texts
+    ties = at.where(doc == F.col("lo")).groupBy(F.col("class_id").alias("_class")).agg(F.min("k1").alias("keeps"), F.max("k1").alias("other"))
+    ties = saved(ties.where("keeps < other").drop("other"), "ties")
+    keeper = (doc == F.col("lo")) & (F.col("keeps").isNull() | (F.col("k1") == F.col("keeps")))
+    placed = at.join(broadcast_if(ties, 500_000), F.col("class_id") == F.col("_class"), "left").select(
+        *DOC, "class_id", "lo", "alike", "start", (F.col("start") + F.col("n")).alias("end"), (~keeper).alias("removed")
     )
-    at = found.select("doc_id", "paragraph", "start", "n").join(broadcast_if(classes, 500_000), "paragraph")
-    placed = at.withColumn("removed", ~doc.eqNullSafe(F.col("lo"))).withColumn("end", F.col("start") + F.col("n"))
-    order = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
+    order = Window.partitionBy(*DOC, "removed").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = (
         placed.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1))
         .withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "removed", "span")
-        .agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min(F.struct("start", "class_id", "lo")).alias("head"))
+        .groupBy(*DOC, "removed", "span")
+        .agg(
+            F.min("start").alias("start_word"),
+            F.max("end").alias("end_word"),
+            F.min(F.struct("start", "class_id", "lo")).alias("head"),
+            F.max("alike").alias("alike"),
+        )
     )
     return spans.select(
         "doc_id",
@@ -289,8 +330,9 @@ def repeated_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("end_word").cast("long").alias("end_word"),
         (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"),
         F.col("head.class_id").alias("class_id"),
-        F.when(F.col("head.lo") != none, F.col("head.lo")).alias("first_doc_id"),
+        F.when(F.col("head.lo") != _NONE, F.col("head.lo")).alias("first_doc_id"),
         "removed",
+        F.when(F.col("alike"), "near").otherwise("exact").alias("kind"),
     )
 
 

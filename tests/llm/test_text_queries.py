@@ -284,8 +284,8 @@ def test_all_lines_of_a_bucket_are_compared(spark, options):
         for _ in range(2):
             variant[r.randrange(5, 70)] = f"w{r.randrange(10**6)}"
         lines_of += [" ".join(variant), " ".join([*variant[:-1], f"end{len(lines_of)}"])]
-    texts = spark.createDataFrame([(i, x.encode()) for i, x in enumerate(lines_of)], "doc_id long, raw binary")
-    found = texts.mapInPandas(paragraphs._paragraphs, "doc_id long, paragraph long, start int, n int, bands array<long>").cache()
+    texts = spark.createDataFrame([(i, i, -i, x.encode()) for i, x in enumerate(lines_of)], "doc_id long, k1 long, k2 long, raw binary")
+    found = paragraphs.located(texts).cache()
     node = {row["doc_id"]: row["paragraph"] for row in found.where("bands is not null").collect()}
     root = {row["node"]: row["root"] for row in paragraphs.line_classes(found, texts, 0.8, **options).collect()}
     links = brute_links(lines_of)
@@ -295,6 +295,70 @@ def test_all_lines_of_a_bucket_are_compared(spark, options):
     assert together >= 0.99 * len(pairs)
 
 
+def test_spans_equal_a_plain_comparison(spark):
+    r = random.Random(5)
+    pool = [prose(900 + i, r.choice([6, 9, 14, 23, 24, 30, 60, 75])).replace("\n", " ").split() for i in range(60)]
+
+    def variant(words):
+        words = list(words)
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        return " ".join(words)
+
+    docs = [[variant(r.choice(pool)) for _ in range(r.randint(1, 3))] + [prose(2000 + i, 11).replace("\n", " ")] for i in range(150)]
+    every = sorted({line for lines_ in docs for line in lines_})
+    links, first = brute_links(every), {}
+    for line in every:  # components, by walking
+        group, todo = {line}, [line]
+        while todo:
+            new = links[todo.pop()] - group
+            group |= new
+            todo += new
+        first[line] = (group, min(i for i, lines_ in enumerate(docs) if group & set(lines_)))
+    want = {}
+    for i, lines_ in enumerate(docs):
+        at = 0
+        for line in lines_:
+            n, (group, keeper) = len(line.split()), first[line]
+            if sum(bool(group & set(other)) for other in docs) > 1:
+                want.setdefault(i, {}).update({w: w in want.get(i, {}) and want[i][w] or i != keeper for w in range(at, at + n)})
+            at += n
+    got = {}
+    rows = spark.createDataFrame([(i, "\n\n".join(lines_)) for i, lines_ in enumerate(docs)], "doc_id long, text string")
+    for row in paragraphs.repeated_spans(rows).collect():
+        for w in range(row["start_word"], row["end_word"]):
+            mine = got.setdefault(row["doc_id"], {})
+            mine[w] = mine.get(w, False) or row["removed"]
+    wanted = {(i, w, removed) for i, words in want.items() for w, removed in words.items()}
+    found = {(i, w, removed) for i, words in got.items() for w, removed in words.items()}
+    assert len(wanted) > 3000
+    assert len(wanted & found) >= 0.99 * len(wanted) and len(found - wanted) <= 0.01 * len(found)
+
+
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    texts = [prose(3000 + i, 30).replace("\n", " ") + " " + prose(3100 + i // 3, 60).replace("\n", " ") for i in range(30)]
+
+    def spans(ids):
+        rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        return Counter((r["start_word"], r["end_word"], r["class_id"]) for r in paragraphs.repeated_spans(rows).collect()), Counter(
+            r["removed"] for r in paragraphs.repeated_spans(rows).collect()
+        )
+
+    want, removed = spans(range(30))
+    assert sum(want.values()) == 30 and removed == {True: 20, False: 10}
+    for ids in ([None] * 30, [7] * 30, [None if i % 2 else i % 5 for i in range(30)]):
+        assert spans(ids) == (want, removed)
+
+
+def test_kind_and_least_length_of_spans(spark):
+    line = prose(71, 40).replace("\n", " ").split()
+    short = prose(72, 8).replace("\n", " ")
+    texts = [" ".join(line), " ".join([*line[:20], "changed", *line[21:]]), prose(73, 30) + "\n\n" + short, prose(74, 50) + "\n\n" + short]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["kind"]) for r in paragraphs.repeated_spans(rows).collect()) == [(0, "near"), (1, "near"), (2, "exact"), (3, "exact")]
+    assert {r["doc_id"] for r in paragraphs.repeated_spans(rows, least=20).collect()} == {0, 1}
+
+
 def test_shards_are_even_and_keep_copies_together(spark):
     texts = [f"text {i}" for i in range(700)] + [f"pair {i % 90}" for i in range(300)] + ["hot"] * 500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
