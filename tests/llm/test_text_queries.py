@@ -297,15 +297,16 @@ def test_all_lines_of_a_bucket_are_compared(spark, options):
 
 def test_spans_equal_a_plain_comparison(spark):
     r = random.Random(5)
-    pool = [prose(900 + i, r.choice([6, 9, 14, 23, 24, 30, 60, 75])).replace("\n", " ").split() for i in range(60)]
+    pool = [prose(900 + i, r.choice([6, 9, 14, 23, 60, 75])).replace("\n", " ").split() for i in range(60)]
 
-    def variant(words):
-        words = list(words)
-        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
-            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+    def variant(words):  # the same, near, or so different that no 24 words are left
+        words, kind = list(words), r.randrange(3)
+        for at in [[], [r.randrange(len(words))], range(r.randrange(6), len(words), 10)][kind]:
+            words[at] = f"w{r.randrange(10**6)}"
         return " ".join(words)
 
-    docs = [[variant(r.choice(pool)) for _ in range(r.randint(1, 3))] + [prose(2000 + i, 11).replace("\n", " ")] for i in range(150)]
+    docs = [[" ".join(words)] for words in pool]
+    docs += [[variant(r.choice(pool)) for _ in range(r.randint(1, 3))] + [prose(2000 + i, 11).replace("\n", " ")] for i in range(120)]
     every = sorted({line for lines_ in docs for line in lines_})
     links, first = brute_links(every), {}
     for line in every:  # components, by walking
@@ -336,7 +337,7 @@ def test_spans_equal_a_plain_comparison(spark):
 
 
 def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
-    texts = [prose(3000 + i, 30).replace("\n", " ") + " " + prose(3100 + i // 3, 60).replace("\n", " ") for i in range(30)]
+    texts = [prose(3000 + i, 30).replace("\n", " ") + "\n\n" + prose(3100 + i // 3, 60).replace("\n", " ") for i in range(30)]
 
     def spans(ids):
         rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
@@ -351,7 +352,7 @@ def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
 
 
 def test_kind_and_least_length_of_spans(spark):
-    line = prose(71, 40).replace("\n", " ").split()
+    line = prose(71, 80).replace("\n", " ").split()
     short = prose(72, 8).replace("\n", " ")
     texts = [" ".join(line), " ".join([*line[:20], "changed", *line[21:]]), prose(73, 30) + "\n\n" + short, prose(74, 50) + "\n\n" + short]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
