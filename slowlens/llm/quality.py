@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slowlens.llm.catalog import query
 from slowlens.llm.common import SPACES, let, saved, table, tokens_of
-from slowlens.llm.hashing import word_hashes
+from slowlens.llm.hashing import shingle_hashes, word_hashes
 from slowlens.llm.lines import repeated_tokens
 
 SAMPLE = 4_000
@@ -35,6 +35,7 @@ SHAPES = 32
 ENOUGH = 20
 FALSE_ALARM = 0.01
 DETECTED = 0.2
+GOOD_ODDS = 2.0
 CHUNK = 1 << 18
 MARKS = r"[.!?…。！？][\"'”’)\]]*\s*$"
 #: A token of letters and digits with usual marks around it, or one with a mark of languages without spaces.
@@ -84,12 +85,20 @@ def votes(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), judge)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+def estimate(
+    patterns: np.ndarray,
+    counts: np.ndarray,
+    rounds: int = 200,
+    false_alarm: float = FALSE_ALARM,
+    detected: float = DETECTED,
+    good_odds: float = GOOD_ODDS,
+) -> tuple[float, np.ndarray]:
     """Share of good documents and, per labeller, the log odds that its vote ``(bad, none, good)`` speaks for good.
 
     ``patterns`` holds 1, 0, -1 (no vote, an outcome like the others) or 2 (does not apply, no evidence).
-    So that the classes keep their meaning, a bad vote is held to at most ``FALSE_ALARM`` of the good
-    documents and at least ``DETECTED`` of the bad ones, and no good vote outweighs 2 : 1.
+    So that the classes keep their meaning, a bad vote is held to at most ``false_alarm`` of the good
+    documents and at least ``detected`` of the bad ones, and no good vote outweighs ``good_odds`` : 1.
+    ``1, 0, inf`` leave all to the estimate.
     """
     prior = 0.8
     outcome = np.empty((2, patterns.shape[1], 3))  # class, labeller, (bad, none, good)
@@ -103,10 +112,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         for c in (0, 1):
             seen = (mass[c][:, None, None] * votes_are).sum(axis=0) + 0.5
             outcome[c] = seen / seen.sum(axis=1, keepdims=True)
-        outcome[1, :, 0] = np.minimum(outcome[1, :, 0], FALSE_ALARM)
-        outcome[0, :, 0] = np.maximum(outcome[0, :, 0], DETECTED)
+        outcome[1, :, 0] = np.minimum(outcome[1, :, 0], false_alarm)
+        outcome[0, :, 0] = np.maximum(outcome[0, :, 0], detected)
         weights = np.log(outcome[1] / outcome[0])
-        weights[:, 2] = np.clip(weights[:, 2], 0, np.log(2))
+        weights[:, 2] = np.clip(weights[:, 2], 0, np.log(good_odds))
     return prior, weights
 
 
@@ -134,11 +143,12 @@ def trigrams(raw: bytes) -> Iterator[np.ndarray]:
 
 
 def shape(raw: bytes) -> list[int]:
-    """Numbers of the repetition features of a text: equal neighbours and share of new words, in sixteenths."""
+    """Numbers of the repetition features of a text: equal neighbours and share of different three-word windows, of the whole text."""
     words = word_hashes(raw)
     n = max(1, len(words) - 1)
     runs = int((words[1:] == words[:-1]).sum() * 15 // n)
-    fresh = int(min(len(np.unique(words)), 256) * 15 // max(1, min(len(words), 256)))
+    windows = shingle_hashes(words, 3)
+    fresh = int(len(np.unique(windows)) * 15 // max(1, len(windows)))
     return [runs, 16 + fresh]
 
 

@@ -339,16 +339,12 @@ def test_spans_equal_a_plain_comparison(spark):
 def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
     texts = [prose(3000 + i, 30).replace("\n", " ") + "\n\n" + prose(3100 + i // 3, 60).replace("\n", " ") for i in range(30)]
 
-    def spans(ids):
+    def spans(ids):  # whole passages; pieces with another first document may lie inside
         rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-        return Counter((r["start_word"], r["end_word"], r["class_id"]) for r in paragraphs.repeated_spans(rows).collect()), Counter(
-            r["removed"] for r in paragraphs.repeated_spans(rows).collect()
-        )
+        return Counter((r["start_word"], r["end_word"], r["removed"]) for r in paragraphs.repeated_spans(rows).collect() if r["n_words"] >= 60)
 
-    want, removed = spans(range(30))
-    assert sum(want.values()) == 30 and removed == {True: 20, False: 10}
-    for ids in ([None] * 30, [7] * 30, [None if i % 2 else i % 5 for i in range(30)]):
-        assert spans(ids) == (want, removed)
+    for ids in (range(30), [None] * 30, [7] * 30, [None if i % 2 else i % 5 for i in range(30)]):
+        assert spans(ids) == {(30, 90, True): 20, (30, 90, False): 10}
 
 
 def test_kind_and_least_length_of_spans(spark):
@@ -466,6 +462,24 @@ def test_quality_finds_junk_and_keeps_clean(spark, sf_dir):
     assert rows[rows.quality == 1].kept.mean() > 0.97
 
 
+def test_a_looped_passage_is_not_fresh():
+    loop, fresh = ((prose(1, 300) + "\n") * 300).encode(), prose(2, 90_000).encode()
+    assert quality.shape(loop)[1] == 16 and quality.shape(fresh)[1] >= 30
+
+
+def test_estimate_finds_planted_accuracies():
+    r = np.random.default_rng(3)
+    good = r.random(60_000) < 0.7
+    bad_votes, good_votes = np.linspace(0.4, 0.8, 6), np.linspace(0.5, 0.8, 6)
+    draw = r.random((len(good), 6))
+    cast = np.where(good[:, None], np.where(draw < 0.05, 0, np.where(draw < 0.05 + good_votes, 1, -1)), np.where(draw < bad_votes, 0, np.where(draw < bad_votes + 0.1, 1, -1)))
+    patterns, counts = np.unique(cast, axis=0, return_counts=True)
+    prior, weights = quality.estimate(patterns, counts.astype(float), false_alarm=1.0, detected=0.0, good_odds=np.inf)
+    assert abs(prior - 0.7) < 0.02
+    assert np.abs(weights[:, 0] - np.log(0.05 / bad_votes)).max() < 0.15
+    assert np.abs(weights[:, 2] - np.log(good_votes / 0.1)).max() < 0.15
+
+
 def test_held_out_language(spark):
     tables = "/root/testdata/sf0.01"
     rows = language.op9_byte_network(spark, tables).join(spark.read.parquet(f"{tables}/documents.parquet"), "doc_id").toPandas()
