@@ -27,7 +27,7 @@ from slowlens.operators.execrules import with_issues
 from slowlens.operators.optrules import trace_issues
 from slowlens.operators.opttrace import candidate_lines, trace_facts
 from slowlens.sinks.ledger import not_in_ledger, upsert_ledger
-from slowlens.sources.texts import TRACE_GLOB, TextSet, clean_bytes, file_path, lines_with_followers, read_traces
+from slowlens.sources.texts import PACK_MARK, TRACE_GLOB, TextSet, clean_bytes, file_path, lines_with_followers, packed_texts, read_traces
 from slowlens.functions.text import unix_newlines
 
 # Period of detection, of a snapshot, and the report periods.
@@ -196,8 +196,9 @@ def run_trace_facts(
     per_batch: int = 1000,
     every: str | None = None,
     file: Column | None = None,
+    packed: bool = False,
 ) -> StreamingQuery:
-    """Facts and issues of arriving traces, by the readers and operators for sets of files.
+    """Facts and issues of arriving traces, or packs of them, by the readers and operators for sets of files.
 
     Files too large to be read whole are read split by split here too, so no file is
     a value.  The driver holds the names of one batch.
@@ -209,7 +210,7 @@ def run_trace_facts(
             return
         session = files.sparkSession
         facts_path = f"{out.rstrip('/')}/facts/batch_id={batch_id}"
-        facts = trace_facts(read_traces(session, names, glob, settings, file), settings)
+        facts = trace_facts(read_traces(session, names, glob, settings, file, packed), settings)
         facts.write.mode("overwrite").partitionBy("kind").parquet(facts_path)
         written = session.read.schema(facts.schema).parquet(facts_path)
         trace_issues(written).write.mode("overwrite").parquet(f"{out.rstrip('/')}/issues/batch_id={batch_id}")
@@ -245,28 +246,39 @@ def _is_written(spark: SparkSession, folder: str) -> bool:
 
 
 def stream_texts(
-    spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False, file: Column | None = None
+    spark: SparkSession, path: str, glob: str, drop_undecodable: bool = False, file: Column | None = None, packed: bool = False
 ) -> TextSet:
-    """Newly arrived texts of any size; the checkpoint of the query is the list of those done.
+    """Newly arrived texts of any size, or those of newly arrived packs; the checkpoint of the query is the list of files done.
 
     A file is one row, so one that exceeds Spark's limit for a value (2 GB) stops the
     query with an error instead of being skipped.
     """
-    raw = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True)
+    reader = spark.readStream.option("pathGlobFilter", glob)
+    if packed:
+        return TextSet(packed_texts(reader.option("lineSep", PACK_MARK).text(path), drop_undecodable, file))
+    raw = reader.text(path, wholetext=True)
     file = file_path() if file is None else file
     return TextSet(raw.select(file.alias("file"), unix_newlines(clean_bytes(F.col("value"), drop_undecodable)).alias("text")))
 
 
-def stream_new_traces(spark: SparkSession, path: str, glob: str = TRACE_GLOB, file: Column | None = None) -> DataFrame:
+def stream_new_traces(
+    spark: SparkSession, path: str, glob: str = TRACE_GLOB, file: Column | None = None, packed: bool = False
+) -> DataFrame:
     """Candidate lines of new traces; ``facts_of_lines`` reads their table."""
-    return candidate_lines(lines_with_followers(stream_texts(spark, path, glob, drop_undecodable=True, file=file))[0])
+    texts = stream_texts(spark, path, glob, drop_undecodable=True, file=file, packed=packed)
+    return candidate_lines(lines_with_followers(texts)[0])
 
 
 def stream_new_reports(
-    spark: SparkSession, path: str, glob: str = "*.prf", settings: Settings = DEFAULTS, file: Column | None = None
+    spark: SparkSession,
+    path: str,
+    glob: str = "*.prf",
+    settings: Settings = DEFAULTS,
+    file: Column | None = None,
+    packed: bool = False,
 ) -> DataFrame:
     """Statements of new execution reports with their issues."""
-    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob, file=file))), settings)
+    return with_issues(exec_statements(exec_blocks(stream_texts(spark, path, glob, file=file, packed=packed))), settings)
 
 
 def start(df: DataFrame, path: str, checkpoint: str, every: str = DETECT_EVERY) -> StreamingQuery:
