@@ -11,8 +11,8 @@ again after a failure replaces its own rows and changes nothing else.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -35,6 +35,8 @@ DETECT_EVERY = "5 minutes"
 SNAPSHOT = "1 hour"
 DAY = "1 day"
 WEEK = "7 days"
+# Fixed value: state rows that the keys of a collection are dealt to; fixed for the life of a checkpoint.
+COLLECT_BUCKETS = 2048
 
 
 def stream_detect(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -60,50 +62,60 @@ def stream_dedup(stream: DataFrame, hours: int = DEFAULTS.dedup_hours, time_colu
 
 
 def _collector(hours: int, time_column: str) -> Callable:
-    """Rows of one key: those of a time are kept unless the key was collected within the ``hours`` before it.
+    """Rows of the keys of one bucket: those of a time are kept unless their key was collected within the ``hours`` before it.
 
-    The state is the time of the last collection and expires ``hours`` after it; rows
-    that are not kept do not renew it.  Rows of a key in one batch are handled together.
+    The state lists keys and the time of their last collection; an entry is dropped once the
+    watermark is ``hours`` past it, and rows that are not kept do not renew it.  Rows of a
+    bucket in one batch are handled together, in one pass in order of time.
     """
-    period = timedelta(hours=hours)
+    period = hours * 3_600_000_000
 
     def collect(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(time_column, kind="stable")
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        kept = []
-        for at, same in rows.groupby(time_column, sort=True):
-            if last is None or last < at - period:
-                last = at
-                kept.append(same)
+        rows = pd.concat(list(frames)).dropna(subset=[time_column]).sort_values(time_column, kind="stable")
+        entries = json.loads(state.get[0]) if state.exists else []
+        last = {(sql_id, plan): at for sql_id, plan, at in entries}
+        new, kept = {}, []
+        times = rows[time_column].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for i, (sql_id, plan, at) in enumerate(zip(rows["sql_id"].tolist(), rows["plan_key"].tolist(), times)):
+            of = (sql_id, plan)
+            if of not in last or last[of] < at - period:
+                last[of] = new[of] = at
+            if new.get(of) == at:
+                kept.append(i)
+        watermark = state.getCurrentWatermarkMs()
+        # the same limit as that of a timeout: the millisecond after the period
+        live = [(*of, at) for of, at in last.items() if (at + period) // 1000 + 1 > watermark]
+        if live:
+            state.update((json.dumps(live),))
+            expires = (max(at for _, _, at in live) + period) // 1000 + 1
+            state.setTimeoutTimestamp(max(expires, watermark + 1))
+        elif state.exists:
+            state.remove()
         if kept:
-            state.update((last.to_pydatetime(),))
-            expires = int((last + period).timestamp() * 1000) + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-            yield pd.concat(kept)
-        else:
-            expires = int((last + period).timestamp() * 1000) + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+            yield rows.iloc[kept].drop(columns="_bucket")
 
     return collect
 
 
 def stream_collect(
-    stream: DataFrame, hours: int = DEFAULTS.dedup_hours, time_column: str = "ts", late: str = "1 hour"
+    stream: DataFrame, hours: int = DEFAULTS.dedup_hours, time_column: str = "ts", late: str = "1 hour", buckets: int = COLLECT_BUCKETS
 ) -> DataFrame:
     """Rows to collect: as the batch ledger, measured from the last collection.
 
     ``time_column`` is the time of the detection run.  A key is collected again by
     the first run more than ``hours`` after its last collection; rows later than the
-    watermark are not counted.  State is one time per key and goes ``hours`` after it.
+    watermark are not counted.  State is one time per key and goes ``hours`` after it; keys are
+    kept in ``buckets`` by their hash, as a call and a state for every key cost far more than its rows.
     """
     keyed = stream.withColumn("plan_key", plan_key()).withWatermark(time_column, late)
-    return keyed.groupBy("sql_id", "plan_key").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("sql_id", "plan_key"), F.lit(buckets)).alias("_bucket")
+    return keyed.select("*", bucket).groupBy("_bucket").applyInPandasWithState(
         _collector(hours, time_column),
         outputStructType=StructType(keyed.schema.fields),
-        stateStructType="collected_at timestamp",
+        stateStructType="entries string",
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )

@@ -79,6 +79,23 @@ def test_rows_out_of_order_are_within_the_period_of_the_later_ones(spark, tmp_pa
     assert sorted(r.ts.hour + 24 * (r.ts.day - 1) for r in spark.read.parquet(out).collect()) == [30, 55, 80]
 
 
+def test_keys_of_a_bucket_are_collected_apart(spark, tmp_path):
+    """Five keys in two states, null keys among them: rows as by the batch ledger."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    batches = [[(None if i == "d" else i, *rest) for i, *rest in batch] for batch in runs(seed=5)]
+    for batch in batches:
+        spark.createDataFrame(batch, ROW).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        jobs.stream_collect(stream, late="30 hours", buckets=2)
+        .writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
+    found = spark.read.parquet(out).select("sql_id", "plan_hash_value", "ts", "elapsed_sec_per_exec").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(collected(batches), key=str)
+
+
 def test_collection_by_the_keyed_ledger_survives_a_replay(spark, tmp_path):
     source, out, checkpoint, ledger = (str(tmp_path / n) for n in ("in", "out", "checkpoint", "ledger"))
     for k, batch in enumerate(runs()):
