@@ -122,6 +122,18 @@ def test_odd_blocks_by_lines_equal_whole_blocks(spark, tmp_path, tiny_splits):
     assert sizes.agg({"count": "max"}).first()[0] > 400
 
 
+def test_short_blocks_of_large_reports_are_parsed_whole(spark, report_dir, tiny_splits, monkeypatch):
+    """No line goes the way of long blocks where no block is longer than a slice; the bytes of a block count, too."""
+    whole, by_lines, real = rows(x.report_statements(t.read_exec_reports(spark, report_dir, "*.txt"))), [], x.statements_of_lines
+    monkeypatch.setattr(x, "statements_of_lines", lambda lines, *a: by_lines.append(lines) or real(lines, *a))
+    wide = replace(SMALL, slice_lines=60)
+    assert rows(x.report_statements(t.read_exec_reports(spark, report_dir, "*.txt", wide), wide)) == whole and not by_lines
+    monkeypatch.setattr(x, "DEFAULTS", replace(DEFAULTS, whole_file_bytes=900))
+    assert rows(x.report_statements(t.read_exec_reports(spark, report_dir, "*.txt", wide), wide)) == whole
+    taken = by_lines[0].groupBy("file", "block_no").agg(F.sum(F.octet_length("line") + 1).alias("n"))
+    assert len(by_lines) == 1 and taken.agg({"n": "min"}).first()[0] > 900
+
+
 def test_no_block_is_collected(spark, report_dir, tiny_splits):
     texts = t.read_exec_reports(spark, report_dir, "*.txt", SMALL)
     plan = x.statements_of_lines(x.block_lines(texts.long_lines, SMALL), SMALL)._jdf.queryExecution().optimizedPlan().toString()
