@@ -131,6 +131,15 @@ def test_documents_hold_texts_and_reports_without_statements(spark, tmp_path):
     assert [(d.sql_id, d.part, d.tkprof_full_text, d.tkprof_statements) for d in only] == [("empty_z", 0, "", [])]
 
 
+def test_documents_read_the_texts_once(spark, tmp_path):
+    """One pass gives the texts of all documents, empty ones too; another one the statements."""
+    spark.createDataFrame([("a_x.prf", "some words"), ("b_y.prf", ""), ("c_z.prf", None)], "file string, text string").write.parquet(str(tmp_path / "t"))
+    reports = t.texts_of(spark.read.parquet(str(tmp_path / "t")))
+    docs = k.tkprof_docs(with_issues(report_statements(reports)), 10, reports)
+    assert sorted((d.tkprof_file, d.part, d.tkprof_full_text) for d in docs.collect()) == [("a_x.prf", 0, "some words"), ("b_y.prf", 0, "")]
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
 def test_detection_parts_are_numbered_through(spark):
     data = spark.range(2500).select(F.when(F.col("id") < 2490, "hot").otherwise("small").alias("detected_at"), F.concat(F.lit("s"), F.col("id")).alias("sql_id"))
     found = k.detection_docs(data, rows_per_doc=100).collect()
