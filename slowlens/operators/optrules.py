@@ -156,6 +156,10 @@ def _sampled(sampling: DataFrame) -> DataFrame:
     return sampling.groupBy("file").agg(F.count("*").alias("count"))
 
 
+#: Kinds of facts that ``relations_of`` reads.
+FACT_KINDS = ("access", "table", "index", "column", "system", "sampling")
+
+
 def relations_of(facts: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """What rules can look at; each has a column ``file``, and is made only where a rule asks for it."""
     return {

@@ -90,4 +90,4 @@ select file, '19c Enterprise Edition Release 19.0.0.0.0 - Production' as oracle_
 from trace_src order by file limit 1""",
 )
 def environment_from_trace(spark, sf):
-    return f.environment_from_trace(trace_db_info(trace_facts(render.traces(spark, sf))))
+    return f.environment_from_trace(trace_db_info(trace_facts(render.traces(spark, sf), kinds=("db",))))

@@ -14,13 +14,14 @@ from slowlens.sources.texts import rejected_traces, text_files, texts_of, trace_
 V = "varchar"
 
 
-def facts(spark, sf):
-    return o.trace_facts(render.traces(spark, sf))
+def facts(spark, sf, *kinds):
+    """Facts of the kinds that a query reads."""
+    return o.trace_facts(render.traces(spark, sf), kinds=kinds)
 
 
-def shared_facts(spark, sf):
+def shared_facts(spark, sf, *kinds):
     """Facts for queries with several readers: written once, read by each."""
-    return materialize(facts(spark, sf), spark, "facts", "kind")
+    return materialize(facts(spark, sf, *kinds), spark, "facts", "kind")
 
 
 @query("trace_content_check", "trace_src", "select file, cast(case when two_tables then 3 else 2 end as bigint) as marker_lines from trace_src")
@@ -46,7 +47,7 @@ select file, '19c Enterprise Edition Release 19.0.0.0.0 - Production' as oracle_
   'PRIMARY' as database_role, concat('node', cast(instance_no as varchar)) as node_name from trace_src""",
 )
 def trace_db_info(spark, sf):
-    return o.trace_db_info(facts(spark, sf))
+    return o.trace_db_info(facts(spark, sf, "db"))
 
 
 SQL_TEXT = "concat('select /* ', comment, ' */ * from ', table_name, chr(10), ' where c1 = ''a = b''')"
@@ -66,7 +67,7 @@ union all select file, 'MBRC', case when mbrc_unset then 'NO' else '16' end,
 
 @query("trace_system_stats", "trace_src", SYSTEM)
 def trace_system_stats(spark, sf):
-    return o.trace_system_stats(facts(spark, sf))
+    return o.trace_system_stats(facts(spark, sf, "system"))
 
 
 PARAMS = """
@@ -80,7 +81,7 @@ union all select file, 'default', '_second_parameter', cast(cpu_count as varchar
 
 @query("trace_params", "trace_src", PARAMS)
 def trace_params(spark, sf):
-    return o.trace_params(facts(spark, sf))
+    return o.trace_params(facts(spark, sf, "parameter"))
 
 
 TABLES = """
@@ -91,7 +92,7 @@ union all select file, table2_name, 'B', 7, 3, cast(12.5 as double), false from
 
 @query("trace_table_stats", "trace_src", TABLES)
 def trace_table_stats(spark, sf):
-    return o.trace_table_stats(facts(spark, sf)).drop("at")
+    return o.trace_table_stats(facts(spark, sf, "table")).drop("at")
 
 
 INDEX_COLUMNS = """file, index_name, '1 2' as columns, cast(1 as bigint) as levels, cast(25 as bigint) as leaf_blocks,
@@ -105,7 +106,7 @@ INDEX_COLUMNS = """file, index_name, '1 2' as columns, cast(1 as bigint) as leve
     f"""select {INDEX_COLUMNS}, cast(index_rows as double) as num_rows, index_not_analyzed as not_analyzed from trace_src""",
 )
 def trace_index_stats(spark, sf):
-    return o.trace_index_stats(facts(spark, sf)).drop("at")
+    return o.trace_index_stats(facts(spark, sf, "index")).drop("at")
 
 
 HISTOGRAM = "coalesce(histogram, case when column_no_stats then 'N/A (no stats)' else 'None' end)"
@@ -121,7 +122,7 @@ select file, 'C1' as column_name, cast(2 as bigint) as col_num, 'NUMBER' as data
   column_no_stats as no_statistics from trace_src""",
 )
 def trace_column_stats(spark, sf):
-    return o.trace_column_stats(facts(spark, sf)).drop("at", "uncomp_buckets", "end_pt_vals")
+    return o.trace_column_stats(facts(spark, sf, "column")).drop("at", "uncomp_buckets", "end_pt_vals")
 
 
 @query(
@@ -132,7 +133,7 @@ select file, 'C1' as column_name, cast(1 as bigint) as ndv from trace_src
 union all select file, 'C1', ndv from trace_src""",
 )
 def trace_column_rows(spark, sf):
-    return o.trace_column_rows(facts(spark, sf)).select("file", "column_name", "ndv")
+    return o.trace_column_rows(facts(spark, sf, "column")).select("file", "column_name", "ndv")
 
 
 BLOCK_NO = "row_number() over (partition by file order by block_at)"
@@ -156,7 +157,7 @@ union all select file, case when two_tables then 3 else 2 end, concat('W', cast(
   where nl_line""",
 )
 def access_blocks(spark, sf):
-    return numbered(o.access_blocks(facts(spark, sf)))
+    return numbered(o.access_blocks(facts(spark, sf, "access")))
 
 
 METHODS = """
@@ -177,13 +178,13 @@ union all select file, 2, table2_name, 1, 'TableScan', null, cast(3.5 as double)
 
 @query("access_methods", "trace_src", METHODS + "select * from methods")
 def access_methods(spark, sf):
-    return numbered(o.access_methods(shared_facts(spark, sf))).drop("at")
+    return numbered(o.access_methods(shared_facts(spark, sf, "access"))).drop("at")
 
 
 @query("access_methods_sliced", "trace_src", METHODS + "select * from methods")
 def access_methods_sliced(spark, sf):
     """The same where every block is longer than a slice."""
-    return numbered(o.access_methods(shared_facts(spark, sf), Settings(slice_lines=7))).drop("at")
+    return numbered(o.access_methods(shared_facts(spark, sf, "access"), Settings(slice_lines=7))).drop("at")
 
 
 @query(
@@ -198,7 +199,7 @@ union all select file, case when two_tables then 3 else 2 end, concat('W', cast(
   from trace_src where nl_line""",
 )
 def scan_costs(spark, sf):
-    return numbered(o.scan_costs(facts(spark, sf)))
+    return numbered(o.scan_costs(facts(spark, sf, "access")))
 
 
 BEST = """
@@ -212,7 +213,7 @@ BEST = """
 
 @query("best_access", "trace_src", BEST + "select * from best")
 def best_access(spark, sf):
-    return numbered(o.best_access(facts(spark, sf)))
+    return numbered(o.best_access(facts(spark, sf, "access")))
 
 
 @query(
@@ -224,7 +225,7 @@ select file, cast(1 as bigint) as order_num, concat(table_name, case when two_ta
 union all select file, 2, table2_name, concat(table2_name, '[B]#1') from trace_src""",
 )
 def join_orders(spark, sf):
-    found = o.join_orders(facts(spark, sf)).drop("at")
+    found = o.join_orders(facts(spark, sf, "join")).drop("at")
     return found.withColumn("tables", F.array_join("tables", ","))
 
 
@@ -236,7 +237,7 @@ select file, cast(1 as bigint) as table_num, index_cost + 0.5::double as cost, c
   cast(12 as double) as bytes from trace_src""",
 )
 def best_join(spark, sf):
-    return o.best_join(facts(spark, sf))
+    return o.best_join(facts(spark, sf, "join"))
 
 
 @query(
@@ -247,7 +248,7 @@ select file, index_cost + 0.5::double as total_cost, cast(cardinality as double)
   cast(12 as double) as total_bytes from trace_src""",
 )
 def overall_cost(spark, sf):
-    return o.overall_cost(o.best_join(facts(spark, sf)))
+    return o.overall_cost(o.best_join(facts(spark, sf, "join")))
 
 
 @query(
@@ -258,7 +259,8 @@ select file, permutations, cast(case when two_tables then 2 else 1 end as bigint
   permutations = 1 and not two_tables as is_single_table from trace_src""",
 )
 def join_search(spark, sf):
-    return o.join_search(facts(spark, sf))
+    # every trace names its database
+    return o.join_search(facts(spark, sf, "db", "join", "table"))
 
 
 @query(
@@ -274,7 +276,7 @@ select file, table_name, arg_min(method, cost * 1000 + entry_no) as best_method,
 from methods group by file, table_name, block_no""",
 )
 def access_cost_analysis(spark, sf):
-    return o.access_cost_analysis(o.access_methods(shared_facts(spark, sf)))
+    return o.access_cost_analysis(o.access_methods(shared_facts(spark, sf, "access")))
 
 
 @query(
@@ -285,7 +287,7 @@ select file, concat('Dynamic sampling updated table stats.: blocks=', cast(i as
 from trace_src cross join (values (0), (1)) as n(i) where i < sampling_lines""",
 )
 def dynamic_sampling(spark, sf):
-    return o.dynamic_sampling(facts(spark, sf)).drop("at")
+    return o.dynamic_sampling(facts(spark, sf, "sampling")).drop("at")
 
 
 TRANSFORMATIONS = """
@@ -310,7 +312,7 @@ union all select file, 9, 'GENERIC', 'Query Block Transformation', 'applied', 'q
 
 @query("transformations", "trace_src", TRANSFORMATIONS + "select * from t")
 def transformations(spark, sf):
-    return o.transformations(facts(spark, sf)).drop("at")
+    return o.transformations(facts(spark, sf, "transformation")).drop("at")
 
 
 @query(
@@ -322,7 +324,7 @@ select file, kind_no, type, name, count(*) as entries, string_agg(distinct statu
 from t group by file, kind_no, type, name""",
 )
 def transformation_summary(spark, sf):
-    return o.transformation_summary(o.transformations(facts(spark, sf)))
+    return o.transformation_summary(o.transformations(facts(spark, sf, "transformation")))
 
 
 @query(
@@ -334,7 +336,7 @@ select file, type, name, status, substring(detail, 1, 30) as detail,
   case status when 'applied' then 'good' when 'bypassed' then 'warn' else 'none' end as band from t""",
 )
 def transformation_report(spark, sf):
-    return v.transformation_report(o.transformations(facts(spark, sf)), cut=30).drop("at")
+    return v.transformation_report(o.transformations(facts(spark, sf, "transformation")), cut=30).drop("at")
 
 
 # --- rules ---------------------------------------------------------------------
@@ -365,7 +367,7 @@ union all select file, 9, 'INFO', 'Dynamic Sampling Used', cast(sampling_lines a
 
 
 def issues(spark, sf):
-    return r.trace_issues(shared_facts(spark, sf))
+    return r.trace_issues(shared_facts(spark, sf, *r.FACT_KINDS))
 
 
 @query("trace_issues", "trace_src", ISSUES + "select * from issues")
@@ -374,24 +376,24 @@ def trace_issues(spark, sf):
 
 
 SINGLE_RULES = {
-    1: ("full_table_scan", lambda f: r.full_scan_issues(o.best_access(f), o.trace_table_stats(f))),
-    2: ("fast_full_scan", lambda f: r.fast_full_scan_issues(o.best_access(f))),
-    3: ("clustering_factor", lambda f: r.clustering_issues(o.trace_index_stats(f))),
-    4: ("missing_histogram", lambda f: r.histogram_issues(o.trace_column_stats(f))),
-    5: ("noworkload", lambda f: r.system_stats_issues(o.trace_system_stats(f)).filter("rule_no = 5")),
-    6: ("mbrc", lambda f: r.system_stats_issues(o.trace_system_stats(f)).filter("rule_no = 6")),
-    7: ("table_not_analyzed", lambda f: r.not_analyzed_issues(o.trace_table_stats(f), "table_name", 7, "Table NOT ANALYZED")),
-    8: ("index_not_analyzed", lambda f: r.not_analyzed_issues(o.trace_index_stats(f), "index_name", 8, "Index NOT ANALYZED")),
-    9: ("dynamic_sampling", lambda f: r.sampling_issues(o.dynamic_sampling(f))),
+    1: ("full_table_scan", ("access", "table"), lambda f: r.full_scan_issues(o.best_access(f), o.trace_table_stats(f))),
+    2: ("fast_full_scan", ("access",), lambda f: r.fast_full_scan_issues(o.best_access(f))),
+    3: ("clustering_factor", ("index",), lambda f: r.clustering_issues(o.trace_index_stats(f))),
+    4: ("missing_histogram", ("column",), lambda f: r.histogram_issues(o.trace_column_stats(f))),
+    5: ("noworkload", ("system",), lambda f: r.system_stats_issues(o.trace_system_stats(f)).filter("rule_no = 5")),
+    6: ("mbrc", ("system",), lambda f: r.system_stats_issues(o.trace_system_stats(f)).filter("rule_no = 6")),
+    7: ("table_not_analyzed", ("table",), lambda f: r.not_analyzed_issues(o.trace_table_stats(f), "table_name", 7, "Table NOT ANALYZED")),
+    8: ("index_not_analyzed", ("index",), lambda f: r.not_analyzed_issues(o.trace_index_stats(f), "index_name", 8, "Index NOT ANALYZED")),
+    9: ("dynamic_sampling", ("sampling",), lambda f: r.sampling_issues(o.dynamic_sampling(f))),
 }
 
 
 def _rule(no: int):
-    name, rule = SINGLE_RULES[no]
+    name, kinds, rule = SINGLE_RULES[no]
 
     @query(f"trace_rule_{name}", "trace_src", ISSUES + f"select file, severity, measure, message from issues where rule_no = {no}")
     def run(spark, sf):
-        return rule(facts(spark, sf)).select("file", "severity", "measure", "message")
+        return rule(facts(spark, sf, *kinds)).select("file", "severity", "measure", "message")
 
 
 for _no in SINGLE_RULES:
@@ -442,7 +444,7 @@ from trace_src s join best b on b.file = s.file
 )
 def trace_summary(spark, sf):
     texts = render.traces(spark, sf)
-    f = shared_facts(spark, sf)
+    f = shared_facts(spark, sf, "db", "join", *r.FACT_KINDS)
     return v.trace_summary(
         text_files(texts),
         o.trace_sql(texts),
@@ -472,7 +474,7 @@ select file, block_no, table_name, rank, method, coalesce(index_name, '-') as in
 from scored""",
 )
 def access_path_report(spark, sf):
-    f = shared_facts(spark, sf)
+    f = shared_facts(spark, sf, "access")
     return numbered(v.access_path_report(o.access_methods(f), o.best_access(f), o.scan_costs(f)))
 
 
@@ -491,7 +493,7 @@ select file, block_no, table_name, row_number() over (partition by file, block_n
 from methods""",
 )
 def access_rank_html(spark, sf):
-    return numbered(v.access_rank_html(o.access_methods(facts(spark, sf))))
+    return numbered(v.access_rank_html(o.access_methods(shared_facts(spark, sf, "access"))))
 
 
 @query(
@@ -500,7 +502,7 @@ def access_rank_html(spark, sf):
     f"select file, table_name, alias, rows, blocks, avg_row_len, blocks * 8192 / cast(1048576 as double) as size_mb from ({TABLES})",
 )
 def table_size_report(spark, sf):
-    return v.table_size_report(o.trace_table_stats(facts(spark, sf)))
+    return v.table_size_report(o.trace_table_stats(facts(spark, sf, "table")))
 
 
 @query(
@@ -513,7 +515,7 @@ select {INDEX_COLUMNS}, case when index_rows > 0 then clustering_factor / index_
     when clustering_factor / index_rows::double < cast(0.1 as double) then 'good' else 'none' end as band from trace_src""",
 )
 def index_quality_report(spark, sf):
-    return v.index_quality_report(o.trace_index_stats(facts(spark, sf)))
+    return v.index_quality_report(o.trace_index_stats(facts(spark, sf, "index")))
 
 
 @query(
@@ -526,7 +528,7 @@ select file, 'C1' as column_name, 'NUMBER' as data_type, ndv, cast(2 as bigint)
   case when histogram is null then 'warn' else 'good' end as band from trace_src""",
 )
 def column_stats_report(spark, sf):
-    return v.column_stats_report(o.trace_column_stats(facts(spark, sf)))
+    return v.column_stats_report(o.trace_column_stats(facts(spark, sf, "column")))
 
 
 @query(
@@ -535,7 +537,7 @@ def column_stats_report(spark, sf):
     f"select *, case when is_default then 'warn' else 'none' end as band from ({SYSTEM}) where item <> 'stats_type'",
 )
 def system_stats_report(spark, sf):
-    return v.system_stats_report(o.trace_system_stats(facts(spark, sf)))
+    return v.system_stats_report(o.trace_system_stats(facts(spark, sf, "system")))
 
 
 @query(
@@ -547,7 +549,7 @@ select item, value, default_value, case when item = 'stats_type' then case when
 from ({SYSTEM}) where file = (select min(file) from trace_src)""",
 )
 def system_stats_environment(spark, sf):
-    return v.system_stats_environment(o.trace_system_stats(shared_facts(spark, sf)))
+    return v.system_stats_environment(o.trace_system_stats(shared_facts(spark, sf, "system")))
 
 
 @query(
@@ -556,9 +558,9 @@ def system_stats_environment(spark, sf):
     f"select * from ({PARAMS}) where section = 'altered' or name in ('optimizer_mode', 'cpu_count')",
 )
 def key_params_report(spark, sf):
-    return v.key_params_report(o.trace_params(facts(spark, sf)))
+    return v.key_params_report(o.trace_params(facts(spark, sf, "parameter")))
 
 
 @query("other_params_count", "trace_src", "select file, cast(case when two_tables then 2 else 1 end as bigint) as other_params from trace_src")
 def other_params_count(spark, sf):
-    return v.other_params_count(o.trace_params(facts(spark, sf)), KEY_PARAMETERS_PAGE)
+    return v.other_params_count(o.trace_params(facts(spark, sf, "parameter")), KEY_PARAMETERS_PAGE)

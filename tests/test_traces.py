@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slowlens.config import Settings
 from slowlens.operators import optreports as v, optrules as r, opttrace as o
-from slowlens.sources.texts import texts_of
+from slowlens.sources.texts import TextSet, texts_of, trace_lines
 
 
 def traces(spark, *texts):
@@ -249,3 +249,45 @@ def test_no_task_holds_the_lines_of_a_block(spark):
     windows = [line for line in plan.split("\n") if " Window [" in line or line.strip().startswith("Window [")]
     over_lines = [w for w in windows if "last(mark" in w or "own_" in w or "costs" in w]
     assert over_lines and all("slice" in w for w in over_lines)
+
+
+KINDS_TEXT = (
+    "Oracle Database 19c\n  PARAMETERS WITH DEFAULT VALUES\n  ****\nCompilation Environment Dump\na = 1\n"
+    "*****\nSYSTEM STATISTICS INFORMATION\n-----\n  Using WORKLOAD Stats\n*****\n  Using NOWORKLOAD Stats\nb = 2\n"
+    "  Table: T  Alias: A\n  #Rows: 1  #Blks:  1  AvgRowLen:  1.00\n  Access Path: A\n"
+    "Access path analysis for T\n  Access Path: A\n    Cost:  1.0  Resp: 1.0  Degree: 0\nOPTIMIZER STATISTICS\n  Access Path: B\n"
+    "Number of join permutations tried: 2\nSU: Unnested it\n"
+)
+
+
+def test_facts_of_some_kinds_are_those_of_all(spark):
+    """Each kind alone gives the facts that it has among all, in files read whole and by lines."""
+    whole = traces(spark, KINDS_TEXT, "none at all\n")
+    lines = TextSet(whole.texts.filter("false"), trace_lines(whole))
+    every = o.trace_facts(whole)
+    columns = {"access": ["block_at", "block_table"], "parameter": ["section"]}
+    for kind in ("db", "access", "table", "system", "parameter", "join", "transformation"):
+        def rows(found):
+            shown = found.filter(F.col("kind") == kind).select("file", "line_no", "line", "next1", *columns.get(kind, ()))
+            return sorted(map(tuple, shown.collect()))
+
+        for texts in (whole, lines):
+            some = o.trace_facts(texts, Settings(slice_lines=3), kinds=(kind,))
+            assert rows(some) == rows(every) != []
+            assert some.filter(F.col("kind") != kind).isEmpty()
+
+
+def test_kinds_without_a_place_are_not_shuffled(spark):
+    found = o.trace_facts(traces(spark, KINDS_TEXT), kinds=("join", "table"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_search_reads_facts_once(spark):
+    """Traces with any fact are known from the same pass; rows without a name have no counts."""
+    texts = [("a", KINDS_TEXT), ("b", "Database name: X\n"), ("c", "none\n"), (None, KINDS_TEXT)]
+    found = o.join_search(o.trace_facts(texts_of(spark.createDataFrame(texts, "file string, text string"))))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("a", 2, 1, False), ("b", 0, 0, False), (None, 0, 0, False)], key=str
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan
