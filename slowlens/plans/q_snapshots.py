@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from slowlens.operators import planrules, snapshots as s
 from slowlens.operators.detect import detected_ids
-from slowlens.operators.execrules import with_issues
 from slowlens.operators.optrules import FACT_KINDS, trace_issues
 from slowlens.operators.opttrace import trace_facts, trace_sql
 from slowlens.plans import render
@@ -359,7 +358,7 @@ def cover_kpis(spark, sf):
     return s.cover_kpis(
         render.awr_docs(spark, sf),
         view(spark, sf, "detection"),
-        tkprof_docs(with_issues(statements(spark, sf)), blocks_per_doc=30),
+        tkprof_docs(statements(spark, sf), blocks_per_doc=30),
         traces.texts,
         trace_issues(materialize(trace_facts(traces, kinds=FACT_KINDS), spark, "facts", "kind")),
     )

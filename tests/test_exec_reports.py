@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slowlens.operators import execreport as e, execrules as r
+from slowlens.sinks.documents import tkprof_docs
 from slowlens.sources.texts import texts_of
 
 HEAD = "call     count       cpu    elapsed       disk      query    current        rows"
@@ -133,3 +134,13 @@ def test_wait_limits(spark, event, times, found):
     tail = f"\nEvent waited on   Times\n------\n{event}  {times}  0.5\n"
     issues = r.exec_issues(statements(spark, block(tail=tail))).filter("rule_no >= 6")
     assert [i.rule_no for i in issues.collect()] == found
+
+
+def test_documents_are_counted_without_issues(spark):
+    """Statements whose issues were not looked for give the same documents, without them."""
+    found = statements(spark, block() + "*" * 80 + "\n" + block())
+    plain, full = tkprof_docs(found), tkprof_docs(r.with_issues(found))
+    assert plain.schema.simpleString() == full.schema.simpleString()
+    [doc] = plain.collect()
+    assert [s["issues"] for s in doc.tkprof_statements] == [None, None]
+    assert [d.tkprof_file for d in full.collect()] == [doc.tkprof_file]
