@@ -12,7 +12,7 @@ again after a failure replaces its own rows and changes nothing else.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -209,11 +209,13 @@ def run_trace_facts(
     every: str | None = None,
     file: Column | None = None,
     packed: bool = False,
+    kinds: Collection[str] | None = None,
 ) -> StreamingQuery:
     """Facts and issues of arriving traces, or packs of them, by the readers and operators for sets of files.
 
     Files too large to be read whole are read split by split here too, so no file is
-    a value.  The driver holds the names of one batch.
+    a value.  The driver holds the names of one batch.  All facts are written, or those of
+    ``kinds``, to which ``FACT_KINDS`` of the rules must belong for their issues.
     """
 
     def extract(files: DataFrame, batch_id: int) -> None:
@@ -222,7 +224,7 @@ def run_trace_facts(
             return
         session = files.sparkSession
         facts_path = f"{out.rstrip('/')}/facts/batch_id={batch_id}"
-        facts = trace_facts(read_traces(session, names, glob, settings, file, packed), settings)
+        facts = trace_facts(read_traces(session, names, glob, settings, file, packed), settings, kinds)
         facts.write.mode("overwrite").partitionBy("kind").parquet(facts_path)
         written = session.read.schema(facts.schema).parquet(facts_path)
         trace_issues(written).write.mode("overwrite").parquet(f"{out.rstrip('/')}/issues/batch_id={batch_id}")

@@ -97,3 +97,18 @@ def test_queries_write_packs_not_a_file_per_text(spark, sf_dir, tmp_path, monkey
     catalog.QUERIES[query](spark, sf_dir)
     written = [f for label in ("traces", "folders", "reports") for f in tmp_path.glob(f"{label}/**/*.txt")]
     assert 0 < len(written) <= 8
+
+
+@pytest.mark.parametrize("per_pack", [1, 20])
+def test_followers_of_packed_lines_are_those_of_whole_texts(spark, tmp_path, tiny_splits, per_pack):
+    """Texts over many splits, with blank lines and short last texts; the lines are sorted once, not once more to find followers."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    texts = TEXTS | {f"gaps{i}": "\n" * i + "a\n \t\n\nb" + "\n" * 90 + "c\r\n\r\nd\n" + "e" * (60 * i) for i in range(4)} | {"one": "x", "late": "\n" * 120 + "y"}
+    write_packs(spark.createDataFrame(list(texts.items()), "file string, text string"), str(tmp_path / "packs"), per_pack=per_pack)
+    found = t.read_traces(spark, str(tmp_path / "packs"), "*.txt", LARGE, name(), packed=True)
+    whole = t.texts_of(spark.createDataFrame(list(texts.items()), "file string, text string"))
+    none, lines = t.lines_with_followers(found, LARGE)
+    assert none.isEmpty() and rows(lines) == rows(t.lines_with_followers(whole)[0])
+    assert rows(found.long_lines) == rows(t.trace_lines(whole))
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert "_slice" not in plan

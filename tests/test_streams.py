@@ -13,6 +13,7 @@ from slowlens.config import DEFAULTS
 from slowlens.operators import detect as d, opttrace as o, optrules
 from slowlens.plans import render
 from slowlens.sinks import ledger as led
+from slowlens.sinks.documents import write_packs
 from slowlens.sources import texts as t
 from slowlens.streaming import jobs
 
@@ -172,3 +173,21 @@ def test_traces_of_a_stream_equal_those_of_the_batch_reader(spark, sf_dir, tmp_p
     issues = optrules.trace_issues(batch)
     assert rows(spark.read.parquet(f"{out}/issues").select(*issues.columns)) == rows(issues)
     assert found.select("batch_id").distinct().count() >= 5
+
+
+def test_candidate_lines_of_a_batch_are_looked_for_once(spark, sf_dir, tmp_path, monkeypatch):
+    """Facts of large traces come from written candidates, and a stream that is asked for some kinds writes these."""
+    texts = render.trace_texts(spark, sf_dir).orderBy("file").limit(3)
+    settings = replace(DEFAULTS, whole_file_bytes=100, slice_lines=40)
+    write_packs(texts, str(tmp_path / "in"))
+    traces = t.read_traces(spark, str(tmp_path / "in"), "*.txt", settings, packed=True)
+    plan = o.trace_facts(traces, settings)._jdf.queryExecution().optimizedPlan().toString()
+    assert "candidate-lines" in str(o.trace_facts(traces, settings).inputFiles()) and plan.count("Relation [value") == 1  # whole texts
+    out = str(tmp_path / "out")
+    key = t.folder_value(path=F.col("path"))
+    jobs.run_trace_facts(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint"), "*.txt", settings, file=key, packed=True, kinds=optrules.FACT_KINDS)
+    batch = o.trace_facts(t.texts_of(texts))
+    found = spark.read.parquet(f"{out}/facts")
+    assert rows(found.select(*batch.columns)) == rows(batch.filter(F.col("kind").isin(*optrules.FACT_KINDS)).withColumn("section", F.lit(None).cast("string")))
+    issues = optrules.trace_issues(batch)
+    assert rows(spark.read.parquet(f"{out}/issues").select(*issues.columns)) == rows(issues)
