@@ -29,6 +29,9 @@ from slowlens.session import scratch_path
 from slowlens.sinks.documents import materialize
 from slowlens.sources.texts import TextSet, text_files
 
+#: Kinds of facts that tables of traces are made from.
+TRACE_KINDS = (*optrules.FACT_KINDS, "db", "join", "parameter")
+
 MANIFEST = "run_date date, report string, folder string, row_count bigint"
 
 
@@ -111,7 +114,7 @@ def report_tables(reports: TextSet, settings: Settings = DEFAULTS) -> dict[str,
 def trace_tables(traces: TextSet, settings: Settings = DEFAULTS) -> dict[str, Table]:
     """Summary, access paths, statistics, issues and parameters of optimizer traces."""
     spark = traces.texts.sparkSession
-    facts = materialize(o.trace_facts(traces, settings), spark, "facts", "kind")
+    facts = materialize(o.trace_facts(traces, settings, TRACE_KINDS), spark, "facts", "kind")
     statements = _written(o.trace_sql(traces), "trace-statements")
     best, blocks = _written(o.best_access(facts), "best-access"), o.access_blocks(facts)
     issues = _written(optrules.trace_issues(facts), "trace-issues")

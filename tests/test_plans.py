@@ -72,3 +72,11 @@ def test_counters_are_scanned_once_for_the_top_statements(spark, tmp_path, sf_di
 def test_period_ranks_are_limited_before_the_shuffle(spark):
     rollup = spark.range(100).selectExpr("id % 3 period_start", "string(id) sql_id", "id buffer_gets")
     assert plan(jobs.period_top(rollup, 5)).count("WindowGroupLimit") == 2
+
+
+def test_whole_traces_are_shuffled_as_texts_not_as_candidates(spark, text_dir):
+    """Candidates come with two lines each, so that a shuffle of them moves the texts several times."""
+    found = plan(o.trace_facts(read_traces(spark, text_dir)))
+    assert found.count("Exchange hashpartitioning") == 1
+    below = found.split("Exchange hashpartitioning", 1)[1]
+    assert "Generate" not in below and "Generate" in found
