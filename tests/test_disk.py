@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from compare import compare, connect
 from slowlens.config import DEFAULTS
+from slowlens.operators.execlines import report_statements
+from slowlens.operators.execrules import with_issues
 from slowlens.plans import catalog, q_reports, q_sources, q_streaming, render
-from slowlens.sinks.documents import pack_records, write_packs
+from slowlens.sinks.documents import pack_records, write_packs, write_tkprof_docs
 from slowlens.sources import texts as t
+from slowlens.sources.documents import read_tkprof_docs
 from slowlens.streaming import jobs
 
 LARGE = replace(DEFAULTS, whole_file_bytes=10, slice_lines=7)
@@ -72,3 +75,26 @@ def test_packs_of_large_report_sets_are_compressed(spark, sf_dir, scratch, monke
     text_bytes = render.exec_report_texts(spark, sf_dir).agg(F.sum(F.length("text"))).first()[0]
     packs = files_of(scratch / "reports")
     assert {f.suffix for f in packs} == {".gz"} and sum(f.stat().st_size for f in packs) < text_bytes / 8
+
+
+@pytest.mark.parametrize("query", ["write_and_read_tkprof_docs"])
+def test_report_documents_are_written_compressed(spark, sf_dir, scratch, query):
+    assert not compare(spark, connect(sf_dir), catalog.QUERIES[query], catalog.ORACLES[query], sf_dir)[2]
+    docs = files_of(scratch / "tkprof")
+    text_bytes = render.exec_report_texts(spark, sf_dir).agg(F.sum(F.length("text"))).first()[0]
+    assert docs and all(f.name.endswith(".json.gz") for f in docs)
+    assert sum(f.stat().st_size for f in docs) < text_bytes / 4
+
+
+def test_compressed_documents_are_cut_into_files_and_plain_ones_are_as_before(spark, tmp_path):
+    texts = t.texts_of(spark.createDataFrame([(f"r{i}_x.prf", f"text {i}") for i in range(1005)], "file string, text string").coalesce(1))
+    none = with_issues(report_statements(texts))
+    plain, small = str(tmp_path / "plain"), str(tmp_path / "small")
+    write_tkprof_docs(none, plain, reports=texts)
+    write_tkprof_docs(none, small, reports=texts, compression="gzip")
+    assert all(f.name.endswith(".json") for f in files_of(tmp_path / "plain"))
+    assert len(files_of(tmp_path / "small")) >= 2
+    found = [read_tkprof_docs(spark, p, glob="*.json*", multi_line=False) for p in (plain, small)]
+    assert all(f.rejects.isEmpty() for f in found)
+    a, b = [sorted((r.tkprof_file, r.tkprof_full_text) for r in f.docs.collect()) for f in found]
+    assert a == b and len(a) == 1005
