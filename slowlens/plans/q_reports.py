@@ -106,8 +106,8 @@ def tkprof_docs_with_texts(spark, sf):
     """Documents with the text of their report: its rules tell the number of blocks."""
     path = scratch_path(spark, "tkprof")
     reports = render.exec_reports(spark, sf)
-    write_tkprof_docs(with_issues(report_statements(reports)), path, reports=reports)
-    found = read_tkprof_docs(spark, path, glob="*.json", multi_line=False).docs
+    write_tkprof_docs(with_issues(report_statements(reports)), path, reports=reports, compression="gzip")
+    found = read_tkprof_docs(spark, path, glob="*.json.gz", multi_line=False).docs
     return found.select(
         F.col("sql_id").alias("doc_id"),
         "tkprof_file",

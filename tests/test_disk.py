@@ -77,7 +77,7 @@ def test_packs_of_large_report_sets_are_compressed(spark, sf_dir, scratch, monke
     assert {f.suffix for f in packs} == {".gz"} and sum(f.stat().st_size for f in packs) < text_bytes / 8
 
 
-@pytest.mark.parametrize("query", ["write_and_read_tkprof_docs"])
+@pytest.mark.parametrize("query", ["write_and_read_tkprof_docs", "tkprof_docs_with_texts"])
 def test_report_documents_are_written_compressed(spark, sf_dir, scratch, query):
     assert not compare(spark, connect(sf_dir), catalog.QUERIES[query], catalog.ORACLES[query], sf_dir)[2]
     docs = files_of(scratch / "tkprof")
