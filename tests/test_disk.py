@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import compare, connect
 from slowlens.config import DEFAULTS
+from slowlens.operators import execlines
 from slowlens.operators.execlines import report_statements
 from slowlens.operators.execrules import with_issues
 from slowlens.plans import catalog, q_reports, q_sources, q_streaming, render
@@ -68,7 +69,7 @@ def test_compressed_packs_hold_the_same_texts_and_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS)
 
 
-@pytest.mark.parametrize("query", ["read_exec_reports", "stream_new_reports"])
+@pytest.mark.parametrize("query", ["read_exec_reports", "stream_new_reports", "exec_statements_of_large_reports"])
 def test_packs_of_large_report_sets_are_compressed(spark, sf_dir, scratch, monkeypatch, query):
     monkeypatch.setattr(render, "PLAIN_BLOCKS", 10)
     assert not compare(spark, connect(sf_dir), catalog.QUERIES[query], catalog.ORACLES[query], sf_dir)[2]
@@ -98,3 +99,64 @@ def test_compressed_documents_are_cut_into_files_and_plain_ones_are_as_before(sp
     assert all(f.rejects.isEmpty() for f in found)
     a, b = [sorted((r.tkprof_file, r.tkprof_full_text) for r in f.docs.collect()) for f in found]
     assert a == b and len(a) == 1005
+
+
+def block(k, filler=0, call=True):
+    """A block of a report, with as many lines of plan as asked for."""
+    head = [f"select {k} from t where x = 1", f"sql_id='q{k}'", ""]
+    calls = ["call     count       cpu    elapsed       disk      query    current        rows"] if call else ["no table " + "-" * 60]
+    rows = [f"{p} {k} 0.01 0.0{k % 9 + 1} 1 2 3 4" for p in ("Parse", "Execute", "Fetch", "total")]
+    plan = ["", "Rows     Row Source Operation", "-------  ----"] + [f"{i}  STEP {i}" for i in range(filler)] + [""]
+    binds = ["BINDS #1:", " bind 0: ", "  dty=1", f'  value="{k}"', "EXEC #1:c=0"] if k % 3 == 0 else []
+    return "\n".join([*head, *calls, *rows, *plan, *binds])
+
+
+STARS = "*" * 40
+REPORTS = {f"r{i}.prf": f"\n{STARS}\n".join(block(k, k * (i + 1) % 23, k % 5 != 4) for k in range(1, i + 2)) for i in range(9)}
+REPORTS |= {
+    "crlf.prf": f"\r\n{STARS}\r\n".join(block(k).replace("\n", "\r\n") for k in range(4)) + "\r\n",
+    "inside.prf": f"{STARS}{block(1)}{STARS}{block(2)} {STARS} {STARS}\n\n{block(3)}\n{STARS}",
+    "long.prf": f"\n{STARS}\n".join([block(7), block(8, 160), block(9)]),
+    "stars.prf": f"{STARS}\n" * 30 + block(5),
+    "empty.prf": "",
+    "blank.prf": "\n \n",
+}
+
+
+@pytest.mark.parametrize("split, compression", [(300, None), (1 << 20, None), (1 << 20, "gzip")])
+def test_statements_of_large_packs_are_those_of_whole_texts(spark, tmp_path, split, compression):
+    """Blocks inside splits, over two and over many, short ones and some with more lines than a slice."""
+    texts = spark.createDataFrame(list(REPORTS.items()), "file string, text string")
+    write_packs(texts, str(tmp_path / "packs"), per_pack=7, compression=compression)
+    settings = replace(LARGE, slice_lines=40)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        name = t.folder_value(path=F.col("path"))
+        found = t.read_exec_reports(spark, str(tmp_path / "packs"), "*.txt*", settings, name, packed=True)
+        wanted = report_statements(t.texts_of(texts))
+        statements = report_statements(found, settings).select(*wanted.columns)
+        left, right = (sorted(map(repr, map(tuple, df.collect()))) for df in (statements, wanted))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(right) > 40 and left == right
+
+
+def test_lines_of_large_packs_are_dealt_once_in_compressed_files(spark, tmp_path, monkeypatch):
+    """Only blocks that may go on in another split are shuffled as lines."""
+    plans, written = [], execlines._written
+    monkeypatch.setattr(
+        execlines, "_written", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or written(df, label)
+    )
+    texts = spark.createDataFrame(list(REPORTS.items()), "file string, text string")
+    write_packs(texts, str(tmp_path / "packs"), per_pack=7)
+    settings = replace(LARGE, slice_lines=400)
+    tables = spark.catalog.listTables()
+    found = t.read_exec_reports(spark, str(tmp_path / "packs"), "*.txt", settings, packed=True)
+    pieces = execlines.block_pieces(found.packs, settings)
+    (label, plan), = plans
+    assert label == "block-pieces" and "Exchange" not in plan and "Window" in plan
+    assert spark.catalog.listTables() == tables
+    inside, all_of = pieces.filter("inside").count(), pieces.count()
+    assert inside >= all_of - 2 * len(files_of(tmp_path / "packs")) > 0
