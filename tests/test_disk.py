@@ -13,7 +13,7 @@ from slowlens.operators import execlines
 from slowlens.operators.execlines import report_statements
 from slowlens.operators.execrules import with_issues
 from slowlens.plans import catalog, q_reports, q_sources, q_streaming, render
-from slowlens.sinks.documents import pack_records, write_packs, write_tkprof_docs
+from slowlens.sinks.documents import NO_NAME, pack_records, write_packs, write_tkprof_docs
 from slowlens.sources import texts as t
 from slowlens.sources.documents import read_tkprof_docs
 from slowlens.streaming import jobs
@@ -42,17 +42,17 @@ def scratch(tmp_path, monkeypatch):
 
 def test_reports_are_shuffled_as_rows_not_as_texts(spark, sf_dir):
     """Neither the making of texts nor that of packs moves texts."""
-    found = pack_records(render.exec_report_texts(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    found = pack_records(render.exec_report_texts(spark, sf_dir, named=True))._jdf.queryExecution().executedPlan().toString()
     above, _, below = found.partition("Exchange ")
     assert "concat_ws(" in above and "Exchange " in below
     assert "concat_ws(" not in below and "collect_list" not in below
 
 
 def test_names_that_are_null_keep_their_text(spark, tmp_path):
-    rows = spark.createDataFrame([(None, "x"), ("a", "y"), (None, "w"), ("b", None)], "file string, text string")
+    rows = spark.createDataFrame([(None, "x"), ("a", "y"), (None, "w"), ("b", None), (NO_NAME, "z")], "file string, text string")
     write_packs(rows, str(tmp_path / "packs"))
     found = t.read_traces(spark, str(tmp_path / "packs"), "*.txt", file=t.folder_value(path=F.col("path")), packed=True)
-    assert {tuple(r) for r in found.texts.collect()} == {("__HIVE_DEFAULT_PARTITION__", "w\nx"), ("a", "y"), ("b", "")}
+    assert {tuple(r) for r in found.texts.collect()} == {(NO_NAME, "w\nx\nz"), ("a", "y"), ("b", "")}
 
 
 def test_compressed_packs_hold_the_same_texts_and_lines(spark, tmp_path):
